@@ -10,8 +10,10 @@ from .common import prepare
 from .features import Sparse, sample_features, sample_ids, score_texts
 
 #: Places of the hashed features, first bytes of a word that make a feature, labelled documents learned from at most.
-SIZE, PREFIX, SAMPLE = 1 << 17, 5, 12_000
-#: Severity grades: 0 for documents not labelled toxic, the others by how much of a toxic document is toxic words.
+SIZE, PREFIX, SAMPLE = 1 << 20, 7, 12_000
+#: A feature is learned from if it occurs in LEAST toxic documents or more, and LIFT standard deviations more often than chance would have it.
+LEAST, LIFT = 3, 3.5
+#: Severity grades: 0 for documents not labelled toxic, the others by how much toxic wording a toxic document has.
 GRADES = 4
 
 
@@ -19,57 +21,62 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def weigh(count):
+    """A feature's value: how often it occurs, damped; long documents aren't diluted, so one insult in a long text counts."""
+    return (1 + np.log(count)).astype(np.float32)
+
+
 class OrdinalRegression:
     """P(grade > k) = sigmoid(<w, x> - threshold_k): one weight vector, ordered thresholds."""
 
     def __init__(self, size: int = SIZE, grades: int = GRADES):
         self.size = size
-        self.w = np.zeros(size, np.float32)
+        self.places, self.weights = np.zeros(0, np.int64), np.zeros(0)
         self.thresholds = np.arange(1, grades, dtype=np.float64)
 
-    @staticmethod
-    def weigh(count, words, doc):
-        """A feature's value: how often it occurs, damped; long documents aren't diluted, so one insult in a long text counts."""
-        del words, doc
-        return (1 + np.log(count)).astype(np.float32)
-
-    def fit(self, doc, index, value, grade, epochs: int = 40, rate: float = 0.3, l1: float = 4e-5, seed: int = 9):
-        """Full-gradient Adagrad on the likelihood of the grades, with soft thresholding: most weights stay 0."""
-        n = len(grade)
-        k = len(self.thresholds)
+    def fit(self, doc, index, value, grade, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4):
+        """Adam on the likelihood of the grades, over the features that pass the screening."""
+        n, k = len(grade), len(self.thresholds)
         if not n:
             return self
-        del seed
-        for j in range(k):
-            share = np.clip((grade > j).mean(), 1e-3, 1 - 1e-3)
-            self.thresholds[j] = np.log((1 - share) / share)
-        self.thresholds = np.maximum.accumulate(self.thresholds + 1e-3 * np.arange(k))
-        gw, gt = np.full(self.size, 1e-8), np.full(k, 1e-8)
-        w, b = self.w.astype(float), self.thresholds.copy()
-        for _ in range(epochs):
-            s = np.bincount(doc, w[index] * value, n)
+        share = (grade > 0).mean()
+        yes, all_ = np.bincount(index[grade[doc] > 0], minlength=self.size), np.bincount(index, minlength=self.size)
+        passed = (yes >= LEAST) & (yes - share * all_ >= LIFT * np.sqrt(share * (1 - share) * all_))
+        own = passed[index]
+        doc, value = doc[own], value[own].astype(float)
+        places, at = np.unique(index[own], return_inverse=True)
+        m = len(places)
+        up = np.clip([(grade > j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
+        x = np.concatenate([np.zeros(m), np.maximum.accumulate(np.log((1 - up) / up) + 1e-3 * np.arange(k))])
+        first, second, every = np.zeros(m + k), np.zeros(m + k), np.arange(n)
+        for t in range(1, rounds + 1):
+            w, b = x[:m], x[m:]
+            s = np.bincount(doc, w[at] * value, n)
             top = np.column_stack([np.ones(n), *[_sigmoid(s - b[j]) for j in range(k)], np.zeros(n)])  # P(grade >= j)
-            p = np.maximum(top[np.arange(n), grade] - top[np.arange(n), grade + 1], 1e-9)
+            p = np.maximum(top[every, grade] - top[every, grade + 1], 1e-9)
             slope = top * (1 - top)
-            upper, lower = slope[np.arange(n), grade], slope[np.arange(n), grade + 1]
+            upper, lower = slope[every, grade], slope[every, grade + 1]
             ds = -(upper - lower) / p / n
-            db = np.array([((grade == j + 1) * upper / p - (grade == j) * lower / p).sum() / n for j in range(k)])
-            dw = np.bincount(index, ds[doc] * value, self.size)
-            gw += dw * dw
-            gt += db * db
-            pace = rate / np.sqrt(gw)
-            w -= pace * dw
-            w = np.sign(w) * np.maximum(np.abs(w) - pace * l1, 0)
-            b -= rate * db / np.sqrt(gt)
-            b = np.maximum.accumulate(b + 1e-6 * np.arange(k))
-        self.w, self.thresholds = w.astype(np.float32), b
+            db = [((grade == j + 1) * upper / p - (grade == j) * lower / p).sum() / n for j in range(k)]
+            grad = np.concatenate([np.bincount(at, ds[doc] * value, m) + decay * w, db])
+            first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+            x = x - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
+            x[:m] = np.maximum(x[:m], 0)  # what passed tells for toxicity, never against it
+            x[m:] = np.maximum.accumulate(x[m:])
+        self.places, self.weights, self.thresholds = places, x[:m], x[m:]
         return self
 
+    def _weight(self, index):
+        if not len(self.places):
+            return np.zeros(len(index))
+        at = np.minimum(np.searchsorted(self.places, index), len(self.places) - 1)
+        return np.where(self.places[at] == index, self.weights[at], 0.0)
+
     def above(self, texts: list[bytes]) -> np.ndarray:
         """P(grade > k) for each text and k."""
         s = Sparse(texts, self.size, PREFIX)
-        x = self.weigh(s.count, s.words, s.doc)
-        line = np.bincount(s.doc, self.w[s.index].astype(float) * x, s.n) if len(s.doc) else np.zeros(s.n)
+        x = weigh(s.count)
+        line = np.bincount(s.doc, self._weight(s.index) * x, s.n) if len(s.doc) else np.zeros(s.n)
         return _sigmoid(line[:, None] - self.thresholds[None, :])
 
     def score(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -78,15 +85,15 @@ class OrdinalRegression:
         return [up.sum(axis=1), p.argmax(axis=1).astype(np.int32), up[:, 0]]
 
 
-def grades_of(doc, index, count, words, toxic, size: int, grades: int = GRADES, least: int = 4) -> np.ndarray:
-    """Severity grades for training: 0 for label 0; label 1 by the share of telling features in the text, in equal parts.
+def grades_of(doc, index, value, toxic, size: int, grades: int = GRADES, least: int = 4) -> np.ndarray:
+    """Severity grades for training: 0 for label 0; label 1 by the weight of telling features in the text, in equal parts.
 
     A feature tells if it occurs in ``least`` toxic documents or more and at least 9 in 10 of the documents that have it are toxic.
     """
     yes = np.bincount(index[toxic[doc] == 1], minlength=size)
     all_ = np.bincount(index, minlength=size)
     telling = (yes >= least) & (yes >= 0.9 * all_)
-    load = np.bincount(doc, telling[index] * count, len(toxic)) / np.maximum(words, 1)
+    load = np.bincount(doc, telling[index] * value, len(toxic))
     grade = np.zeros(len(toxic), np.int64)
     own = np.flatnonzero(toxic == 1)
     if len(own):
@@ -99,9 +106,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalRe
     """Fits on at most ``sample`` labelled documents (labels: doc_id, toxic), chosen by a hash of the id."""
     prepare(docs.sparkSession)
     ids = sample_ids(labels, "toxic", sample)
-    doc, index, _, count, _, words, toxic = sample_features(docs, ids, SIZE, PREFIX, sample)
-    model = OrdinalRegression()
-    return model.fit(doc, index, model.weigh(count, words, doc), grades_of(doc, index, count, words, toxic, SIZE))
+    doc, index, _, count, _, _, toxic = sample_features(docs, ids, SIZE, PREFIX, sample)
+    value = weigh(count)
+    return OrdinalRegression().fit(doc, index, value, grades_of(doc, index, value, toxic, SIZE))
 
 
 def severity(docs: DataFrame, model: OrdinalRegression, columns: list[str]) -> DataFrame:

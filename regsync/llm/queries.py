@@ -26,7 +26,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = ordinal.train(docs, labels.where(remainder("doc_id", 5) != 0))
     out = ordinal.severity(docs, model, ["doc_id"])
-    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "severity", "grade", "toxic_score", (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "severity", "grade", "toxic_score", (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ places AS (
   SELECT row_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
   FROM (SELECT row_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
 found AS (SELECT p.row_id, p.size, p.i, w.item FROM places p JOIN windows w ON p.size = w.size AND p.win = w.win),
-hits AS (SELECT row_id, count(DISTINCT at) AS n_hit FROM (SELECT row_id, unnest(range(i, i + size)) AS at FROM found) GROUP BY row_id),
+hits AS (SELECT row_id, count(DISTINCT spot) AS n_hit FROM (SELECT row_id, unnest(range(i, i + size)) AS spot FROM found) GROUP BY row_id),
 items AS (SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined FROM (SELECT DISTINCT row_id, item FROM found) GROUP BY row_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytecnn, cube, fm, ordinal, simhash, wumanber
+from . import bytecnn, cube, fm, kneser, ordinal, simhash, wumanber
 from .common import remainder
 
 
@@ -34,6 +34,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser.train(docs.where(remainder("doc_id", 7) != 2))
+    out = kneser.perplexity(docs, model, ["doc_id"])
+    return out.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wumanber.contamination(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -56,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
         "op5_simhash": op5_simhash,
+        "op7_language_model": op7_language_model,
         "op8_decontamination": op8_decontamination,
         "op9_language": op9_language,
         "op10_mixture": op10_mixture,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytecnn, cube, fm, kneser, ordinal, simhash, wumanber
+from . import bytecnn, cube, fm, kneser, ordermin, ordinal, simhash, wumanber
 from .common import remainder
 
 
@@ -15,6 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = fm.train(docs, labels.where(remainder("doc_id", 5) != 0))
@@ -60,6 +64,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_order_minhash": op1_order_minhash,
         "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
         "op5_simhash": op5_simhash,

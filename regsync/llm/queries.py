@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytecnn, cube, fm, kneser, ordermin, ordinal, simhash, wumanber
+from . import bytecnn, cube, fm, kneser, ordermin, ordinal, pages, simhash, urls, wumanber
 from .common import remainder
 
 
@@ -19,6 +19,10 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = fm.train(docs, labels.where(remainder("doc_id", 5) != 0))
@@ -38,6 +42,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = kneser.train(docs.where(remainder("doc_id", 7) != 2))
@@ -65,9 +73,11 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_order_minhash": op1_order_minhash,
+        "op2_html_extraction": op2_html_extraction,
         "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
         "op5_simhash": op5_simhash,
+        "op6_url_filter": op6_url_filter,
         "op7_language_model": op7_language_model,
         "op8_decontamination": op8_decontamination,
         "op9_language": op9_language,

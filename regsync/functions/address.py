@@ -133,7 +133,8 @@ def protect_municipality(native: Column, candidate: Column) -> Column:
 def with_parsed_address(df: DataFrame, name: str, address: Column, muni: Column | None = None, uf: Column | None = None) -> DataFrame:
     """df with a struct column of PARTS (null if absent) of a free-text address, given what is known of its municipality and state.
 
-    Each step is a projection of its own, so no expression is evaluated twice.
+    Each step is a projection of its own, so no expression is evaluated twice.  A filter on the parts would be pushed down
+    through the steps and expand them: cut the lineage first (``operators.components.cut``).
     """
     none, c = F.lit(None).cast("string"), F.col
     muni, uf = none if muni is None else muni, none if uf is None else uf

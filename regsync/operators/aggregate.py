@@ -45,7 +45,7 @@ def gather_offers(institutions: DataFrame, offers: DataFrame) -> DataFrame:
 
 def aggregate(institutions: DataFrame, offers: DataFrame, parse: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The 15 columns of the institutions file: raw columns, address parts (by ``parse`` if given) and the course list as JSON."""
-    df = gather_offers(institutions, offers)
+    df = gather_offers(institutions, offers).drop(*PARTS)
     df = parse(df) if parse else with_parsed_address(df, "p", F.col("endereco")).select("*", *[F.coalesce(f"p.{x}", F.lit("")).alias(x) for x in PARTS]).drop("p")
     return df.select(
         F.col("id").alias("snowflake_id"), "nome_instituicao", "dependencia_adm", "endereco", *PARTS, "telefone", "email", "homepage",

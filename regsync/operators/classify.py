@@ -97,7 +97,11 @@ def course_changes(matched: DataFrame, partial: bool) -> DataFrame:
     """(id, nome_instituicao, tipo, curso) of courses added and, on a full load, closed."""
     own, old = F.array_distinct("cursos"), F.array_distinct("cursos_db")
     kinds = [("Nova Oferta", F.array_except(own, old))] + ([] if partial else [("Encerrado", F.array_except(old, own))])
-    both = F.flatten(F.array(*[F.transform(a, lambda x, k=k: F.struct(F.lit(k).alias("tipo"), x.alias("curso"))) for k, a in kinds]))
+
+    def named(kind):
+        return lambda x: F.struct(F.lit(kind).alias("tipo"), x.alias("curso"))
+
+    both = F.flatten(F.array(*[F.transform(a, named(k)) for k, a in kinds]))
     return matched.select("id", F.col("nome").alias("nome_instituicao"), F.explode(both).alias("x")).select("id", "nome_instituicao", "x.tipo", "x.curso")
 
 

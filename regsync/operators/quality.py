@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.address import PARTS, with_parsed_address
 from ..functions.base import first_filled
 from .aggregate import first_by
+from .components import cut
 
 
 def duplicate_ids(df: DataFrame, top: int = 50) -> DataFrame:
@@ -44,6 +45,7 @@ def sanitized(df: DataFrame) -> DataFrame:
     new = {n: first_filled(c(f"p.{n}"), text[n]) for n in text}
     out = out.select("id", *[text[n].alias(n) for n in text], *[v.alias(f"novo_{n}") for n, v in new.items()], *[c(f"p.{x}").alias(x) for x in PARTS if x not in text])
     dirty = F.contains("municipio", F.lit(" - ")) | c("municipio").rlike(" (RJ|SP|MG) ")
+    out = cut(out)  # else the filter's columns would be expanded down through all of the parsing's steps
     return out.where((c("novo_municipio") != c("municipio")) | dirty | (c("novo_uf") != c("uf")) | (c("novo_cep") != c("cep")))
 
 

@@ -43,6 +43,26 @@ read = domain.read
 _c = F.col
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def _once(f):
+    """Keeps what several queries share, checkpointed, for a session and a folder."""
+
+    def call(s, d, **kw):
+        key = (f.__name__, s.sparkContext.applicationId, d, *sorted(kw.items()))
+        if key not in _KEPT:
+            _KEPT[key] = f(s, d, **kw)
+        return _KEPT[key]
+
+    return call
+
+
+def forget() -> None:
+    """Drops what queries have kept, so that the next ones run in full."""
+    _KEPT.clear()
+
+
 def _map(name: str, table: str, key: str, column: str, value, sql_value: str, out: str = "valor") -> None:
     """A query that applies a function to a whole column of a table."""
     _add(name, f"SELECT {key}, {sql_value} AS {out} FROM {table}")(lambda s, d: read(s, d, table).select(key, value(_c(column)).alias(out)))
@@ -197,6 +217,7 @@ def first_by_name(s, d):
 
 
 # matching by tiers
+@_once
 def _sides(s, d):
     return cut(with_batch_keys(normalize_columns(domain.batch(s, d), "pos"))), cut(with_registry_keys(normalize_columns(domain.registry(s, d), "id")))
 
@@ -250,13 +271,14 @@ def lookup_names(s, d):
 
 
 # comparison
+@_once
 def _diff(s, d, **kw):
     return diff.compare(domain.registry(s, d), domain.batch(s, d), registry_order="id", batch_order="pos", **({"partial": False} | kw))
 
 
-@_add("diff_status", duck.statement(duck.diff_ctes(), "SELECT ord, id, status FROM diff"))
+@_add("diff_status", duck.statement(duck.diff_ctes(), "SELECT coalesce(ord, -1) AS ord, coalesce(id, -1) AS id, status FROM diff"))
 def diff_status(s, d):
-    return _diff(s, d).rows.select("ord", "id", "status")
+    return _diff(s, d).rows.select(F.coalesce("ord", F.lit(-1)).alias("ord"), F.coalesce("id", F.lit(-1)).alias("id"), "status")
 
 
 @_add("diff_attributes", duck.statement(duck.diff_ctes(), "SELECT ord, id, diferencas FROM diff WHERE status = 'alterado'"))
@@ -272,9 +294,9 @@ def diff_summary(s, d):
     return _diff(s, d).summary.select(*[f"{x}s_qtd" for x in diff.STATUSES], "total_csv", "total_db", "is_parcial")
 
 
-@_add("diff_cascade", duck.statement(duck.diff_ctes(), "SELECT ord, id, status FROM diff"))
+@_add("diff_cascade", duck.statement(duck.diff_ctes(), "SELECT coalesce(ord, -1) AS ord, coalesce(id, -1) AS id, status FROM diff"))
 def diff_cascade(s, d):
-    return _diff(s, d, exact=False).rows.select("ord", "id", "status")
+    return _diff(s, d, exact=False).rows.select(F.coalesce("ord", F.lit(-1)).alias("ord"), F.coalesce("id", F.lit(-1)).alias("id"), "status")
 
 
 @_add("inactivated", duck.statement(duck.diff_ctes(), "SELECT id FROM diff WHERE status = 'inativado'"))
@@ -294,6 +316,7 @@ def partial_lock(s, d):
 
 
 # audit
+@_once
 def _audit_sides(s, d):
     b, r = _sides(s, d)
     fresh = b.where("ord % 5 = 0").select("ord", "nome", _c("muni").alias("municipio"), _c("key_uf").alias("uf"), "endereco", "dependencia_adm")
@@ -434,13 +457,14 @@ def prefix_match(s, d):
 
 
 # synchronisation
+@_once
 def _plan(s, d):
-    return sync.actions(_diff(s, d, exact=False).rows)
+    return cut(sync.actions(_diff(s, d, exact=False).rows))
 
 
-@_add("sync_plan", duck.statement(duck.diff_ctes(), "SELECT id, ord, CASE status WHEN 'novo' THEN 'insert' WHEN 'inativado' THEN 'deactivate' ELSE 'update' END AS action FROM diff WHERE status <> 'mantido'"))
+@_add("sync_plan", duck.statement(duck.diff_ctes(), "SELECT coalesce(id, -1) AS id, coalesce(ord, -1) AS ord, CASE status WHEN 'novo' THEN 'insert' WHEN 'inativado' THEN 'deactivate' ELSE 'update' END AS action FROM diff WHERE status <> 'mantido'"))
 def sync_plan(s, d):
-    return _plan(s, d).select("id", "ord", "action")
+    return _plan(s, d).select(F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("ord", F.lit(-1)).alias("ord"), "action")
 
 
 _BASE = ids.EPOCH_MS + 1000
@@ -449,7 +473,7 @@ _BASE = ids.EPOCH_MS + 1000
 @_add("sync_snapshot", duck.statement(duck.diff_ctes(), f"SELECT r.id, CASE WHEN x.status = 'inativado' THEN 0 WHEN x.status IN ('alterado', 'reativado') THEN 1 ELSE r.ativo END AS ativo FROM reg r LEFT JOIN (SELECT id, max(status) AS status FROM diff WHERE id IS NOT NULL GROUP BY id) x ON r.id = x.id UNION ALL SELECT ((1000 + ((row_number() OVER (ORDER BY ord) - 1) // 4096)) << 22) | (1 << 17) | (1 << 12) | ((row_number() OVER (ORDER BY ord) - 1) % 4096), 1 FROM diff WHERE status = 'novo'"))
 def sync_snapshot(s, d):
     now = F.lit(datetime(2024, 1, 1)).cast("timestamp")
-    return sync.apply(domain.registry(s, d), cut(_plan(s, d)), now, _BASE).select("id", "ativo")
+    return sync.apply(domain.registry(s, d), _plan(s, d), now, _BASE).select("id", "ativo")
 
 
 @_add("offers_insert_ignore", duck.statement(_OFFERS, "SELECT DISTINCT inst_id, course_id FROM offers WHERE course_id % 2 = 1"))

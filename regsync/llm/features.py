@@ -96,16 +96,22 @@ def sample_features(docs: DataFrame, ids: DataFrame, size: int, prefixes: int, m
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.binary()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary()), pa.array([row[3]], pa.int64()), pa.array([row[4]], pa.int32())], ["i", "c", "s", "w", "y"])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label")
-    rows = chosen.mapInArrow(work, "i binary, c binary, s binary, w bigint, y int").limit(most).collect()
-    rows.sort(key=lambda r: (bytes(r.s), bytes(r.i), r.y))
-    index = [np.frombuffer(bytes(r.i), np.int32) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in index])
-    words = np.array([r.w for r in rows], np.int64)
-    count = np.concatenate([np.frombuffer(bytes(r.c), np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
-    index = np.concatenate(index).astype(np.int64) if rows else np.zeros(0, np.int64)
-    value = np.sqrt(count / np.maximum(words, 1)[doc]).astype(np.float32) if rows else np.zeros(0, np.float32)
-    stats = np.array([np.frombuffer(bytes(r.s), np.float32) for r in rows], np.float32).reshape(len(rows), len(STATISTICS))
-    return doc, index, value, count, stats, words, np.array([r.y for r in rows], np.int64)
+    found = chosen.mapInArrow(work, "i binary, c binary, s binary, w bigint, y int").limit(most)
+    rows = []  # one partition at a time: the driver holds the packed features once
+    for r in found.toLocalIterator():
+        rows.append((bytes(r.s), np.frombuffer(bytes(r.i), np.int32), np.frombuffer(bytes(r.c), np.int32), r.w, r.y))
+    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[4]))
+    n = len(rows)
+    doc = np.repeat(np.arange(n), [len(r[1]) for r in rows])
+    words = np.array([r[3] for r in rows], np.int64)
+    label = np.array([r[4] for r in rows], np.int64)
+    stats = np.array([np.frombuffer(r[0], np.float32) for r in rows], np.float32).reshape(n, len(STATISTICS))
+    none = [np.zeros(0, np.int32)]
+    index = np.concatenate([r[1] for r in rows] or none).astype(np.int64)
+    count = np.concatenate([r[2] for r in rows] or none)
+    del rows
+    value = np.sqrt(count / np.maximum(words, 1)[doc]).astype(np.float32) if n else np.zeros(0, np.float32)
+    return doc, index, value, count, stats, words, label
 
 
 def score_texts(docs: DataFrame, columns: list[str], schema: str, work) -> DataFrame:

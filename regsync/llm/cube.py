@@ -170,8 +170,8 @@ def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Units are dealt by a hash into blocks of about ``block``; each flight leaves at most two
     open units, which meet in fewer blocks in the next round, until a part's open units fit one block,
-    where the flight ends with the landing.  So no task ever holds more than a block, whatever a
-    part's share of the rows.  Large units fly
+    where the flight ends with the landing.  So no task holds more than a few blocks, whatever a
+    part's share of the rows; only rows equal in id, source and text share a block whatever their number.  Large units fly
     first, so that small ones are left to the landing.  Order and seeds come from ``rank``, a hash of the row's content: reruns agree.
     """
     closed = []
@@ -183,7 +183,7 @@ def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
         if not widest:
             break
         last = widest <= block
-        blocks = F.pmod(F.xxhash64("rank", "key", F.lit(level)), F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block))).cast("long"))
+        blocks = F.pmod(F.xxhash64("rank", F.lit(level)), F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block))).cast("long"))
         dealt = left.join(counts, "part").withColumn("block", blocks).select("part", "block", "rank", "key", "size", "prob")
         dealt = dealt.repartition("part", "block").sortWithinPartitions("part", "block", F.desc("size"), "rank", "key")
         flown = dealt.mapInArrow(_fly(last), "part bigint, rank bigint, key bigint, size bigint, prob double").checkpoint()

@@ -71,20 +71,30 @@ def match(batch: DataFrame, registry: DataFrame, most: int | None = None) -> Dat
     """
     side = lambda df, s: df.select("ord", *_KEYS, F.xxhash64(F.lit(s), "ord").alias("row"))
     own, theirs = cut(side(batch, "b")), cut(side(registry, "r"))
-    keyed = lambda df: df.select("row", F.explode(F.array(*[F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(k), k)) for k in _KEYS])).alias("key")).where("key is not null")
-    a, b = keyed(own), keyed(theirs)
-    shared = a.select("key").distinct().join(b.select("key").distinct(), "key")
-    links = cut(a.unionByName(b).join(shared, "key"))
+    tiers = F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(i).alias("tier"), F.xxhash64(F.lit(k), k).alias("key"))) for i, k in enumerate(_KEYS, 1)])
+    keyed = lambda df, s: df.select("ord", "row", F.lit(s).alias("side"), F.explode(tiers).alias("t")).where("t is not null").select("ord", "row", "side", "t.*")
+    links = keyed(own, "b").unionByName(keyed(theirs, "r"))
+    of = lambda s, c: F.when(F.col("side") == s, F.col(c))
+    shared = links.groupBy("key").agg(F.count(of("b", "row")).alias("nb"), F.count(of("r", "row")).alias("nr"), F.min(of("b", "ord")).alias("csv_ord"), F.min(of("r", "ord")).alias("db_ord")).where("nb > 0 and nr > 0")
+    links = cut(links.join(shared, "key"))
+    # two rows that share keys with each other only are a component of their own and match in the first tier that they share
+    partner = F.when(F.col("side") == "b", F.col("db_ord")).otherwise(F.col("csv_ord"))
+    alone = links.groupBy("side", "ord").agg((F.max(F.greatest("nb", "nr")) == 1).alias("sole"), F.min(partner).alias("p"), F.max(partner).alias("q"), F.min("tier").cast("long").alias("tier")).where("sole and p = q")
+    left = alone.where("side = 'b'").select(F.col("ord").alias("csv_ord"), F.col("p").alias("db_ord"), "tier")
+    right = alone.where("side = 'r'").select(F.col("p").alias("csv_ord"), F.col("ord").alias("db_ord"))
+    pairs = cut(left.join(right, ["csv_ord", "db_ord"]))
+    gone = pairs.select(F.xxhash64(F.lit("b"), "csv_ord").alias("row")).unionByName(pairs.select(F.xxhash64(F.lit("r"), "db_ord").alias("row")))
+    links = cut(links.select("row", "key").join(gone, "row", "left_anti"))
     roots = cut(connected_components(links, "row", "key"))
-    place = links.select("row").distinct().join(roots, F.col("row") == roots.node, "left").select("row", F.coalesce("root", "row").alias("root"))
-    place = cut(place)
+    place = cut(links.select("row").distinct().join(roots, F.col("row") == roots.node, "left").select("row", F.coalesce("root", "row").alias("root")))
     if most is not None:
         largest = place.groupBy("root").count().agg(F.max("count")).first()[0] or 0
         if largest > most:
             raise ValueError(f"a component has {largest} rows")
     left, right = own.join(place, "row").drop("row"), theirs.join(place, "row").drop("row")
     work = lambda x, y: greedy(x, y)
-    return left.groupBy("root").cogroup(right.groupBy("root")).applyInPandas(work, "csv_ord bigint, db_ord bigint, tier bigint")
+    rest = left.groupBy("root").cogroup(right.groupBy("root")).applyInPandas(work, "csv_ord bigint, db_ord bigint, tier bigint")
+    return pairs.unionByName(rest)
 
 
 def cascade(batch: DataFrame, registry: DataFrame) -> DataFrame:

@@ -138,10 +138,10 @@ def train(docs: DataFrame, learn=None, sample: int = SAMPLE) -> ByteCNN:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     if learn is not None:
         known = known.where(learn)
-    # a language may hold most rows: its parts are cut to the sample first, so the second window sees 64 * sample rows at most
+    # a language may hold most rows: its parts are cut to the sample first, so the second window sees 8 * sample rows at most
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
-    for keys in (["lang", "part"], ["lang"]):
-        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("r") <= sample)
+    for keys, most in ((["lang", "part"], max(1, sample // 8)), (["lang"], sample)):
+        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("r") <= most)
     ids = ids.groupBy("doc_id", "lang").agg(F.min("r").alias("r")).orderBy("r", "lang").limit(sample * LANGUAGES).select("doc_id", "lang")
 
     def cut(batches):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.components import spread
+
 MUNICIPALITIES = (
     "Porto Alegre", "São Paulo", "Itapajé", "Cuiabá", "Pedro II", "Esteio", "Fortaleza", "Manaus", "Belém", "Recife", "Natal", "Salvador", "Vitória",
     "Curitiba", "Palmas", "Goiânia", "Macapá", "Boa Vista", "Teresina", "Maceió", "Aracaju", "Campinas", "Santos", "Niterói", "Olinda",
@@ -19,7 +21,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One institution for each customer; every thirteenth is inactive."""
     towns, states = (F.array(*map(F.lit, x)) for x in (MUNICIPALITIES, STATES))
-    df = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    df = spread(read(spark, sf_dir, "customer")).join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     df = df.select(F.col("c_custkey").alias("id"), "c_name", "n_nationkey", "n_regionkey")
     df = df.withColumns({"municipio": F.element_at(towns, (F.col("n_nationkey") % 25 + 1).cast("int")), "uf": F.element_at(states, (F.col("n_regionkey") % 5 + 1).cast("int")), "cep": F.lpad((10000001 + 37 * F.col("id")).cast("string"), 8, "0")})
     address = F.format_string("Rua das Flores, %d, Centro, %s %s - %s", "id", "municipio", "uf", "cep")

@@ -16,6 +16,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows to all cores where the input has fewer partitions than cores; larger inputs stay as they are.
+
+    Folding and parsing a row costs far more than moving it.  For scans and checkpoints, whose partitions are known without a job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): for each node that is not its component's smallest, that smallest.
 

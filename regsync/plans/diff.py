@@ -11,7 +11,7 @@ from ..functions.base import first_filled
 from ..functions.keys import with_batch_keys, with_registry_keys
 from ..operators.audit import audit
 from ..operators.classify import classify, course_changes, course_counts
-from ..operators.components import cut
+from ..operators.components import cut, spread
 from ..operators.matching import cascade, match
 from ..schemas import normalize_columns
 
@@ -36,7 +36,7 @@ def compare(registry: DataFrame, batch: DataFrame, partial: bool | None = None,
     exact: the sequential matching, else the faster cascade by tiers.  Inactivation looks at the matches of the tiers
     only, so a registry row that the audit finds may also be among the inactivated.
     """
-    registry, batch = cut(normalize_columns(registry, registry_order)), cut(normalize_columns(batch, batch_order))
+    registry, batch = spread(cut(normalize_columns(registry, registry_order))), spread(cut(normalize_columns(batch, batch_order)))
     total_db, total_csv = registry.count(), batch.count()
     if partial is None:
         partial = total_db > 0 and total_csv < PARTIAL * total_db

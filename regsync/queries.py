@@ -19,7 +19,7 @@ from .functions.base import filled, first_filled, fold
 from .functions.keys import TIERS, with_batch_keys, with_registry_keys
 from .operators import aggregate, audit, matching, quality, records, search
 from .operators.classify import course_changes, course_counts
-from .operators.components import cut
+from .operators.components import cut, spread
 from .plans import diff, duck, report, sync
 from .schemas import normalize_columns
 from .sources import files
@@ -65,7 +65,7 @@ def forget() -> None:
 
 def _map(name: str, table: str, key: str, column: str, value, sql_value: str, out: str = "valor") -> None:
     """A query that applies a function to a whole column of a table."""
-    _add(name, f"SELECT {key}, {sql_value} AS {out} FROM {table}")(lambda s, d: read(s, d, table).select(key, value(_c(column)).alias(out)))
+    _add(name, f"SELECT {key}, {sql_value} AS {out} FROM {table}")(lambda s, d: spread(read(s, d, table)).select(key, value(_c(column)).alias(out)))
 
 
 def _reg(name: str, value, sql_value: str, side: str = "bat", out: str = "valor") -> None:

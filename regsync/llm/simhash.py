@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import as_bytes, map_arrow, prepare
 from .graph import connected_components
@@ -138,18 +139,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows return repeated rows.  Distinct fingerprints, not rows, are compared.
     """
     prepare(docs.sparkSession)
-    own = fingerprints(docs).checkpoint()
+    return classes_of(fingerprints(docs).checkpoint(), lambda classes: near_links(classes.select("fp")))
+
+
+def classes_of(own: DataFrame, links) -> DataFrame:
+    """(doc_id, fp, class_fp, component_id) for rows (doc_id, fp), by the links that ``links`` makes of the distinct fp."""
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
-    roots = connected_components(near_links(classes.select("fp")))
+    roots = connected_components(links(classes))
     classes = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("class_fp"))
     least = classes.groupBy("class_fp").agg(F.min("first").alias("component_id"))
     named = classes.join(least, "class_fp").select("fp", "class_fp", "component_id")
     return own.join(named, "fp").select("doc_id", "fp", "class_fp", "component_id")
 
 
+def keep_first(docs: DataFrame, found: DataFrame, prints) -> DataFrame:
+    """One row of docs for each class of ``found``: with the smallest doc_id, of several such the smallest fp.
+
+    ``prints`` gives the fp of a column of texts, so that a row can stand only for its own class.
+    """
+    kept = found.where("doc_id <=> component_id").groupBy("class_fp").agg(F.min(F.struct("fp", "doc_id")).alias("k")).select(F.col("k.fp").alias("__fp"), F.col("k.doc_id").alias("__id"))
+    names = docs.columns
+
+    def work(batches):
+        for b in batches:
+            own = pa.array(prints(b.column(names.index("text"))), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, own], [*names, "__own"])
+
+    rows = docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("__own", LongType())]))
+    rows = rows.join(kept, (F.col("__own") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    return rows.dropDuplicates(["__own"]).select(*names)
+
+
+def _signed_prints(column) -> list[int]:
+    return np.array([fingerprint(t) for t in as_bytes(column)], np.uint64).view(np.int64)
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one for each component of near duplicates, the one with the smallest doc_id."""
-    found = near_duplicates(docs)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), "class_fp").distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.dropDuplicates(["class_fp"]).select(*docs.columns)
+    return keep_first(docs, near_duplicates(docs), _signed_prints)

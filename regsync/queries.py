@@ -301,17 +301,17 @@ def diff_cascade(s, d):
 
 @_add("inactivated", duck.statement(duck.diff_ctes(), "SELECT id FROM diff WHERE status = 'inativado'"))
 def inactivated(s, d):
-    return _diff(s, d, exact=False).rows.where("status = 'inativado'").select("id")
+    return _diff(s, d).rows.where("status = 'inativado'").select("id")
 
 
 @_add("reactivated", duck.statement(duck.diff_ctes(), "SELECT id FROM diff WHERE status = 'reativado'"))
 def reactivated(s, d):
-    return _diff(s, d, exact=False).rows.where("reativar").select("id")
+    return _diff(s, d).rows.where("reativar").select("id")
 
 
 @_add("partial_lock", duck.statement(f"{duck.REG}, {duck.BAT}", "SELECT (SELECT count(*) FROM bat WHERE pos % 2 = 0) < 0.8 * (SELECT count(*) FROM reg) AS is_parcial, CAST(0 AS BIGINT) AS inativados_qtd"))
 def partial_lock(s, d):
-    out = diff.compare(domain.registry(s, d), domain.batch(s, d).where("pos % 2 = 0"), registry_order="id", batch_order="pos", exact=False)
+    out = diff.compare(domain.registry(s, d), domain.batch(s, d).where("pos % 2 = 0"), registry_order="id", batch_order="pos")
     return out.summary.select("is_parcial", "inativados_qtd")
 
 
@@ -459,7 +459,7 @@ def prefix_match(s, d):
 # synchronisation
 @_once
 def _plan(s, d):
-    return cut(sync.actions(_diff(s, d, exact=False).rows))
+    return cut(sync.actions(_diff(s, d).rows))
 
 
 @_add("sync_plan", duck.statement(duck.diff_ctes(), "SELECT coalesce(id, -1) AS id, coalesce(ord, -1) AS ord, CASE status WHEN 'novo' THEN 'insert' WHEN 'inativado' THEN 'deactivate' ELSE 'update' END AS action FROM diff WHERE status <> 'mantido'"))
@@ -501,17 +501,17 @@ def snowflake_ids(s, d):
 # reports
 @_add("report_new", duck.statement(f"{duck.diff_ctes()}, n AS (SELECT b.* FROM bk b JOIN diff f ON b.ord = f.ord WHERE f.status = 'novo')", "SELECT 'NOVO' AS snowflake_id, nome AS nome_instituicao, endereco, muni AS municipio, kuf AS uf FROM n"))
 def report_new(s, d):
-    return report.new_report(_diff(s, d, exact=False).rows).select("snowflake_id", "nome_instituicao", "endereco", "municipio", "uf")
+    return report.new_report(_diff(s, d).rows).select("snowflake_id", "nome_instituicao", "endereco", "municipio", "uf")
 
 
 @_add("report_changed", duck.statement(duck.diff_ctes(), "SELECT id AS snowflake_id, diferencas AS diferencas_detectadas FROM diff WHERE status = 'alterado'"))
 def report_changed(s, d):
-    return report.changed_report(_diff(s, d, exact=False).rows).select("snowflake_id", "diferencas_detectadas")
+    return report.changed_report(_diff(s, d).rows).select("snowflake_id", "diferencas_detectadas")
 
 
 @_add("report_inactive", duck.statement(duck.diff_ctes(), "SELECT r.id AS snowflake_id, r.nome_instituicao, r.municipio, r.uf, r.cep, 'Inativado (ativo=0)' AS status_migracao FROM reg r JOIN diff f ON r.id = f.id WHERE f.status = 'inativado'"))
 def report_inactive(s, d):
-    return report.inactive_report(_diff(s, d, exact=False).rows).select("snowflake_id", "nome_instituicao", "municipio", "uf", "cep", "status_migracao")
+    return report.inactive_report(_diff(s, d).rows).select("snowflake_id", "nome_instituicao", "municipio", "uf", "cep", "status_migracao")
 
 
 @_add("report_courses", duck.statement(_SETS, "SELECT inst_id AS snowflake_id, 'x' AS nome_instituicao, CASE WHEN course_id % 3 = 1 THEN 'Nova Oferta' ELSE 'Encerrado' END AS tipo_alteracao, CAST(course_id AS VARCHAR) AS nome_curso FROM o WHERE course_id % 3 <> 2"))
@@ -560,7 +560,7 @@ def xlsx_cells(s, d):
 
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: the whole comparison of a perturbed batch with the registry."""
-    return _diff(spark, "/root/testdata/sf0.001", exact=False).rows
+    return _diff(spark, "/root/testdata/sf0.001").rows
 
 
 def queries() -> dict[str, Query]:

@@ -129,7 +129,7 @@ def fallback(batch: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def lookup(names: DataFrame, registry: DataFrame) -> DataFrame:
-    """(ord, step, db_ord) for a list of names: by natural key, by core name with municipality and state, by the first 12 folded characters."""
+    """(ord, step, db_ord) for a list of names: by natural key, by core name with municipality and state, by the first 12 folded characters, all of a shorter name."""
     from ..functions.base import fold
 
     out = names
@@ -137,7 +137,8 @@ def lookup(names: DataFrame, registry: DataFrame) -> DataFrame:
         head = registry.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("ord").alias(f"d{step}"))
         out = out.join(head, k, "left")
     start = lambda df: F.substring(fold(df["nome"]), 1, 12)
-    head = registry.withColumn("start12", start(registry)).where(F.length("start12") == 12).groupBy("start12").agg(F.min("ord").alias("d3"))
+    begins = F.explode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.substring(F.col("s"), F.lit(1), i)))
+    head = registry.select("ord", start(registry).alias("s")).where("s <> ''").select("ord", begins.alias("start12")).groupBy("start12").agg(F.min("ord").alias("d3"))
     out = out.withColumn("start12", start(out)).join(head, "start12", "left")
     found = F.coalesce("d1", "d2", "d3")
     step = F.when(F.col("d1").isNotNull(), 1).when(F.col("d2").isNotNull(), 2).when(F.col("d3").isNotNull(), 3)

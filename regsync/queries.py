@@ -256,7 +256,7 @@ def match_cascade(s, d):
 
 def _contention(s, d):
     df = read(s, d, "part").select(_c("p_partkey").alias("ord"), _c("p_name").alias("nome_instituicao"), F.lit("Esteio").alias("municipio"), F.lit("RS").alias("uf"))
-    return with_batch_keys(normalize_columns(df.where("ord % 2 = 0"), "ord")), with_registry_keys(normalize_columns(df.where("ord % 3 = 0"), "ord"))
+    return with_batch_keys(normalize_columns(df, "ord")), with_registry_keys(normalize_columns(df, "ord"))
 
 
 @_add("diff_greedy_contention")
@@ -270,6 +270,11 @@ def lookup_names(s, d):
     return matching.lookup(b.where("ord < 43"), r)
 
 
+@_add("lookup_all_names")
+def lookup_all_names(s, d):
+    return matching.lookup(*_sides(s, d))
+
+
 # comparison
 @_once
 def _diff(s, d, **kw):

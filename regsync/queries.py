@@ -322,9 +322,9 @@ def partial_lock(s, d):
 
 # audit
 @_once
-def _audit_sides(s, d):
+def _audit_sides(s, d, whole=False):
     b, r = _sides(s, d)
-    fresh = b.where("ord % 5 = 0").select("ord", "nome", _c("muni").alias("municipio"), _c("key_uf").alias("uf"), "endereco", "dependencia_adm")
+    fresh = (b if whole else b.where("ord % 5 = 0")).select("ord", "nome", _c("muni").alias("municipio"), _c("key_uf").alias("uf"), "endereco", "dependencia_adm")
     return cut(audit.new_side(fresh)), cut(audit.audit_side(r))
 
 
@@ -348,6 +348,7 @@ _BY = {
 _AUDIT = _AUDIT.rpartition(", ok AS (")[0]
 for _name, _f in (("cep", audit.by_code), ("street", audit.by_street), ("words", audit.by_words), ("core", audit.by_core)):
     _add(f"audit_{_name}", duck.statement(_AUDIT, _BY[_name]))(lambda s, d, f=_f: f(*_audit_sides(s, d)))
+    _add(f"audit_all_{_name}")(lambda s, d, f=_f: f(*_audit_sides(s, d, whole=True)))
 
 _FIRST = f"f AS (SELECT csv_ord, min(db_ord) AS db_ord FROM ({_BY['cep']} UNION ALL {_BY['street']} UNION ALL {_BY['words']}) GROUP BY csv_ord), c AS ({_BY['core']})"
 
@@ -357,6 +358,11 @@ def audit_match(s, d):
     return audit.audit_match(*_audit_sides(s, d))
 
 
+@_add("audit_all_match")
+def audit_all_match(s, d):
+    return audit.audit_match(*_audit_sides(s, d, whole=True))
+
+
 @_add("audit_guards", "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN true WHEN p_size % 3 = 1 THEN false END AS publica FROM part")
 def audit_guards(s, d):
     kind = F.when(_c("p_size") % 3 == 0, "Pública Estadual").when(_c("p_size") % 3 == 1, "Privada").otherwise("")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="regsync-checkpoint-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -77,6 +81,32 @@ def open_array(folder: str, name: str) -> np.ndarray:
         return np.load(path)
 
 
+def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Writes flat arrays to one file; the rename makes a repeated task harmless."""
+    path, at, head = os.path.join(local_path(folder), name), 0, {}
+    for k, x in arrays.items():
+        head[k] = (x.dtype.str, len(x), at)
+        at += -(-x.nbytes // 8) * 8
+    line = json.dumps(head).encode()
+    line = line.ljust(-(-(len(line) + 8) // 8) * 8 - 8)
+    spare = f"{path}.{uuid.uuid4().hex}.tmp"
+    with open(spare, "wb") as f:
+        f.write(len(line).to_bytes(8, "little") + line)
+        for x in arrays.values():
+            f.write(np.ascontiguousarray(x).tobytes())
+            f.write(bytes(-x.nbytes % 8))
+    os.replace(spare, path)
+
+
+def open_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of ``write_arrays``, memory-mapped."""
+    whole = np.memmap(os.path.join(local_path(folder), name), np.uint8, "r")
+    size = int.from_bytes(whole[:8].tobytes(), "little")
+    head = json.loads(whole[8 : 8 + size].tobytes())
+    cut = lambda kind, n, at: whole[8 + size + at :][: n * np.dtype(kind).itemsize].view(kind)
+    return {k: cut(*x) for k, x in head.items()}
+
+
 def remainder(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as 0."""
     code = F.crc32(F.col(id_column).cast("string").cast("binary"))

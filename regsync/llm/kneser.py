@@ -1,4 +1,4 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model in memory-mapped hash arrays."""
+"""Language-model scoring: an interpolated modified Kneser-Ney trigram model in memory-mapped sorted hash arrays."""
 
 from __future__ import annotations
 
@@ -7,13 +7,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, as_bytes, mix, new_folder, open_array, prepare, steps, write_array
+from .common import U64, Words, as_bytes, mix, new_folder, open_arrays, prepare, steps, write_arrays
 
 #: Hashes of the text's end, which is a token, and of the text's start, which is only a context.
 END, START = U64(1), U64(2)
 #: Characters of training text for each partition of the model, tokens counted before a task passes its counts on.
 PARTITION_CHARS, FLUSH = 16 << 20, 4 << 20
 _STEP = 1 << 18
+_GOLD = U64(0x9E3779B97F4A7C15)
+
+
+# hashes and partitions
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a.astype(U64) + _GOLD) + b.astype(U64))
+
+
+def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(_pair(a, b) * _GOLD + c.astype(U64))
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -21,8 +31,111 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(parts)) >> U64(32)
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (words, then the end) and of their contexts, and the places of the ends."""
+def _cut(part: np.ndarray, *arrays):
+    """(partition, slices of the arrays) for ascending partitions."""
+    heads = _heads(part)
+    for a, z in zip(heads, np.append(heads, len(part))[1:], strict=True):
+        yield int(part[a]), [x[a:z] for x in arrays]
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+# packets: columns of numbers on their way through a shuffle
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, each in as few bytes as its largest number needs, byte by byte, compressed."""
+    n, planes, widths = len(columns[0]), [], []
+    for c in columns:
+        c = np.ascontiguousarray(c, U64)
+        width = max(1, -(-int(c.max()).bit_length() // 8)) if n else 1
+        planes.append(c.view(np.uint8).reshape(n, 8)[:, :width].T.tobytes())
+        widths.append(width)
+    return bytes([len(widths), *widths]) + n.to_bytes(8, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    k = data[0]
+    widths, n = data[1 : k + 1], int.from_bytes(data[k + 1 : k + 9], "little")
+    raw = np.frombuffer(pa.decompress(data[k + 9 :], n * sum(widths), codec="zstd"), np.uint8)
+    out, at = [], 0
+    for width in widths:
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        out.append(full.view(U64).reshape(n))
+        at += n * width
+    return out
+
+
+def _rows(rows, *kinds):
+    """A record batch of the rows (names a, b, c ...)."""
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], list("abcdefgh"[: len(kinds)]))
+
+
+def _by_partition(function):
+    """Calls function(p, rows) for all rows of a partition; the input is sorted by p."""
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now is not None and row[0] != now:
+                    yield function(now, held)
+                    held = []
+                now = row[0]
+                held.append(row[1:])
+        if now is not None:
+            yield function(now, held)
+
+    return run
+
+
+# arrays of a partition
+def _counts(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Whole numbers of any size as one byte each; 255 stands for those that are listed apart."""
+    over = np.flatnonzero(values >= 255)
+    return {name: np.minimum(values, 255).astype(np.uint8), f"{name}_at": over.astype(np.int64), f"{name}_is": values[over].astype(np.int64)}
+
+
+def _count_at(held: dict[str, np.ndarray], name: str, place: np.ndarray) -> np.ndarray:
+    out = held[name][place].astype(np.int64)
+    over = np.flatnonzero(out == 255)
+    if len(over):
+        out[over] = held[f"{name}_is"][np.searchsorted(held[f"{name}_at"], place[over])]
+    return out
+
+
+def _keys(name: str, code: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted hashes, of which 48 bits are kept."""
+    return {f"{name}_high": (code >> U64(32)).astype(np.uint32), f"{name}_low": (code >> U64(16)).astype(np.uint16)}
+
+
+def _find(held: dict[str, np.ndarray], name: str, code: np.ndarray) -> np.ndarray:
+    """The place of each hash, -1 where it isn't there."""
+    high, low = held[f"{name}_high"], held[f"{name}_low"]
+    out = np.full(len(code), -1, np.int64)
+    if not len(high):
+        return out
+    h, x = (code >> U64(32)).astype(np.uint32), (code >> U64(16)).astype(np.uint16)
+    place, open_ = np.searchsorted(high, h), np.arange(len(code))
+    while len(open_):
+        open_ = open_[place[open_] < len(high)]
+        open_ = open_[high[place[open_]] == h[open_]]
+        hit = low[place[open_]] == x[open_]
+        out[open_[hit]] = place[open_[hit]]
+        open_ = open_[~hit]
+        place[open_] += 1
+    return out
+
+
+# tokens
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens (words, then the end), and the places of the ends."""
     words = Words(texts)
     n = len(texts)
     ends = np.cumsum(words.count) + np.arange(n)
@@ -31,10 +144,15 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own[ends] = False
     out[ends] = END
     out[own] = words.hash
-    before = np.empty(len(out), U64)
-    before[1:] = out[:-1]
-    before[np.concatenate(([0], ends[:-1] + 1))] = START
-    return out, before, ends
+    return out, ends
+
+
+def _before(values: np.ndarray, ends: np.ndarray, start) -> np.ndarray:
+    """The value one place before each, ``start`` at a text's first."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[np.concatenate(([0], ends[:-1] + 1))] = start
+    return out
 
 
 def _batches_of_tokens(batches):
@@ -43,18 +161,7 @@ def _batches_of_tokens(batches):
             yield tokens(texts)
 
 
-def _packed(rows, names, kinds):
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
-
-
-def _cut(part: np.ndarray, *arrays):
-    """(partition, slices of the arrays) for ascending partitions."""
-    heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
-    for a, z in zip(heads, [*heads[1:], len(part)], strict=True):
-        yield int(part[a]), [x[a:z] for x in arrays]
-
-
+# words
 def _counted(parts):
     """Rows (p, hashes, counts) of a task's words, summed as far as memory allows."""
 
@@ -64,9 +171,9 @@ def _counted(parts):
         def flush():
             h, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
             c = np.bincount(inverse, np.concatenate([x for _, x in held])).astype(np.int64)
-            return _packed([(p, x.tobytes(), y.tobytes()) for p, (x, y) in _cut(_part(h, parts), h, c)], ["p", "h", "c"], [pa.int32(), pa.binary(), pa.binary()])
+            return _rows([(p, x.tobytes(), _packed(y)) for p, (x, y) in _cut(_part(h, parts), h, c)], pa.int32(), pa.binary(), pa.binary())
 
-        for tok, _, ends in _batches_of_tokens(batches):
+        for tok, ends in _batches_of_tokens(batches):
             h, c = np.unique(np.concatenate([tok, np.full(len(ends), START)]), return_counts=True)
             held.append((h, c))
             total += len(h)
@@ -79,35 +186,13 @@ def _counted(parts):
     return run
 
 
-def _by_partition(function):
-    """Calls function(p, rows) for all rows of a partition; the input is sorted by p."""
-
-    def run(batches):
-        now, held = None, []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if now is not None and row[0] != now:
-                    yield function(now, held)
-                    held = []
-                now = row[0]
-                held.append(row[1:])
-        if now is not None:
-            yield function(now, held)
-
-    return run
-
-
-def _numbers(kind, pieces):
-    return np.frombuffer(b"".join(pieces), kind)
-
-
 def _write_words(folder):
     def work(p, rows):
-        h, inverse = np.unique(_numbers(U64, [r[0] for r in rows]), return_inverse=True)
-        c = np.bincount(inverse, _numbers(np.int64, [r[1] for r in rows])).astype(np.int64)
-        write_array(folder, f"word-{p}", h)
-        write_array(folder, f"count-{p}", c)
-        return _packed([(p, len(h), int(c.sum()))], ["p", "n", "total"], [pa.int32(), pa.int64(), pa.int64()])
+        h, inverse = np.unique(np.concatenate([np.frombuffer(r[0], U64) for r in rows]), return_inverse=True)
+        c = np.zeros(len(h), np.int64)
+        np.add.at(c, inverse, np.concatenate([_unpacked(r[1])[0] for r in rows]).astype(np.int64))
+        write_arrays(folder, f"word-{p}", {"hash": h} | _counts("count", c))
+        return _rows([(p, len(h), int(c.sum()))], pa.int32(), pa.int64(), pa.int64())
 
     return _by_partition(work)
 
@@ -115,107 +200,151 @@ def _write_words(folder):
 class Model:
     """The arrays of a trained model, opened by a worker when first needed.
 
-    word-p: sorted hashes of the words of range p; count-p, follows-p (how many words with count 1, 2 and
-    more follow it) and before-p (before how many words it stands) go along with them.  A word's id is its place in all
-    ranges together.  pair-p: sorted hashes of word pairs; pairs-p their counts.
+    word-p: sorted hashes of the words of range p and their counts; a word's id is its place in all ranges together.
+    stat-p: before how many words each of them stands, and the sum and the numbers of counts 1, 2 and more of what follows it.
+    gram-p: sorted hashes and counts of trigrams (u, v, w), with the same four numbers for contexts (u, v) that occur more than
+    once, and bigrams (v, w) with how many words stand before them.  pair-p: bigrams of the frequent words v of ``hot``.
     """
 
     def __init__(self, folder: str, parts: int, offsets: np.ndarray):
         self.folder, self.parts, self.offsets = folder, parts, offsets
-        self.hot = np.zeros(0, U64)
+        self.hot = np.zeros(0, np.int64)
+        self.start = -1
         self.total = self.kinds = self.pairs = 0
-        self.discount = self.discount_before = (0.0, 0.0, 0.0)
+        self.discounts = [(0.0, 0.0, 0.0)] * 3
         self.spare = 1.0
-        self._open: dict[str, np.ndarray] = {}
+        self.full: set[str] = set()
+        self._open: dict[str, dict[str, np.ndarray]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def array(self, name: str) -> np.ndarray:
+    def held(self, name: str) -> dict[str, np.ndarray]:
         if name not in self._open:
-            self._open[name] = open_array(self.folder, name)
+            self._open[name] = open_arrays(self.folder, name)
         return self._open[name]
 
-    def words(self, h: np.ndarray, *names: str):
-        """For sorted hashes: ids (-1 if unknown) and the values of the named arrays (0 if unknown)."""
-        ids = np.full(len(h), -1, np.int64)
-        out = [None] * len(names)
+    def words(self, h: np.ndarray, statistics: bool = False):
+        """For sorted hashes: ids (-1 if unknown) and, if asked for, a row of counts, words before, and the four numbers of what follows (0 if unknown)."""
+        ids, values = np.full(len(h), -1, np.int64), np.zeros((len(h), 6), np.int64)
         for p, (x, at) in _cut(_part(h, self.parts), h, np.arange(len(h))):
             if self.offsets[p] == self.offsets[p + 1]:
                 continue
-            known = self.array(f"word-{p}")
-            place = np.minimum(np.searchsorted(known, x), len(known) - 1)
-            ok = known[place] == x
-            ids[at[ok]] = place[ok] + self.offsets[p]
-            for i, name in enumerate(names):
-                values = self.array(f"{name}-{p}")
-                if out[i] is None:
-                    out[i] = np.zeros((len(h), *values.shape[1:]), np.int64)
-                out[i][at[ok]] = values[place[ok]]
-        return ids, *[np.zeros(len(h), np.int64) if x is None else x for x in out]
-
-    def pair_part(self, key: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Pairs of a context lie together, those of a very frequent one are dealt to all partitions."""
-        first = key >> U64(32)
-        hot = np.isin(first, self.hot)
-        return _part(np.where(hot, code, mix(first + U64(1))), self.parts)
-
-    def pair_counts(self, key: np.ndarray) -> np.ndarray:
-        code = mix(key)
-        part = self.pair_part(key, code)
+            held = self.held(f"word-{p}")
+            place = np.minimum(np.searchsorted(held["hash"], x), len(held["hash"]) - 1)
+            ok = held["hash"][place] == x
+            at, place = at[ok], place[ok]
+            ids[at] = place + self.offsets[p]
+            if statistics:
+                values[at, 0] = _count_at(held, "count", place)
+                more = self.held(f"stat-{p}")
+                for i, name in enumerate(("before", "sum", "one", "two", "many"), 1):
+                    values[at, i] = _count_at(more, name, place)
+        return (ids, values) if statistics else ids
+
+    def part(self, v: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """What has v in its middle lies together; what has a very frequent v is dealt by ``code``."""
+        return _part(np.where(np.isin(v, self.hot), code, mix(v.astype(U64) + U64(1))), self.parts)
+
+    def look(self, kind: str, part: np.ndarray, code: np.ndarray, names: tuple[str, ...], files: np.ndarray | None = None) -> np.ndarray:
+        """The named counts of each hash in its partition's arrays, 0 where it isn't there; files: whether it is a frequent word's."""
+        out = np.zeros((len(code), len(names)), np.int64)
         order = np.lexsort((code, part))
-        out = np.zeros(len(key), np.int64)
         for p, (x, at) in _cut(part[order], code[order], order):
-            known = self.array(f"pair-{p}")
-            if len(known):
-                place = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                ok = known[place] == x
-                out[at[ok]] = self.array(f"pairs-{p}")[place[ok]]
+            for prefix, own in (("gram", slice(None)),) if files is None else (("gram", ~files[at]), ("pair", files[at])):
+                file, y, to = f"{prefix}-{p}", x[own], at[own]
+                if not len(y) or file not in self.full:
+                    continue
+                held = self.held(file)
+                place = _find(held, kind, y)
+                ok = place >= 0
+                for i, name in enumerate(names):
+                    out[to[ok], i] = _count_at(held, name, place[ok])
         return out
 
+    def _share(self, level: int, count, numbers, lower):
+        """The interpolated probability at a level from the count, the context's four numbers and the lower level's."""
+        d1, d2, d3 = self.discounts[level]
+        cut = np.select([count >= 3, count == 2, count == 1], [d3, d2, d1], 0.0)
+        total = np.maximum(numbers[:, 0], 1)
+        return np.where(numbers[:, 0] > 0, (count - cut + (numbers[:, 1:] @ np.array([d1, d2, d3])) * lower) / total, lower)
+
     def score(self, texts: list[bytes]):
         """(tokens, known tokens, base log10, model log10) of each text."""
-        tok, before, ends = tokens(texts)
-        kinds, inverse = np.unique(np.concatenate([tok, before]), return_inverse=True)
-        ids, count, follows, stands = self.words(kinds, "count", "follows", "before")
-        w, h = inverse[: len(tok)], inverse[len(tok) :]
+        tok, ends = tokens(texts)
+        sizes = np.diff(np.concatenate(([-1], ends)))
         if not self.total:
             zero = np.zeros(len(texts))
-            return np.diff(np.concatenate(([-1], ends))), zero.astype(np.int64), zero, zero
-        base = np.log10((count + 1.0) / (self.total + self.kinds + 1.0))
-        d1, d2, d3 = self.discount_before
+            return sizes, zero.astype(np.int64), zero, zero
+        kinds, at = np.unique(np.concatenate([tok, [START]]), return_inverse=True)
+        ids, of = self.words(kinds, True)
+        start, w = at[-1], at[:-1]
+        count = of[:, 0]
+        d1, d2, d3 = self.discounts[0]
+        stands = of[:, 1]
         cut = np.select([stands >= 3, stands == 2, stands == 1], [d3, d2, d1], 0.0)
-        lower = (stands - cut) / max(self.pairs, 1) + self.spare / (self.kinds + 1.0)
-        rows = follows if follows.ndim == 2 else np.zeros((len(kinds), 3))
-        d1, d2, d3 = self.discount
-        gamma = np.where(count > 0, rows @ np.array([d1, d2, d3]) / np.maximum(count, 1), 1.0)
-        p = gamma[h] * lower[w]
-        both = np.flatnonzero((ids[h] >= 0) & (ids[w] >= 0))
-        key, back = np.unique((ids[h[both]].astype(U64) << U64(32)) | ids[w[both]].astype(U64), return_inverse=True)
-        c = self.pair_counts(key)[back]
-        cut = np.select([c >= 3, c == 2, c == 1], [d3, d2, d1], 0.0)
-        p[both] += (c - cut) / np.maximum(count[h[both]], 1)
-        heads = np.concatenate(([0], ends[:-1] + 1))
-        by_text = lambda x: np.add.reduceat(x, heads)
-        return np.diff(np.concatenate(([-1], ends))), by_text((count[w] > 0).astype(np.int64)), by_text(base[w]), by_text(np.log10(p))
-
-
-def _pairs(model: Model):
-    """Rows (p, keys, counts) of a task's word pairs."""
+        single = (stands - cut) / max(self.pairs, 1) + self.spare / (self.kinds + 1.0)
+        v = _before(w, ends, start)
+        u = _before(v, ends, start)
+        # bigrams: each is also the context of the next place
+        two = np.flatnonzero((ids[v] >= 0) & (ids[w] >= 0))
+        a, b = ids[v[two]], ids[w[two]]
+        code, one, back = np.unique(_pair(a, b), return_index=True, return_inverse=True)
+        adjusted = np.zeros(len(tok), np.int64)
+        adjusted[two] = self.look("pair", self.part(a[one], code), code, ("adjusted",), np.isin(a[one], self.hot))[back, 0]
+        p = self._share(1, adjusted, of[v][:, 2:], single[w])
+        # contexts of two words: those that occur once are only known as bigrams
+        seen = _before(adjusted, ends, 0) > 0
+        first = np.concatenate(([0], ends[:-1] + 1))
+        begins = np.zeros(len(tok), bool)
+        begins[first] = True
+        three = np.flatnonzero(seen | begins)
+        a, b = ids[u[three]], ids[v[three]]
+        code, one, back = np.unique(_pair(a, b), return_index=True, return_inverse=True)
+        found = self.look("context", self.part(b[one], code), code, ("sum", "one", "two", "many"))[back]
+        found[(found[:, 0] == 0) & seen[three]] = (1, 1, 0, 0)
+        numbers = np.zeros((len(tok), 4), np.int64)
+        numbers[three] = found
+        live = np.flatnonzero((numbers[:, 0] > 0) & (ids[w] >= 0))
+        a, b, c = ids[u[live]], ids[v[live]], ids[w[live]]
+        code, one, back = np.unique(_triple(a, b, c), return_index=True, return_inverse=True)
+        occurs = np.zeros(len(tok), np.int64)
+        occurs[live] = self.look("triple", self.part(b[one], _pair(a[one], b[one])), code, ("occurs",))[back, 0]
+        p = self._share(2, occurs, numbers, p)
+        base = np.log10((count + 1.0) / (self.total + self.kinds + 1.0))
+        by_text = lambda x: np.add.reduceat(x, first)
+        return sizes, by_text((count[w] > 0).astype(np.int64)), by_text(base[w]), by_text(np.log10(p))
+
+
+# trigrams
+def _trigrams(model: Model):
+    """Rows (p, packet) of a task's trigrams and their counts, sorted by middle, first and last word."""
 
     def run(batches):
         held, total = [], 0
+        kind = np.uint32 if model.offsets[-1] < 2**32 else U64
 
         def flush():
-            key, count = np.unique(np.concatenate(held), return_counts=True)
-            part = model.pair_part(key, mix(key))
+            u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((w, u, v))
+            u, v, w = u[order], v[order], w[order]
+            heads = _heads(v, u, w)
+            c = np.diff(np.append(heads, len(u)))
+            u, v, w = u[heads], v[heads], w[heads]
+            part = model.part(v, _pair(u, v))
             order = np.argsort(part, kind="stable")
-            return _packed([(p, x.tobytes(), y.tobytes()) for p, (x, y) in _cut(part[order], key[order], count[order].astype(np.uint32))], ["p", "k", "c"], [pa.int32(), pa.binary(), pa.binary()])
-
-        for tok, before, _ in _batches_of_tokens(batches):
-            kinds, inverse = np.unique(np.concatenate([tok, before]), return_inverse=True)
-            ids = model.words(kinds)[0].astype(U64)
-            held.append((ids[inverse[len(tok) :]] << U64(32)) | ids[inverse[: len(tok)]])
+            out = []
+            for p, (x, y, z, n) in _cut(part[order], u[order], v[order], w[order], c[order]):
+                dy = np.diff(y, prepend=y[:1])
+                dx = np.where(np.concatenate(([False], y[1:] == y[:-1])), np.diff(x, prepend=x[:1]), x)
+                out.append((p, y[0].item(), _packed(dx, dy, z, n)))
+            return _rows(out, pa.int32(), pa.int64(), pa.binary())
+
+        for tok, ends in _batches_of_tokens(batches):
+            kinds, at = np.unique(tok, return_inverse=True)
+            w = model.words(kinds).astype(kind)[at]
+            v = _before(w, ends, model.start)
+            held.append((_before(v, ends, model.start), v, w))
             total += len(tok)
             if total > FLUSH:
                 yield flush()
@@ -226,48 +355,124 @@ def _pairs(model: Model):
     return run
 
 
+def _sums(of: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ascending ``of``: where each begins, and (sum, ones, twos, more) of its values."""
+    heads = _heads(of)
+    columns = (values, values == 1, values == 2, values > 2)
+    return heads, np.column_stack([np.add.reduceat(c.astype(np.int64), heads) for c in columns]) if len(heads) else np.zeros((0, 4), np.int64)
+
+
+def _of_counts(values: np.ndarray) -> np.ndarray:
+    return np.array([(values == i).sum() for i in (1, 2, 3, 4)], np.int64)
+
+
+def _to_owners(model: Model, kind: int, ids: np.ndarray, *columns: np.ndarray):
+    """Rows (range of the words, kind, packet) for ascending word ids."""
+    q = np.searchsorted(model.offsets, ids, side="right") - 1
+    for r, cols in _cut(q, ids, *columns):
+        yield r, kind, _packed(cols[0] - model.offsets[r], *cols[1:])
+
+
+def _bigram_rows(model: Model, v: np.ndarray, w: np.ndarray, n: np.ndarray):
+    """The rows that finished bigrams, sorted by v, send to the ranges of their words."""
+    heads, numbers = _sums(v, n)
+    yield from _to_owners(model, 0, v[heads].astype(np.int64), *numbers.T)
+    last, before = np.unique(w, return_counts=True)
+    yield from _to_owners(model, 1, last.astype(np.int64), before)
+
+
+def _write_trigrams(model: Model):
+    """Writes a partition's trigrams, contexts and bigrams; rows (q, kind, packet): followers 0, words before 1, bigrams of frequent words 2, counts of counts 3."""
+
+    def work(p, rows):
+        parts = []
+        for first, data in rows:
+            dx, dy, z, n = _unpacked(data)
+            y = np.cumsum(dy) + U64(first)
+            total = np.cumsum(dx)
+            heads = _heads(y)
+            base = np.repeat(total[heads] - dx[heads], np.diff(np.append(heads, len(y))))
+            parts.append((total - base, y, z, n))
+        u, v, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((w, u, v))
+        u, v, w, n = u[order], v[order], w[order], n[order].astype(np.int64)
+        heads = _heads(v, u, w)
+        n = np.add.reduceat(n, heads)
+        u, v, w = u[heads], v[heads], w[heads]
+        code = _triple(u, v, w)
+        order = np.argsort(code)
+        arrays = _keys("triple", code[order]) | _counts("occurs", n[order])
+        # contexts: u and v ascend together
+        context = _heads(v, u)
+        numbers = _sums(np.repeat(np.arange(len(context)), np.diff(np.append(context, len(u)))), n)[1]
+        more = (numbers[:, 0] > 1) | (u[context] == U64(model.start)) & (v[context] == U64(model.start))
+        code = _pair(u[context], v[context])[more]
+        order = np.argsort(code)
+        arrays |= _keys("context", code[order])
+        for i, name in enumerate(("sum", "one", "two", "many")):
+            arrays |= _counts(name, numbers[more][order, i])
+        counts = [_of_counts(n), np.zeros(4, np.int64)]
+        # bigrams: how many words stand before; those that begin a text count as often as they occur
+        order = np.lexsort((w, v))
+        value = np.where((u == U64(model.start)) & (v == U64(model.start)), n, 1)[order]
+        y, z = v[order], w[order]
+        heads = _heads(y, z)
+        adjusted, y, z = np.add.reduceat(value, heads), y[heads], z[heads]
+        hot = np.isin(y, model.hot)
+        own = ~hot
+        code = _pair(y[own], z[own])
+        order = np.argsort(code)
+        arrays |= _keys("pair", code[order]) | _counts("adjusted", adjusted[own][order])
+        write_arrays(model.folder, f"gram-{p}", arrays)
+        counts[1] = _of_counts(adjusted[own])
+        out = [(p, 3, _packed(*counts)), *_bigram_rows(model, y[own], z[own], adjusted[own])]
+        part = _part(_pair(y[hot], z[hot]), model.parts)
+        order = np.argsort(part, kind="stable")
+        out += [(q, 2, _packed(*cols)) for q, cols in _cut(part[order], y[hot][order], z[hot][order], adjusted[hot][order])]
+        return _rows(out, pa.int32(), pa.int32(), pa.binary())
+
+    return _by_partition(work)
+
+
 def _write_pairs(model: Model):
-    """Writes a partition's pairs; returns rows (q, kind, ids, values) for the words' ranges q: followers (0), contexts (1), counts of counts (2)."""
-    names, kinds = ["q", "kind", "ids", "v"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    """Sums the bigrams of frequent words in a partition and writes them; rows as before."""
 
     def work(p, rows):
-        key, inverse = np.unique(_numbers(U64, [r[0] for r in rows]), return_inverse=True)
-        count = np.bincount(inverse, _numbers(np.uint32, [r[1] for r in rows])).astype(np.int64)
-        code = mix(key)
+        v, w, n = (np.concatenate(x) for x in zip(*[_unpacked(r[1]) for r in rows], strict=True))
+        order = np.lexsort((w, v))
+        v, w, n = v[order], w[order], n[order].astype(np.int64)
+        heads = _heads(v, w)
+        n, v, w = np.add.reduceat(n, heads), v[heads], w[heads]
+        code = _pair(v, w)
         order = np.argsort(code)
-        write_array(model.folder, f"pair-{p}", code[order])
-        write_array(model.folder, f"pairs-{p}", count[order].astype(np.uint32))
-        out = [(p, 2, b"", np.array([(count == i).sum() for i in (1, 2, 3, 4)] + [len(count)], np.int64).tobytes())]
-        first, heads = np.unique(key >> U64(32), return_index=True)
-        follow = np.column_stack([np.add.reduceat((count == 1).astype(np.int64), heads), np.add.reduceat((count == 2).astype(np.int64), heads), np.add.reduceat((count > 2).astype(np.int64), heads)])
-        second, stands = np.unique(key & U64(0xFFFFFFFF), return_counts=True)
-        for kind, ids, values in ((0, first, follow.astype(np.uint32)), (1, second, stands.astype(np.uint32))):
-            q = np.searchsorted(model.offsets, ids.astype(np.int64), side="right") - 1
-            out += [(r, kind, x.astype(np.uint32).tobytes(), y.tobytes()) for r, (x, y) in _cut(q, ids, values)]
-        return _packed(out, names, kinds)
+        write_arrays(model.folder, f"pair-{p}", _keys("pair", code[order]) | _counts("adjusted", n[order]))
+        return _rows([(p, 4, _packed(np.zeros(4, np.int64), _of_counts(n))), *_bigram_rows(model, v, w, n)], pa.int32(), pa.int32(), pa.binary())
 
     return _by_partition(work)
 
 
-def _write_stats(model: Model):
-    """Sums the rows of a word range and writes follows and before; returns the counts of counts."""
+def _write_statistics(model: Model):
+    """Sums the rows of a word range and writes them; returns the counts of counts of all levels, the words before in all, and which arrays are there."""
 
     def work(q, rows):
         n = int(model.offsets[q + 1] - model.offsets[q])
-        follows, before, pair = np.zeros((n, 3), np.int64), np.zeros(n, np.int64), np.zeros(5, np.int64)
-        for kind, ids, v in rows:
-            at = np.frombuffer(ids, np.uint32).astype(np.int64) - int(model.offsets[q])
+        numbers, before, counts, files = np.zeros((n, 4), np.int64), np.zeros(n, np.int64), np.zeros((2, 4), np.int64), [0, 0]
+        for kind, data in rows:
+            at, *values = (x.astype(np.int64) for x in _unpacked(data))
             if kind == 0:
-                follows[at] += np.frombuffer(v, np.uint32).reshape(-1, 3)
+                numbers[at] += np.column_stack(values)
             elif kind == 1:
-                before[at] += np.frombuffer(v, np.uint32)
+                before[at] += values[0]
             else:
-                pair += np.frombuffer(v, np.int64)
-        write_array(model.folder, f"follows-{q}", follows.astype(np.uint32))
-        write_array(model.folder, f"before-{q}", before.astype(np.uint32))
-        own = np.array([(before == i).sum() for i in (1, 2, 3, 4)], np.int64)
-        more = np.array([(before == 1).sum(), (before == 2).sum(), (before >= 3).sum()], np.int64)
-        return _packed([(q, pair.tobytes(), own.tobytes(), more.tobytes())], ["q", "pair", "own", "more"], [pa.int32()] + [pa.binary()] * 3)
+                counts += [at, values[0]]
+                files[kind - 3] = 1
+        arrays = _counts("before", before)
+        for i, name in enumerate(("sum", "one", "two", "many")):
+            arrays |= _counts(name, numbers[:, i])
+        write_arrays(model.folder, f"stat-{q}", arrays)
+        more = np.array([(before == 1).sum(), (before == 2).sum(), (before >= 3).sum(), before.sum()], np.int64)
+        return _rows([(q, np.concatenate([_of_counts(before), *counts, more]).tobytes(), *files)], pa.int32(), pa.binary(), pa.int32(), pa.int32())
 
     return _by_partition(work)
 
@@ -287,45 +492,63 @@ def discounts(n) -> tuple[float, float, float]:
 def train(docs: DataFrame, partition_chars: int = PARTITION_CHARS) -> Model:
     """Counts all whole texts of docs (text; null: empty) and writes the model to a new folder in the shared one.
 
-    Words and pairs are counted in tasks, dealt by hash ranges as packed arrays and summed there.  The pairs
-    of contexts that hold more than a quarter of a partition are dealt by the pair's own hash.  The driver sees
-    a few numbers for each partition and the ids of such contexts, of which there are at most four for each partition.
+    Words and trigrams are counted in tasks, dealt as packed columns and summed in their partitions.  Trigrams are dealt by
+    their middle word, so that contexts and bigrams lie whole in a partition; those of middle words that fill more
+    than a partition are dealt by the context, and their bigrams are summed in one more shuffle.  The driver sees a few
+    numbers for each partition and the ids of such words, of which there are fewer than partitions.  All counts are 64-bit.
+    Hashes of n-grams are kept to 48 bits, so an unseen one is taken for a seen one about once in 10^8 lookups.
     """
     spark = prepare(docs.sparkSession)
     texts = docs.select("text")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(8, -(-chars // partition_chars))
     folder = new_folder(spark, "kneser")
-    dealt = texts.mapInArrow(_counted(parts), "p int, h binary, c binary").repartition(parts, "p").sortWithinPartitions("p")
-    sizes = dealt.mapInArrow(_write_words(folder), "p int, n bigint, total bigint").collect()
+    dealt = texts.mapInArrow(_counted(parts), "a int, b binary, c binary").repartition(parts, "a").sortWithinPartitions("a")
+    sizes = dealt.mapInArrow(_write_words(folder), "a int, b bigint, c bigint").collect()
     lengths = np.zeros(parts + 1, np.int64)
     for r in sizes:
-        lengths[r.p + 1] = r.n
+        lengths[r.a + 1] = r.b
     model = Model(folder, parts, np.cumsum(lengths))
-    starts = int(model.words(np.array([START]), "count")[1][0])
-    model.total, model.kinds = sum(r.total for r in sizes) - starts, int(lengths.sum()) - (1 if starts else 0)
     if not sizes:
         return model
-    least = max(1, model.total // (4 * parts))
+    model.start = int(model.words(np.array([START]))[0])
+    p = int(_part(np.array([START]), parts)[0])
+    starts = int(_count_at(model.held(f"word-{p}"), "count", np.array([model.start - model.offsets[p]]))[0])
+    model.total, model.kinds = sum(r.c for r in sizes) - starts, int(lengths.sum()) - 1
+    least = max(1, model.total // parts)
 
     def frequent(batches):
         for b in batches:
             for p in b.column(0).to_pylist():
                 if model.offsets[p] < model.offsets[p + 1]:
-                    ids = np.flatnonzero(model.array(f"count-{p}") > least) + model.offsets[p]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], ["id"])
-
-    model.hot = np.sort(np.array([r.id for r in spark.range(parts).mapInArrow(frequent, "id bigint").collect()], U64))
-    dealt = texts.mapInArrow(_pairs(model), "p int, k binary, c binary").repartition(parts, "p").sortWithinPartitions("p")
-    rows = dealt.mapInArrow(_write_pairs(model), "q int, kind int, ids binary, v binary").repartition(parts, "q").sortWithinPartitions("q")
-    stats = rows.mapInArrow(_write_stats(model), "q int, pair binary, own binary, more binary").collect()
-    total = lambda name: sum(np.frombuffer(bytes(r[name]), np.int64) for r in stats)
-    pair, own, more = total("pair"), total("own"), total("more")
-    model.discount, model.discount_before, model.pairs = discounts(pair), discounts(own), int(pair[4])
-    model.spare = float(np.dot(model.discount_before, more)) / max(model.pairs, 1)
+                    held = model.held(f"word-{p}")
+                    count = _count_at(held, "count", np.arange(len(held["hash"])))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(count > least) + model.offsets[p], pa.int64())], ["id"])
+
+    model.hot = np.sort(np.array([r.id for r in spark.range(parts).mapInArrow(frequent, "id bigint").collect()], np.int64))
+    by_part = lambda df, f, schema: df.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(f, schema)
+    path, packets = new_folder(spark, "kneser-rows"), "a int, b int, c binary"
+    by_part(texts.mapInArrow(_trigrams(model), "a int, b bigint, c binary"), _write_trigrams(model), packets).write.mode("overwrite").parquet(path)
+    rows = spark.read.schema(packets).parquet(path)
+    more = by_part(rows.where("b = 2"), _write_pairs(model), packets)
+    found = by_part(rows.where("b <> 2").unionByName(more), _write_statistics(model), "a int, b binary, c int, d int").collect()
+    sums = sum(np.frombuffer(bytes(r.b), np.int64) for r in found).reshape(4, 4)
+    model.full = {f"gram-{r.a}" for r in found if r.c} | {f"pair-{r.a}" for r in found if r.d}
+    model.discounts = [discounts(sums[0]), discounts(sums[2]), discounts(sums[1])]
+    model.pairs = int(sums[3][3])
+    model.spare = float(np.dot(model.discounts[0], sums[3][:3])) / max(model.pairs, 1)
+    _fill_statistics(model, {r.a for r in found})
     return model
 
 
+def _fill_statistics(model: Model, there: set[int]) -> None:
+    """Empty statistics for word ranges that no row reached."""
+    for q in range(model.parts):
+        n = int(model.offsets[q + 1] - model.offsets[q])
+        if n and q not in there:
+            write_arrays(model.folder, f"stat-{q}", {k: v for name in ("before", "sum", "one", "two", "many") for k, v in _counts(name, np.zeros(n, np.int64)).items()})
+
+
 def perplexity(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """columns of docs with n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text).
 

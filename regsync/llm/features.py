@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,37 +83,46 @@ def sample_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def sample_features(docs: DataFrame, ids: DataFrame, size: int, prefixes: int, most: int):
-    """Brings the features of the sampled documents to the driver: (doc, index, value, count, stats, words, label) arrays.
+def fit_in_task(rows: DataFrame, fit):
+    """The model that ``fit(record batches)`` makes of a bounded table, fitted in one task, so that the driver gets the model only."""
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(list(batches)))], pa.binary())], ["model"])
+
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(made.model)) if made else fit([])  # noqa: S301  written by our own task
+
+
+def fit_sample(docs: DataFrame, ids: DataFrame, size: int, prefixes: int, fit):
+    """``fit(doc, index, value, count, stats, words, label)`` over the whole texts of the sampled documents, in one task.
 
-    ids is bounded, so its broadcast and what comes back are bounded too.
+    ids is bounded, so its broadcast and the task's rows are bounded too (not the length of a text, of which only the
+    distinct features are held).  Of several rows with one id the text with the least hash teaches, whatever the layout.
     """
 
     def work(batches):
         for b in batches:
-            texts, label = as_bytes(b.column(0)), b.column(1).to_pylist()
-            for i, t in enumerate(texts):
+            for t, label in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
                 s = Sparse([t or b""], size, prefixes)
-                row = [s.index.astype(np.int32).tobytes(), s.count.astype(np.int32).tobytes(), s.stats.tobytes(), int(s.words[0]), label[i]]
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.binary()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary()), pa.array([row[3]], pa.int64()), pa.array([row[4]], pa.int32())], ["i", "c", "s", "w", "y"])
-
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label")
-    found = chosen.mapInArrow(work, "i binary, c binary, s binary, w bigint, y int").limit(most)
-    rows = []  # one partition at a time: the driver holds the packed features once
-    for r in found.toLocalIterator():
-        rows.append((bytes(r.s), np.frombuffer(bytes(r.i), np.int32), np.frombuffer(bytes(r.c), np.int32), r.w, r.y))
-    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[4]))
-    n = len(rows)
-    doc = np.repeat(np.arange(n), [len(r[1]) for r in rows])
-    words = np.array([r[3] for r in rows], np.int64)
-    label = np.array([r[4] for r in rows], np.int64)
-    stats = np.array([np.frombuffer(r[0], np.float32) for r in rows], np.float32).reshape(n, len(STATISTICS))
-    none = [np.zeros(0, np.int32)]
-    index = np.concatenate([r[1] for r in rows] or none).astype(np.int64)
-    count = np.concatenate([r[2] for r in rows] or none)
-    del rows
-    value = np.sqrt(count / np.maximum(words, 1)[doc]).astype(np.float32) if n else np.zeros(0, np.float32)
-    return doc, index, value, count, stats, words, label
+                row = [s.index.astype(np.int32).tobytes(), s.count.astype(np.int32).tobytes(), s.stats.tobytes(), int(s.words[0]), label]
+                yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in row[:3]], pa.array([row[3]], pa.int64()), pa.array([row[4]], pa.int32())], ["i", "c", "s", "w", "y"])
+
+    def learn(batches):
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        rows.sort(key=lambda r: (r[2], r[0], r[1], r[4]))
+        n = len(rows)
+        index = np.frombuffer(b"".join(r[0] for r in rows), np.int32).astype(np.int64)
+        count = np.frombuffer(b"".join(r[1] for r in rows), np.int32)
+        doc = np.repeat(np.arange(n), [len(r[0]) // 4 for r in rows])
+        stats = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(n, len(STATISTICS))
+        words, label = (np.array([r[k] for r in rows], np.int64) for k in (3, 4))
+        del rows
+        value = np.sqrt(count / np.maximum(words, 1)[doc]).astype(np.float32) if n else np.zeros(0, np.float32)
+        return fit(doc, index, value, count, stats, words, label)
+
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    one = chosen.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r")).select("r.text", "r.label")
+    return fit_in_task(one.mapInArrow(work, "i binary, c binary, s binary, w bigint, y int"), learn)
 
 
 def score_texts(docs: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
@@ -131,4 +142,4 @@ def score_texts(docs: DataFrame, columns: list[str], schema: str, work) -> DataF
     return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(run, full)
 
 
-__all__ = ["STATISTICS", "Sparse", "sample_features", "sample_ids", "score_texts", "_LOWER"]
+__all__ = ["STATISTICS", "Sparse", "fit_in_task", "fit_sample", "sample_ids", "score_texts", "_LOWER"]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .features import STATISTICS, Sparse, sample_features, sample_ids, score_texts
+from .features import STATISTICS, Sparse, fit_sample, sample_ids, score_texts
 
 #: Places of the hashed words, factors of a feature, labelled documents learned from at most.
 SIZE, FACTORS, SAMPLE = 1 << 15, 8, 12_000
@@ -93,8 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     """Fits on at most ``sample`` labelled documents (labels: doc_id, quality), chosen by a hash of the id."""
     prepare(docs.sparkSession)
     ids = sample_ids(labels, "quality", sample)
-    doc, index, value, _, stats, _, label = sample_features(docs, ids, SIZE, 0, sample)
-    return FactorisationMachine().fit(doc, index, value, stats, label)
+    return fit_sample(docs, ids, SIZE, 0, lambda doc, index, value, count, stats, words, label: FactorisationMachine().fit(doc, index, value, stats, label))
 
 
 def quality_scores(docs: DataFrame, model: FactorisationMachine, columns: list[str]) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .features import Sparse, sample_features, sample_ids, score_texts
+from .features import Sparse, fit_sample, sample_ids, score_texts
 
 #: Places of the hashed features, first bytes of a word that make a feature, labelled documents learned from at most.
 SIZE, PREFIX, SAMPLE = 1 << 20, 7, 12_000
 #: A feature is learned from if it occurs in LEAST toxic documents or more, and LIFT standard deviations more often than chance would have it.
 LEAST, LIFT = 3, 3.5
-#: Severity grades: 0 for documents not labelled toxic, the others by how much toxic wording a toxic document has.
+#: Severity grades: 0 for documents not labelled toxic, the others by how surely a model of other documents calls a toxic one toxic.
 GRADES = 4
 
 
@@ -85,15 +85,18 @@ class OrdinalRegression:
         return [up.sum(axis=1), p.argmax(axis=1).astype(np.int32), up[:, 0]]
 
 
-def grades_of(doc, index, value, toxic, size: int, grades: int = GRADES, least: int = 4) -> np.ndarray:
-    """Severity grades for training: 0 for label 0; label 1 by the weight of telling features in the text, in equal parts.
+def grades_of(doc, index, value, toxic, size: int, grades: int = GRADES) -> np.ndarray:
+    """Severity grades for training: 0 for label 0, the others for label 1 in equal parts by how surely a model that has not seen the document calls it toxic.
 
-    A feature tells if it occurs in ``least`` toxic documents or more and at least 9 in 10 of the documents that have it are toxic.
+    The labels have two values only.  The documents are dealt to two halves by turns; a regression with one threshold is
+    fitted to each half and ranks the toxic documents of the other, so no document's grade rests on its own wording.
     """
-    yes = np.bincount(index[toxic[doc] == 1], minlength=size)
-    all_ = np.bincount(index, minlength=size)
-    telling = (yes >= least) & (yes >= 0.9 * all_)
-    load = np.bincount(doc, telling[index] * value, len(toxic))
+    half, load = np.arange(len(toxic)) % 2, np.zeros(len(toxic))
+    for own in (0, 1):
+        at = np.flatnonzero(half == own)
+        seen = half[doc] == own
+        model = OrdinalRegression(size, 2).fit(np.searchsorted(at, doc[seen]), index[seen], value[seen], toxic[at])
+        load += np.where(half == own, 0.0, np.bincount(doc, model._weight(index) * value, len(toxic)))
     grade = np.zeros(len(toxic), np.int64)
     own = np.flatnonzero(toxic == 1)
     if len(own):
@@ -105,10 +108,12 @@ def grades_of(doc, index, value, toxic, size: int, grades: int = GRADES, least:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalRegression:
     """Fits on at most ``sample`` labelled documents (labels: doc_id, toxic), chosen by a hash of the id."""
     prepare(docs.sparkSession)
-    ids = sample_ids(labels, "toxic", sample)
-    doc, index, _, count, _, _, toxic = sample_features(docs, ids, SIZE, PREFIX, sample)
-    value = weigh(count)
-    return OrdinalRegression().fit(doc, index, value, grades_of(doc, index, value, toxic, SIZE))
+
+    def fit(doc, index, _, count, stats, words, toxic):
+        value = weigh(count)
+        return OrdinalRegression().fit(doc, index, value, grades_of(doc, index, value, toxic, SIZE))
+
+    return fit_sample(docs, sample_ids(labels, "toxic", sample), SIZE, PREFIX, fit)
 
 
 def severity(docs: DataFrame, model: OrdinalRegression, columns: list[str]) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _LOWER, as_bytes, prepare, steps
+from .features import fit_in_task
 
 #: Bytes of a window, widths of the filters, filters of a width, numbers of a byte's embedding.
 LENGTH, WIDTHS, FILTERS, EMBEDDING = 192, (2, 3, 4, 5), 16, 8
-#: Documents of a language and windows of a document that training uses at most, and the factor that bounds the sample of all languages.
-SAMPLE, SAMPLE_WINDOWS, LANGUAGES = 1200, 3, 200
+#: Documents of a language that training uses at most, and the factor that bounds the sample of all languages.
+SAMPLE, LANGUAGES = 1200, 200
 UNKNOWN = "und"
 _LETTER = re.compile(rb"[A-Za-z]")
 _CHUNK = 32
@@ -74,12 +75,15 @@ class ByteCNN:
         return out
 
     def fit(self, x, y, rounds: int = 700, batch: int = 64, rate: float = 4e-3, seed: int = 3):
-        """Adam on the mean cross-entropy."""
+        """Adam on the mean cross-entropy; as many rounds as let every window be seen once, ``rounds`` at least."""
         names = ("embed", "filters", "bias", "out", "out_bias")
         first, second = ({k: np.zeros_like(getattr(self, k)) for k in names} for _ in range(2))
         rng = np.random.default_rng(seed)
+        rounds, order = max(rounds, -(-len(x) // batch)), np.zeros(0, np.int64)
         for t in range(1, rounds + 1):
-            own = rng.integers(0, len(x), batch)
+            while len(order) < batch:
+                order = np.concatenate([order, rng.permutation(len(x))])
+            own, order = order[:batch], order[batch:]
             xb, yb = x[own], y[own]
             places, act = self.pooled(xb)
             best = act.argmax(axis=1)
@@ -130,40 +134,34 @@ class ByteCNN:
 
 
 def train(docs: DataFrame, learn=None, sample: int = SAMPLE) -> ByteCNN:
-    """Learns from text and lang of the rows where ``learn`` holds: at most ``sample`` documents of a language, chosen by a hash of the id, and ``SAMPLE_WINDOWS`` windows of each.
+    """Learns from the whole texts and lang of the rows where ``learn`` holds: at most ``sample`` documents of a language, chosen by a hash of the id.
 
     Rows without an id, text, letters or lang teach nothing.  Of very many languages the sample holds ``sample * LANGUAGES`` documents.
+    Of several rows with one id and lang the text with the least hash teaches.  The network is trained in one task.
     """
     prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     if learn is not None:
         known = known.where(learn)
     # a language may hold most rows: its parts are cut to the sample first, so the second window sees 8 * sample rows at most
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
+    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().withColumn("part", F.pmod("h", F.lit(64)))
     for keys, most in ((["lang", "part"], max(1, sample // 8)), (["lang"], sample)):
         ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("r") <= most)
-    ids = ids.groupBy("doc_id", "lang").agg(F.min("r").alias("r")).orderBy("r", "lang").limit(sample * LANGUAGES).select("doc_id", "lang")
-
-    def cut(batches):
-        for b in batches:
-            out, names = [], []
-            for t, name in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
-                if has_letter(t):
-                    x = windows(t)
-                    for i in np.unique(np.linspace(0, len(x) - 1, SAMPLE_WINDOWS).astype(int)):
-                        out.append(x[i].tobytes())
-                        names.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(names, pa.string())], ["x", "lang"])
-
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang").mapInArrow(cut, "x binary, lang string").limit(sample * LANGUAGES * SAMPLE_WINDOWS).collect()
-    rows = sorted((r.lang, bytes(r.x)) for r in rows)
-    classes = sorted({name for name, _ in rows})
-    model = ByteCNN(classes)
-    if not rows:
-        return model
-    x = np.array([np.frombuffer(w, np.uint8) for _, w in rows])
-    y = np.array([classes.index(name) for name, _ in rows])
-    return model.fit(x, y)
+    ids = ids.orderBy("r", "lang").limit(sample * LANGUAGES).select("doc_id", "lang")
+    chosen = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])
+    one = chosen.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("r.text", "lang")
+
+    def fit(batches):
+        rows = sorted((name, t) for b in batches for t, name in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True) if has_letter(t))
+        classes = sorted({name for name, _ in rows})
+        model = ByteCNN(classes)
+        if not rows:
+            return model
+        x = [windows(t) for _, t in rows]
+        y = np.repeat([classes.index(name) for name, _ in rows], [len(w) for w in x])
+        return model.fit(np.concatenate(x), y)
+
+    return fit_in_task(one, fit)
 
 
 def languages(docs: DataFrame, model: ByteCNN, columns: list[str]) -> DataFrame:

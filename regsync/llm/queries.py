@@ -43,7 +43,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(_read(spark, sf_dir, "pages"))
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    shown = pages.with_body_hash(_read(spark, sf_dir, "pages"))
+    return urls.judge(urls.page_labels(shown, docs, labels).checkpoint())
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

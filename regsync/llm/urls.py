@@ -9,12 +9,10 @@ from .common import prepare
 
 #: (verdict, rule): host and path start of the rule.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Host words that label a URL as bad where no rule does.
-BAD_WORDS = ("adult", "ads", "bet", "casino", "porn", "poker", "track", "xxx", "warez")
 #: Levels of the tree; what lies deeper is one further segment.  Distinct children of a branch, and their share of its URLs, from which they are one variable segment.
 LEVELS, CHILDREN, VARIETY = 8, 20, 0.5
-#: Most that the next segments' distributions of merged branches may differ (total variation).
-APART = 0.25
+#: Branches are alike if their next segments with a share of 1/HEAVY or more are the same with the same shares, rounded to 1/STEPS.
+HEAVY, STEPS = 8, 4
 #: Smoothed purity: PRIOR is the share of bad URLs expected before labels, worth STRENGTH labels.
 PRIOR, STRENGTH, REJECT = 0.2, 1.0, 0.5
 #: Templates up to which their table is broadcast.
@@ -48,38 +46,33 @@ def segments(path: Column) -> Column:
     return F.when(F.length(F.regexp_replace(path, "/", "")) == 0, F.array(F.lit(""))).otherwise(typed)
 
 
-def bad_word(host: Column, words=BAD_WORDS) -> Column:
-    return host.rlike(r"(^|[.\-_])(" + "|".join(words) + r")($|[.\-_])")
-
-
 def template_tree(shapes: DataFrame) -> DataFrame:
     """shapes (host, shape, segs, n, labelled, bad) with the column template.
 
     Goes down level by level.  Children of a branch become one variable segment ``*`` if they are many and mostly
-    seen once, or if their labels agree and their next segments are distributed like those of
-    the branch as a whole.  Each test compares a child with its branch, never children with each other.
+    seen once.  Else those whose next segments are distributed alike and whose labels fall on the same side merge into one
+    segment, written as the least of their names with ``~``.  Children are compared by a signature of at most ``HEAVY``
+    next segments, never with each other.
     """
     now = shapes.withColumn("template", F.lit(""))
     deepest = shapes.agg(F.max(F.size("segs"))).first()[0] or 0
+    keys = ["host", "template"]
     for level in range(deepest):
-        at = F.get("segs", F.lit(level))
-        rows = now.withColumns({"seg": at, "next": F.coalesce(F.get("segs", F.lit(level + 1)), F.lit("/"))})
+        rows = now.withColumns({"seg": F.get("segs", F.lit(level)), "next": F.coalesce(F.get("segs", F.lit(level + 1)), F.lit("/"))})
         live = rows.where("seg is not null")
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-        detail = live.groupBy("host", "template", "seg", "next").agg(*sums).checkpoint()
-        child = detail.groupBy("host", "template", "seg").agg(*sums)
-        branch = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.count("*").alias("children"))
-        pooled = detail.groupBy("host", "template", "next").agg(F.sum("n").alias("pool_n"))
-        keys = ["host", "template"]
-        base = child.select(*keys, "seg", F.col("n").alias("own_n")).join(branch, keys)
-        # sum over next of |p - q| = 2 - 2 * sum of min(p, q); next segments that the child lacks add nothing
-        alike = detail.join(base, [*keys, "seg"]).join(pooled, [*keys, "next"])
-        alike = alike.groupBy(*keys, "seg").agg(F.sum(F.least(F.col("n") / F.col("own_n"), F.col("pool_n") / F.col("all_n"))).alias("shared"))
-        tested = child.join(branch, keys).join(alike, [*keys, "seg"])
-        many = (F.col("children") >= CHILDREN) & (F.col("children") >= VARIETY * F.col("all_n"))
-        fine = purity("labelled", "bad") < REJECT
-        like = (F.col("children") > 1) & (1 - F.col("shared") <= APART) & fine
-        merged = tested.withColumn("out", F.when(many | like, F.lit("*")).otherwise(F.col("seg"))).select(*keys, "seg", "out").checkpoint()
+        detail = live.groupBy(*keys, "seg", "next").agg(*sums).checkpoint()
+        child = detail.groupBy(*keys, "seg").agg(*sums)
+        branch = child.groupBy(*keys).agg(F.sum("n").alias("all_n"), F.count("*").alias("children"))
+        share = F.col("n") / F.col("own_n")
+        heavy = detail.join(child.select(*keys, "seg", F.col("n").alias("own_n")), [*keys, "seg"]).where(share >= 1 / HEAVY)
+        shares = heavy.groupBy(*keys, "seg").agg(F.array_sort(F.collect_list(F.struct("next", F.round(share * STEPS).cast("int").alias("share")))).alias("shares"))
+        tested = child.join(branch, keys).join(shares, [*keys, "seg"], "left")
+        tested = tested.withColumns({"side": purity("labelled", "bad") >= REJECT, "many": (F.col("children") >= CHILDREN) & (F.col("children") >= VARIETY * F.col("all_n"))}).checkpoint()
+        family = tested.where("not many").groupBy(*keys, "shares", "side").agg(F.min("seg").alias("least"), F.count("*").alias("members"))
+        named = tested.alias("t").join(family.alias("f"), (F.col("t.host") == F.col("f.host")) & (F.col("t.template") == F.col("f.template")) & F.col("t.shares").eqNullSafe(F.col("f.shares")) & (F.col("t.side") == F.col("f.side")), "left")
+        out = F.when(F.col("many"), "*").when(F.col("members") > 1, F.concat("least", F.lit("~"))).otherwise(F.col("seg"))
+        merged = named.select("t.host", "t.template", "t.seg", out.alias("out")).checkpoint()
         small = merged.count() <= BROADCAST_TEMPLATES
         rows = rows.join(F.broadcast(merged) if small else merged, [*keys, "seg"], "left")
         step = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "out"))
@@ -88,24 +81,37 @@ def template_tree(shapes: DataFrame) -> DataFrame:
 
 
 def purity(labelled: str, bad: str) -> Column:
+    """The smoothed share of bad labels."""
     return (F.col(bad) + PRIOR * STRENGTH) / (F.col(labelled) + STRENGTH)
 
 
-def judge(pages: DataFrame, rules=RULES, bad_words=BAD_WORDS) -> DataFrame:
-    """For each row of pages (page_id, url): page_id, host, path, rule, verdict, template and purity.
+def page_labels(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pages (page_id, url, body_hash) with ``bad``: whether the document that the page shows is labelled as poor or toxic, null without a label.
+
+    labels: doc_id, quality, toxic.  A page shows a document if its article's text without headings is the document's, white
+    space aside.  Copies of a text share their labels; one bad label of any decides.
+    """
+    text = F.btrim(F.regexp_replace("text", r"(?U)\s+", " "))
+    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.greatest((F.col("quality") == 0).cast("int"), (F.col("toxic") == 1).cast("int"))).alias("bad")).where("bad is not null")
+    shown = docs.select("doc_id", F.xxhash64(text).alias("body_hash")).join(marks, "doc_id").groupBy("body_hash").agg((F.max("bad") == 1).alias("bad"))
+    return pages.join(shown, "body_hash", "left").select("page_id", "url", "bad")
+
+
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+    """For each row of pages (page_id, url and, if it is there, bad): page_id, host, path, rule, verdict, template and purity.
 
-    Labels: the rules' verdicts, and bad where a host word says so.  A URL without a rule is blocked if
-    its template's smoothed share of bad labels is ``REJECT`` or more.  Null URLs and those without ``://`` have empty
-    host and path and are judged like others.
+    Labels are the column ``bad`` of single pages (boolean, null if there is none; see ``page_labels``) and, for URLs that
+    a rule fits, the rule's verdict.  A URL without a rule is blocked if its template's smoothed share of bad labels
+    is ``REJECT`` or more.  Null URLs and those without ``://`` have empty host and path and are judged like others.
     """
     prepare(pages.sparkSession)
     host, path = parts()
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    own = F.col("bad") if "bad" in pages.columns else F.lit(None).cast("boolean")
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), own.alias("own"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "said": said, "segs": segments(F.col("path"))}).withColumn("shape", F.array_join("segs", "/"))
-    bad = (F.coalesce(F.col("said") == "block", F.lit(False)) | (F.col("said").isNull() & bad_word(F.col("host"), bad_words))).cast("long")
-    labelled = (F.col("said").isNotNull() | bad_word(F.col("host"), bad_words)).cast("long")
-    shapes = rows.groupBy("host", "shape").agg(F.first("segs").alias("segs"), F.count("*").alias("n"), F.sum(labelled).alias("labelled"), F.sum(bad).alias("bad")).checkpoint()
+    label = F.coalesce(F.col("said") == "block", F.col("own"))
+    shapes = rows.groupBy("host", "shape").agg(F.first("segs").alias("segs"), F.count("*").alias("n"), F.sum(label.isNotNull().cast("long")).alias("labelled"), F.sum(F.coalesce(label, F.lit(False)).cast("long")).alias("bad")).checkpoint()
     tree = template_tree(shapes)
     templates = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     table = tree.select("host", "shape", "template").join(templates.withColumn("purity", purity("labelled", "bad")), ["host", "template"]).select("host", "shape", "template", "purity").checkpoint()

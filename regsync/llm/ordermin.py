@@ -13,8 +13,8 @@ from .common import U64, mix, prepare
 
 #: Code points of a k-mer (a power of two), signatures of a fingerprint, k-mers of a signature.
 K, SIGNATURES, TUPLE = 8, 64, 2
-#: Characters of a range of document ids, about.
-RANGE_CHARS = 16 << 20
+#: Characters of a range of documents, about, and ranges at most (larger inputs have longer ranges).
+RANGE_CHARS, RANGES = 16 << 20, 50_000
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK = 4096
 _rng = np.random.default_rng(77)
@@ -35,12 +35,8 @@ def kmers(text: str) -> np.ndarray:
         size *= 2
     h = mix(h)
     n = len(h)
-    if n < 1 << 20:
-        order = np.sort((h & ~U64(0xFFFFF)) | np.arange(n, dtype=U64))
-        group, place = order >> U64(20), (order & U64(0xFFFFF)).astype(np.int64)
-    else:
-        place = np.argsort(h, kind="stable")
-        group = h[place]
+    place = np.argsort(h, kind="stable")
+    group = h[place]
     first = np.concatenate(([True], group[1:] != group[:-1]))
     if not first.all():
         heads = np.flatnonzero(first)
@@ -97,14 +93,20 @@ def edited(text: str, following: str) -> str:
 def _stream(batches):
     """Pairs each row with the next of its range; the input is sorted by range, copies last."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    now, before, out = None, None, []
+    now, before, after, out = None, None, None, []
 
     def close(row, text, print_):
         doc_id, own, mine = row
         new = edited(own, text)
-        changed = fingerprint(new)
+        if after is None or new != after[0]:
+            again(new)
+        changed = after[1]
         out.append((doc_id, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), as_text(mine), as_text(changed), likeness(mine, changed), likeness(mine, print_)))
 
+    def again(new):
+        nonlocal after
+        after = new, fingerprint(new)
+
     def batch():
         cols = list(zip(*out, strict=True))
         kinds = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -121,7 +123,7 @@ def _stream(batches):
                 now, before = bucket, None
             elif before is None:
                 continue  # a further copy
-            print_ = fingerprint(text)
+            print_ = before[2] if before is not None and before[1] == text else fingerprint(text)  # repeated rows cost little
             if before is not None:
                 close(before, text, print_)
             before = None if copy else (doc_id, text, print_)
@@ -129,6 +131,31 @@ def _stream(batches):
             yield batch()
 
 
+def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
+    """Rows (bucket, copy, doc_id, tie, text): ranges of documents in descending order, one to a partition, each followed by a copy of the next one's first row.
+
+    Rows with the same id follow each other by a hash of their text, so that very many rows with one id are many ranges
+    too; a null id is the smallest.  A first job ranges ids and hashes only; each range's first key is all that the driver
+    sees.  Texts are shuffled once.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    key = F.struct("doc_id", "tie")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    wanted = min(max(8, -(-chars // range_chars)), RANGES)
+    ranged = rows.select("doc_id", "tie").repartitionByRange(wanted, F.desc_nulls_last("doc_id"), F.desc("tie"))
+    heads = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.max(key).alias("head")).select("head").distinct().checkpoint()
+    size = heads.count()
+    heads = heads.agg(F.sort_array(F.collect_list("head"), asc=False).alias("heads")).scalar()
+    # the number of range heads at or above the key, by halving steps
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, size.bit_length())))])
+    bucket = F.aggregate(halves, F.lit(0), lambda low, s: F.when((low + s <= size) & (F.get(heads, low + s - 1) >= F.struct("doc_id", "tie")), low + s).otherwise(low)) - 1
+    rows = rows.withColumn("bucket", bucket)
+    first = F.get(heads, F.col("bucket")) == key  # also goes after the range before; the first of all follows the last
+    places = F.array(F.struct(F.col("bucket"), F.lit(False).alias("copy")), F.when(first, F.struct(F.pmod(F.col("bucket") - 1, F.lit(max(size, 1))).alias("bucket"), F.lit(True).alias("copy"))))
+    rows = rows.select("doc_id", "tie", "text", F.explode(places).alias("p")).where("p is not null").select("p.bucket", "p.copy", "doc_id", "tie", "text")
+    return rows.repartitionById(max(size, 1), "bucket").sortWithinPartitions("copy", F.desc_nulls_last("doc_id"), F.desc("tie"))
+
+
 def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """Rows (bucket, copy, id, tie, doc_id, text): id ranges in descending order, each followed by a copy of the next one's first row.
 
@@ -169,7 +196,8 @@ def fingerprints(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """For each row of docs (doc_id, text; null text: empty) the fingerprints of its text and of its edited text.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  Empty
-    texts have a fingerprint of zeros, like only to itself.  One row alone is its own next document.
+    texts have a fingerprint of zeros, like only to itself.  One row alone is its own next document.  Ids may be of any
+    type that can be ordered; other columns are not read.
     """
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import new_folder, prepare
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Units that one block of the flight phase starts with, about.
@@ -171,7 +171,7 @@ def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
     Units are dealt by a hash into blocks of about ``block``; each flight leaves at most two
     open units, which meet in fewer blocks in the next round, until a part's open units fit one block,
     where the flight ends with the landing.  So no task holds more than a few blocks, whatever a
-    part's share of the rows; only rows equal in id, source and text share a block whatever their number.  Large units fly
+    part's share of the rows.  Large units fly
     first, so that small ones are left to the landing.  Order and seeds come from ``rank``, a hash of the row's content: reruns agree.
     """
     closed = []
@@ -198,16 +198,27 @@ def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
     return out
 
 
-def mixture(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of docs (doc_id, text, source).
+def _told_apart(sized: DataFrame, block: int) -> DataFrame:
+    """sized (checkpointed, with rank and dup) with other ranks for rows that more than ``block`` others equal.
 
-    A document enters floor(target / source_size) times for sure and once more if the balanced sample
-    of its source has it, which is drawn with the remaining fraction as its probability.  Null texts and texts
-    without words have size 0 and are never drawn; null sources are one source.  Repeated rows and rows
-    without an id are units of their own.
+    Equal rows are numbered and take a rank for each ``block`` of them.  They are interchangeable, so it doesn't
+    matter which gets which number and reruns agree.  Numbers come from counts by partition; no task sees a whole group.
     """
-    prepare(docs.sparkSession)
-    sized = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "source", "text").alias("rank")).withColumn("dup", F.monotonically_increasing_id()).checkpoint()
+    many = sized.groupBy("rank").agg(F.count("*").alias("m")).where(F.col("m") > block).select("rank", F.lit(True).alias("many")).checkpoint()
+    if many.isEmpty():
+        return sized
+    rows = sized.join(many, "rank", "left").withColumn("pid", F.shiftright("dup", 33))
+    hot = rows.where("many")
+    before = F.sum("n").over(Window.partitionBy("rank").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
+    starts = hot.groupBy("rank", "pid").agg(F.count("*").alias("n")).select("rank", "pid", F.coalesce(before, F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("rank", "pid").orderBy("dup")) - 1
+    dealt = hot.withColumn("place", place).join(starts, ["rank", "pid"])
+    dealt = dealt.withColumn("rank", F.xxhash64("rank", F.floor((F.col("start") + F.col("place")) / F.lit(block))))
+    return rows.where("many is null").select(*sized.columns).unionByName(dealt.select(*sized.columns)).checkpoint()
+
+
+def _taken(sized: DataFrame, weights, share: float, most: float, block: int) -> DataFrame:
+    """sized (source, size, rank, dup unique) with source_size, target and taken."""
     found = targets(sized.select("source", "size"), weights, share, most).withColumn("part", F.monotonically_increasing_id()).checkpoint()
     table = found.select(F.col("source").alias("__source"), "source_size", "target", "part")
     if found.count() <= BROADCAST_SOURCES:
@@ -217,6 +228,41 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     rows = rows.withColumn("sure", F.floor(ratio + 1e-9)).withColumn("prob", F.greatest(F.lit(0.0), ratio - F.col("sure")))
     units = rows.where("size > 0").select("part", "rank", F.col("dup").alias("key"), "size", "prob")
     drawn = balanced(units, block).where("chosen").select(F.col("key").alias("dup"), F.lit(1).alias("more"))
-    out = rows.join(drawn, "dup", "left")
     taken = (F.col("size") * (F.col("sure") + F.coalesce("more", F.lit(0)))).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return rows.join(drawn, "dup", "left").withColumn("taken", taken)
+
+
+def mixture(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for each row of docs (doc_id, text, source).
+
+    A document enters floor(target / source_size) times for sure and once more if the balanced sample
+    of its source has it, which is drawn with the remaining fraction as its probability.  Null texts and texts
+    without words have size 0 and are never drawn; null sources are one source.  Repeated rows and rows
+    without an id are units of their own.
+    """
+    prepare(docs.sparkSession)
+    sized = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "source", "text").alias("rank")).withColumn("dup", F.monotonically_increasing_id()).checkpoint()
+    return _taken(_told_apart(sized, block), weights, share, most, block).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
+    """The rows of docs with all their columns and size, source_size, target and taken, as in ``mixture``.
+
+    A new column whose name docs has already gets the prefix ``mix_``.  The rows are written to the shared folder once,
+    so that each can be told from its equals.
+    """
+    spark = prepare(docs.sparkSession)
+    names, path = [f"c{i}" for i in range(len(docs.columns))], new_folder(spark, "mixed")
+    docs.toDF(*names).withColumn("dup", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path)
+    of = {c: F.col(n) for n, c in zip(names, docs.columns, strict=True)}
+    sized = rows.select("dup", of["doc_id"].alias("doc_id"), of["source"].alias("source"), word_count(names[docs.columns.index("text")]).alias("size"), F.xxhash64(of["doc_id"], of["source"], of["text"]).alias("rank")).checkpoint()
+    made = _taken(_told_apart(sized, block), weights, share, most, block).select("dup", "size", "source_size", "target", "taken")
+    own = set(docs.columns)
+
+    def free(name):
+        while name in own:
+            name = f"mix_{name}"
+        return name
+
+    return rows.join(made, "dup").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], *[F.col(c).alias(free(c)) for c in made.columns[1:]])

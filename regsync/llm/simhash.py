@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators.components import connected_components
 from .common import as_bytes, map_arrow, prepare
-from .graph import connected_components
 
 #: A block key with more distinct fingerprints than this is divided by further blocks.
 LARGE = 256
@@ -155,19 +155,21 @@ def classes_of(own: DataFrame, links) -> DataFrame:
 def keep_first(docs: DataFrame, found: DataFrame, prints) -> DataFrame:
     """One row of docs for each class of ``found``: with the smallest doc_id, of several such the smallest fp.
 
-    ``prints`` gives the fp of a column of texts, so that a row can stand only for its own class.
+    ``prints`` gives the fp of a column of texts, so that a row can stand only for its own class, whatever rows share its id
+    or have none.  docs may have any further columns.
     """
-    kept = found.where("doc_id <=> component_id").groupBy("class_fp").agg(F.min(F.struct("fp", "doc_id")).alias("k")).select(F.col("k.fp").alias("__fp"), F.col("k.doc_id").alias("__id"))
-    names = docs.columns
+    kept = found.where("doc_id <=> component_id").groupBy("class_fp").agg(F.min(F.struct("fp", "doc_id")).alias("k")).select(F.col("k.fp").alias("kept_fp"), F.col("k.doc_id").alias("kept_id"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, own_id = docs.columns.index("text"), names[docs.columns.index("doc_id")]
 
     def work(batches):
         for b in batches:
-            own = pa.array(prints(b.column(names.index("text"))), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, own], [*names, "__own"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints(b.column(text)), pa.int64())], [*names, "own_fp"])
 
-    rows = docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("__own", LongType())]))
-    rows = rows.join(kept, (F.col("__own") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.dropDuplicates(["__own"]).select(*names)
+    plain = docs.toDF(*names)
+    rows = plain.mapInArrow(work, StructType([*plain.schema.fields, StructField("own_fp", LongType())]))
+    rows = rows.join(kept, (F.col("own_fp") == F.col("kept_fp")) & F.col(own_id).eqNullSafe(F.col("kept_id")))
+    return rows.dropDuplicates(["own_fp"]).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def _signed_prints(column) -> list[int]:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -67,27 +68,92 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-
 def test_html():
     known = pages.Boilerplate("", 1, set())
     assert pages.extract(PAGE, "h", known)[0] == "Tést & more Onetwo three four Five six seven"
+    assert pages.body(PAGE) == "Onetwo three four Five six seven"
     assert pages.extract(None, "", known) == ("", 0) and pages.extract("plain <words", "", known)[0].startswith("plain")
     assert pages.extract('<div class="content"><p>a</p></div><div>b</div>', "", known)[0] == "a"
+    assert pages.extract("<p>a<b>b</p></b> c</i> <a title='x>y'>d</a> <a title=\"e>f</p>", "", known)[0] == "ab c d f"
+
+
+def test_hostile_pages_take_linear_time():
+    def seconds(page):
+        start = time.perf_counter()
+        pages.blocks(page)
+        return time.perf_counter() - start
+
+    for piece in ("<a \"", "<div>", "</div><b>", "<div><b></div", "</i><i>", "<", "<!--", "<a '\">", "<script>", "<b x=\"'"):
+        assert seconds(piece * 40_000) < 8 * seconds(piece * 10_000) + 0.5, piece
+
+
+def naive_text(rows):
+    """The texts by brute force: per host all runs of RUN tokens with the distinct pages that have them."""
+    seen = {}
+    split = lambda texts: [w for t in texts for w in t.split()]
+    parsed = [(k, i, pages.host_of(u), pages.contents(h or "")) for k, (i, u, h) in enumerate(rows)]
+    for k, i, host, (own, other, told) in parsed:
+        stream = split(other if told and len(own) == 1 else [t for e in own for t in e] + other)
+        for j in range(len(stream) - pages.RUN + 1):
+            seen.setdefault((host, *stream[j : j + pages.RUN]), set()).add(i if i is not None else ("row", rows[k][1], rows[k][2]))
+    often = {key for key, who in seen.items() if len(who) >= pages.LEAST_PAGES}
+
+    def covered(host, words):
+        hit = [False] * len(words)
+        for j in range(len(words) - pages.RUN + 1):
+            if (host, *words[j : j + pages.RUN]) in often:
+                hit[j : j + pages.RUN] = [True] * pages.RUN
+        return hit
+
+    out = []
+    for _, i, host, (own, _, told) in parsed:
+        if told:
+            kept = [e for e in own if len(own) == 1 or not all(covered(host, split(e)))]
+            out.append((i, " ".join(t for e in kept or own for t in e)))
+        else:
+            words = split(own[0])
+            left = [w for w, g in zip(words, covered(host, words), strict=True) if not g]
+            out.append((i, " ".join(left or words)))
+    return out
+
+
+def test_html_against_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(60)}"
+    notices = [" ".join(word() for _ in range(rng.randrange(6, 30))) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        unique = " ".join(f"u{i}-{k}" for k in range(rng.randrange(0, 40)))
+        notice, teaser = rng.choice(notices), rng.choice(notices)
+        page = rng.choice([f"<div>{notice}</div><p>{unique}</p><div>{teaser} {unique}</div>", f"<main><article>{unique}</article><article>{teaser}</article></main><p>{notice}</p>", f"<article>{teaser} {unique}</article><p>{notice}</p>", f"<p>{notice} {notice}</p>"])
+        rows += [(i if i % 9 else None, f"http://h{i % 3}.test/{i}", page)] * rng.randrange(1, 4)
+    rows += [(500, None, None), (501, "http://h1.test", ""), (1, "http://h1.test/1", "<p>another page with one id</p>")]
+    monkeypatch.setattr(pages, "SHARD_PAGES", 20)
+    got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    order = lambda pairs: sorted(pairs, key=str)
+    assert order((r.page_id, r.text) for r in got) == order(naive_text(rows))
 
 
 def test_suffix_array():
     rng = random.Random(2)
-    streams = [np.array([rng.randrange(3) for _ in range(40)], np.uint64) for _ in range(6)]
+    streams = [np.array([rng.randrange(1, 4) for _ in range(40)], np.uint64) for _ in range(6)]
     order, rank = pages.suffix_array(streams[0], 8)
     tails = [tuple(streams[0][i : i + 8].tolist()) for i in range(40)]
     assert [tails[i] for i in order] == sorted(tails)
-    code, n = pages.repeated(streams, 5)
-    brute = Counter(g for s in streams for g in {tuple(s[i : i + 5].tolist()) for i in range(len(s) - 4)})
-    assert sorted(n.tolist()) == sorted(brute.values()) and len(set(code.tolist())) == len(brute)
+    owner = [0, 1, 0, 2, 2, 3]
+    code, n = pages.repeated(streams, np.array(owner), 5)
+    brute = {}
+    for s, who in zip(streams, owner, strict=True):
+        for i in range(len(s) - 4):
+            brute.setdefault(tuple(s[i : i + 5].tolist()), set()).add(who)
+    assert sorted(n.tolist()) == sorted(len(x) for x in brute.values()) and len(set(code.tolist())) == len(brute)
 
 
 def test_boilerplate_of_unmarked_pages(spark):
     shared = "this long notice stands on every single page of the host"
     rows = [(i, "http://A.example/x", f"<div>{shared}</div><p>n{i} alpha beta gamma delta{i}</p>") for i in range(8)] + [(99, None, None), (100, "nothing", "<p>x</p>"), (100, "nothing", "<p>x</p>")]
+    rows += [(200, "http://B.example/x", f"<p>{shared}</p>")] * 4 + [(201, "http://B.example/y", f"<p>{shared}</p><p>more</p>")]
     got = {r.page_id: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i].text == f"n{i} alpha beta gamma delta{i}" for i in range(8))
     assert got[99].text == "" and got[99].n_chars == 0 and got[100].text == "x"
+    assert got[201].text == f"{shared} more"  # two distinct pages only, whatever rows repeat
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -189,15 +255,88 @@ def test_simhash_documents(spark):
 # 6
 def test_urls(spark):
     rows = [(1, "HTTP://A.NET/x?q"), (2, "http://en.example.net/en/1"), (3, "http://example.com/de/1"), (4, "http://q.example.org/fr/1#z"), (5, None), (6, "no scheme"), (7, "http://x.test"), (7, "http://x.test")]
-    rows += [(100 + i, f"http://casino-win.test/{w}/{i}") for i in range(30) for w in ("a", "b")] + [(300 + i, f"http://fine.test/slug{i}x/{i}") for i in range(40)]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.net", "/x", "net/", "block")
     assert (got[2].rule, got[2].verdict, got[3].rule, got[3].verdict, got[4].rule, got[4].path) == ("example.net/en/", "allow", "example.com/de/", "block", "org/fr/", "/fr/1")
     assert got[5].host == got[6].host == got[5].path == "" and got[7].path == "" and got[5].verdict == "allow"
-    assert got[100].verdict == "block" and got[300].verdict == "allow" and got[100].template.endswith("/<n>")
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def naive_templates(shapes):
+    """The tree by recursion: {shape: template}, shapes {segments: (n, labelled, bad)}."""
+    out = {}
+
+    def purity(rows):
+        return (sum(shapes[s][2] for s in rows) + urls.PRIOR * urls.STRENGTH) / (sum(shapes[s][1] for s in rows) + urls.STRENGTH)
+
+    def walk(members, level, template):
+        children = {}
+        for s in members:
+            if level < len(s):
+                children.setdefault(s[level], []).append(s)
+            else:
+                out[s] = template
+        total = sum(shapes[s][0] for rows in children.values() for s in rows)
+        many = len(children) >= urls.CHILDREN and len(children) >= urls.VARIETY * total
+        families = {}
+        for name, rows in children.items():
+            n, following = sum(shapes[s][0] for s in rows), Counter()
+            for s in rows:
+                following[s[level + 1] if level + 1 < len(s) else "/"] += shapes[s][0]
+            shares = tuple(sorted((k, math.floor(c / n * urls.STEPS + 0.5)) for k, c in following.items() if c / n >= 1 / urls.HEAVY))
+            families.setdefault((shares, purity(rows) >= urls.REJECT), []).append(name)
+        parts = {}
+        for names in families.values():
+            for name in names:
+                label = "*" if many else f"{min(names)}~" if len(names) > 1 else name
+                parts.setdefault(label, []).extend(children[name])
+        for label, rows in parts.items():
+            walk(rows, level + 1, f"{template}/{label}")
+
+    walk(list(shapes), 0, "")
+    return out
+
+
+def test_urls_against_a_plain_tree(spark):
+    """Hosts whose good and bad branches no word of the URL tells apart."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(900):
+        section = rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"])
+        path = rng.choice([f"/{section}/{i}", f"/{section}/x{i}y/view", f"/{section}/{rng.choice(['a', 'b', 'c'])}/{rng.choice(['p', 'q'])}", f"/s{i}"])
+        bad = None if rng.random() < 0.6 else rng.random() < (0.9 if section in ("beta", "delta") else 0.05)
+        rows.append((i, f"http://host{i % 2}.test{path}", bad))
+    judged = urls.judge(spark.createDataFrame(rows, "page_id long, url string, bad boolean"))
+    got = {r.page_id: r for r in judged.collect()}
+    seg = {r.page_id: tuple(r.s) for r in spark.createDataFrame(rows, "page_id long, url string, bad boolean").select("page_id", urls.segments(urls.parts()[1]).alias("s")).collect()}
+    for host in ("host0.test", "host1.test"):
+        own = [r for r in rows if got[r[0]].host == host]
+        shapes = {}
+        for i, _, bad in own:
+            n, labelled, b = shapes.get(seg[i], (0, 0, 0))
+            shapes[seg[i]] = (n + 1, labelled + (bad is not None), b + bool(bad))
+        templates = naive_templates(shapes)
+        sums = {}
+        for s, t in templates.items():
+            labelled, b = sums.get(t, (0, 0))
+            sums[t] = (labelled + shapes[s][1], b + shapes[s][2])
+        for i, _, _ in own:
+            labelled, b = sums[templates[seg[i]]]
+            purity = (b + urls.PRIOR * urls.STRENGTH) / (labelled + urls.STRENGTH)
+            assert (got[i].template, got[i].verdict) == (templates[seg[i]], "block" if purity >= urls.REJECT else "allow")
+            assert got[i].purity == pytest.approx(purity)
+        assert {got[i].verdict for i, _, _ in own} == {"allow", "block"}
+    assert any(r.template.endswith("~/<n>") or "~/" in r.template for r in got.values())
+
+
+def test_page_labels(spark):
+    docs = spark.createDataFrame([(1, "good  text here"), (2, "bad text here"), (3, "bad text here"), (4, "no label"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    html = [(10, "u", "<article><h1>T</h1><p>good text</p><p>here</p></article>"), (11, "u", "<article>bad text here</article>"), (12, None, "<p>no label</p>"), (12, None, None)]
+    shown = pages.with_body_hash(spark.createDataFrame(html, "page_id long, url string, html string"))
+    assert sorted((r.page_id, str(r.bad)) for r in urls.page_labels(shown, docs, labels).collect()) == [(10, "False"), (11, "True"), (12, "None"), (12, "None")]
+
+
 # 7
 def test_kneser_ney_against_brute_force(spark):
     rng = random.Random(7)
@@ -207,26 +346,41 @@ def test_kneser_ney_against_brute_force(spark):
     train = [(i, t) for i, t in rows if i is not None and i % 3]
     model = kneser.train(docs.where("doc_id % 3 <> 0"), partition_chars=3000)
     tokens = lambda t: [*words(t), "</s>"]
-    single, pair = Counter(), Counter()
+    single, triple = Counter(), Counter()
     for _, t in train:
-        single.update(tokens(t))
-        pair.update(zip(["<s>", *tokens(t)], tokens(t), strict=False))
-    n, v, kinds = sum(single.values()), len(single), len(pair)
+        x = tokens(t)
+        single.update(x)
+        triple.update(zip(["<s>", "<s>", *x], ["<s>", *x], x, strict=False))
+    n, v = sum(single.values()), len(single)
     of = lambda d, c: 0 if c == 0 else d[min(c, 3) - 1]
-    d2, d1 = kneser.discounts([list(pair.values()).count(k) for k in (1, 2, 3, 4)]), None
+    found = lambda counts: kneser.discounts([list(counts.values()).count(k) for k in (1, 2, 3, 4)])
+    pair = Counter()
+    for (a, b, c), k in triple.items():
+        pair[(b, c)] += k if a == b == "<s>" else 1
     before = Counter(b for _, b in pair)
-    d1 = kneser.discounts([list(before.values()).count(k) for k in (1, 2, 3, 4)])
+    d1, d2, d3 = found(before), found(pair), found(triple)
+    kinds = len(pair)
     spare = sum(of(d1, c) for c in before.values()) / kinds
-    low = lambda w: (before[w] - of(d1, before[w])) / kinds + spare / (v + 1)
-    total, kept = Counter(), Counter()
-    for (a, _), c in pair.items():
-        total[a] += c
-        kept[a] += of(d2, c)
-
-    def p(a, b):
-        return low(b) if not total[a] else (pair[(a, b)] - of(d2, pair[(a, b)])) / total[a] + kept[a] / total[a] * low(b)
 
-    assert sum(p("w1", w) for w in single) + p("w1", "never seen") == pytest.approx(1)
+    def summed(counts, d):
+        total, kept = Counter(), Counter()
+        for key, c in counts.items():
+            total[key[:-1]] += c
+            kept[key[:-1]] += of(d, c)
+        return total, kept
+
+    total2, kept2 = summed(pair, d2)
+    total3, kept3 = summed(triple, d3)
+    p1 = lambda w: (before[w] - of(d1, before[w])) / kinds + spare / (v + 1)
+    p2 = lambda b, w: p1(w) if not total2[(b,)] else (pair[(b, w)] - of(d2, pair[(b, w)]) + kept2[(b,)] * p1(w)) / total2[(b,)]
+
+    def p(a, b, w):
+        if not total3[(a, b)]:
+            return p2(b, w)
+        return (triple[(a, b, w)] - of(d3, triple[(a, b, w)]) + kept3[(a, b)] * p2(b, w)) / total3[(a, b)]
+
+    for a, b in (("w1", "w2"), ("<s>", "<s>"), ("<s>", "w1"), ("never", "w1")):
+        assert sum(p(a, b, w) for w in single) + p(a, b, "never seen") == pytest.approx(1)
     got = kneser.perplexity(docs, model, ["doc_id"]).collect()
     assert len(got) == len(rows)
     by_id = {r.doc_id: r for r in got}
@@ -234,7 +388,7 @@ def test_kneser_ney_against_brute_force(spark):
         x, r = tokens(t), by_id[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(single[w] > 0 for w in x), n)
         assert r.base_score == pytest.approx(sum(math.log10((single[w] + 1) / (n + v + 1)) for w in x))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *x], x, strict=False)))
+        assert r.score == pytest.approx(sum(math.log10(p(a, b, w)) for a, b, w in zip(["<s>", "<s>", *x], ["<s>", *x], x, strict=False)))
     none = kneser.train(documents(spark, []))
     assert kneser.perplexity(documents(spark), none, ["doc_id"]).count() == len(ODD)
 

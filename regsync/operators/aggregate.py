@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import PARTS, with_parsed_address
+from ..functions.base import filled, first_filled
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -51,3 +52,16 @@ def aggregate(institutions: DataFrame, offers: DataFrame, parse: Callable[[DataF
         F.col("id").alias("snowflake_id"), "nome_instituicao", "dependencia_adm", "endereco", *PARTS, "telefone", "email", "homepage",
         F.to_json("cursos_ofertados_ids").alias("cursos_ofertados_ids"),
     )
+
+
+def rewritten(rows: DataFrame) -> DataFrame:
+    """Any institutions file in the 15 columns: the row's own filled values win over parsed ones, alternates of names are taken, [] stands for no courses."""
+    have = set(rows.columns)
+    text = lambda *names: first_filled(*[F.col(n) for n in names if n in have])
+    df = with_parsed_address(rows, "p", text("endereco"))
+    return df.select(
+        text("snowflake_id", "id").alias("snowflake_id"), text("nome_instituicao", "nome").alias("nome_instituicao"), text("dependencia_adm").alias("dependencia_adm"), text("endereco").alias("endereco"),
+        *[first_filled(*([F.col(x)] if x in have else []), F.col(f"p.{x}")).alias(x) for x in PARTS],
+        *[text(n).alias(n) for n in ("telefone", "email", "homepage")],
+        F.coalesce(filled(text("cursos_ofertados_ids")), F.lit("[]")).alias("cursos_ofertados_ids"),
+    )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.address import PARTS, with_parsed_address
 from ..functions.base import first_filled
-from .aggregate import first_by
 from .components import cut
 
 
@@ -29,9 +28,11 @@ def excess_rows(df: DataFrame) -> DataFrame:
 
 
 def dedupe_ids(df: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(kept, removed): the first row of each id, and the others for a side table."""
-    kept = first_by(df, ["id"], order)
-    return kept, df.join(kept.select("id", *order), ["id", *order], "left_anti")
+    """(kept, removed): the first row of each id, and all others for a side table, equal rows among them."""
+    rows = cut(df.withColumn("__row", F.monotonically_increasing_id()))
+    first = rows.groupBy("id").agg(F.min(F.struct(*order, "__row")).alias("__f")).select(F.col("__f.__row").alias("__row"))
+    kept = rows.join(first, "__row", "left_semi").select(*df.columns)
+    return kept, rows.join(first, "__row", "left_anti").select(*df.columns)
 
 
 def sanitized(df: DataFrame) -> DataFrame:
@@ -49,6 +50,15 @@ def sanitized(df: DataFrame) -> DataFrame:
     return out.where((c("novo_municipio") != c("municipio")) | dirty | (c("novo_uf") != c("uf")) | (c("novo_cep") != c("cep")))
 
 
+def with_sanitized(df: DataFrame, changed: DataFrame, now=None) -> DataFrame:
+    """The registry with the values that ``sanitized`` found in place of the old ones; filled parts replace old ones."""
+    new = changed.select("id", *[F.col(f"novo_{n}").alias(f"__{n}") for n in ("municipio", "uf", "cep")], *[F.col(x).alias(f"__{x}") for x in ("logradouro", "numero", "complemento", "bairro")], F.lit(True).alias("__new")).dropDuplicates(["id"])
+    value = lambda n: F.when(F.col("__new"), first_filled(F.col(f"__{n}"), F.col(n))).otherwise(F.col(n)).alias(n)
+    stamp = F.current_timestamp() if now is None else now
+    cols = [value(n) if n in PARTS else F.when(F.col("__new"), stamp).otherwise(F.col(n)).alias(n) if n == "atualizado_em" else F.col(n) for n in df.columns]
+    return df.join(new, "id", "left").select(*cols)
+
+
 def active_counts(**tables: DataFrame) -> DataFrame:
     """One row with the number of active rows of each table."""
     out = None

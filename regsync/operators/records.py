@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import PARTS, with_parsed_address
-from ..functions.base import first_filled
+from ..functions.base import filled, first_filled
 from ..functions.text import sentinel
 
 #: The catalogue's course and institution records.
@@ -15,6 +15,9 @@ INSTITUTION_JSON = "nome STRING, tipo STRING, endereco STRING, telefone STRING,
 
 _COURSE = (("nome_curso", "nome"), ("carga_horaria", "cargaHoraria"), ("pre_requisito", "preRequisito"), ("perfil_profissional", "perfilProfissional"), ("itinerarios", "itinerarios"), ("campo_atuacao", "campoAtuacao"), ("ocupacoes_cbo", "ocupacoesCbo"), ("infraestrutura_minima", "infraestruturaMinima"))
 
+#: The columns of the course preview.
+PREVIEWED_COURSE = ("snowflake_id", "id_original", "nome_curso", "eixo_tecnologico", "carga_horaria", "pre_requisito", "perfil_profissional", "itinerarios", "campo_atuacao", "ocupacoes_cbo", "infraestrutura_minima")
+
 
 def course_records(raw: DataFrame, original_id: str = "id") -> DataFrame:
     """Course rows: renamed fields, the first technological area's name as axis, a mark for missing texts."""
@@ -45,6 +48,25 @@ def preview(batch: DataFrame) -> DataFrame:
     return df.select(*[c for c in batch.columns if c not in PARTS], *parts)
 
 
+def course_preview(batch: DataFrame) -> DataFrame:
+    """The columns of a course file that a preview shows; the id and the name come under either of two names."""
+    have = set(batch.columns)
+    one = lambda *names: F.coalesce(*[filled(F.col(n)) for n in names if n in have], F.lit(None).cast("string"))
+    alternates = {"snowflake_id": ("snowflake_id", "id"), "nome_curso": ("nome_curso", "nome")}
+    return batch.select(*[one(*alternates.get(n, (n,))).alias(n) for n in PREVIEWED_COURSE])
+
+
+def validation(batch: DataFrame) -> DataFrame:
+    """Batch rows as a check of the comparison after clean-up takes them: parsed address parts in place of the row's own, parsed from the address alone."""
+    have = set(batch.columns)
+    one = lambda *names: first_filled(*[F.col(n) for n in names if n in have])
+    df = with_parsed_address(batch, "p", one("endereco"))
+    return df.select(
+        one("snowflake_id", "id").alias("snowflake_id"), one("nome_instituicao", "nome").alias("nome_instituicao"), one("dependencia_adm").alias("dependencia_adm"), one("endereco").alias("endereco_original"), one("endereco").alias("endereco"),
+        *[F.coalesce(f"p.{x}", F.lit("")).alias(x) for x in PARTS], *[one(n).alias(n) for n in ("telefone", "email", "homepage")],
+    )
+
+
 def registry_view(registry: DataFrame) -> DataFrame:
     """Active rows; only where street, municipality or state is blank do parsed parts fill in."""
     have = set(registry.columns)

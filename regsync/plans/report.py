@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.address import PARTS, with_parsed_address
 from ..functions.base import first_filled
 
-SHEETS = ("Novos", "Alterados", "Inativados", "Ofertas de Cursos")
+#: Names of the workbook's sheets, and the rows that a sheet holds at most.
+SHEETS, SHEET_ROWS = ("Novos", "Alterados", "Inativados", "Ofertas de Cursos"), 1_048_576
 _PARTS = ("logradouro", "numero", "complemento", "bairro", "municipio", "uf", "cep")
 
 
@@ -44,29 +45,79 @@ def course_report(details: DataFrame) -> DataFrame:
     return details.select(F.col("id").alias("snowflake_id"), "nome_instituicao", F.col("tipo").alias("tipo_alteracao"), F.col("curso").alias("nome_curso"))
 
 
-def ascii_table(df: DataFrame, columns: list[tuple[str, int]], order: list, most: int = 50) -> DataFrame:
-    """(n, linha): the first ``most`` rows as fixed-width lines, with how many more there are on the last."""
-    cell = lambda c, w: F.rpad(F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, w), w, " ")
+def ascii_table(df: DataFrame, columns: list[tuple[str, int | None]], order: list, most: int = 50, none: str = "Nenhum registro.", more: str = "... e mais {}") -> DataFrame:
+    """(n, linha): the first ``most`` rows as lines of fixed-width columns (None: as long as the text), with how many more there are on the last; ``none`` if there are no rows."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    cell = lambda c, w: text(c) if w is None else F.rpad(F.substring(text(c), 1, w), w, " ")
     line: Column = F.concat_ws(" | ", *[cell(c, w) for c, w in columns])
     from pyspark.sql import Window
 
     shown = df.orderBy(*order).limit(most)
     lines = shown.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("n"), line.alias("linha"))  # at most ``most`` rows
     total = df.agg(F.count("*").alias("t"))
-    more = total.select(F.lit(most + 1).cast("long").alias("n"), F.concat(F.lit("... e mais "), (F.col("t") - most).cast("string")).alias("linha"), "t").where(F.col("t") > most).drop("t")
-    none = total.where("t = 0").select(F.lit(1).cast("long").alias("n"), F.lit("Nenhum registro.").alias("linha"))
-    return lines.unionByName(more).unionByName(none)
-
-
-def diagnosis(summary: DataFrame, tables: dict[str, DataFrame] | None = None) -> str:
-    """The text report: totals, mode, counts, course statistics, and the lines of the given tables."""
-    s = summary.first()
-    mode = "PARCIAL (Carga por Estado/Filtro)" if s.is_parcial else "COMPLETA"
-    out = ["RELATÓRIO DE DIAGNÓSTICO DA SINCRONIZAÇÃO", "=" * 60, f"Registros na carga: {s.total_csv}", f"Registros no banco: {s.total_db}", f"Modo: {mode}", "-" * 60]
-    out += [f"{label:<14}: {s[name]}" for label, name in (("Novos", "novos_qtd"), ("Alterados", "alterados_qtd"), ("Mantidos", "mantidos_qtd"), ("Reativados", "reativados_qtd"), ("Inativados", "inativados_qtd"))]
-    out += ["-" * 60, f"Cursos distintos na carga: {s.cursos_unicos_csv_qtd}", f"Ofertas novas: {s.novos_cursos_qtd}", f"Ofertas encerradas: {s.cursos_descontinuados_qtd}", f"Ofertas mantidas: {s.cursos_mantidos_qtd}"]
-    for title, df in (tables or {}).items():
-        out += ["", title, *[r.linha for r in df.orderBy("n").collect()]]
+    before, after = more.split("{}")
+    rest = total.select(F.lit(most + 1).cast("long").alias("n"), F.concat(F.lit(before), (F.col("t") - most).cast("string"), F.lit(after)).alias("linha"), "t").where(F.col("t") > most).drop("t")
+    empty = total.where("t = 0").select(F.lit(1).cast("long").alias("n"), F.lit(none).alias("linha"))
+    return lines.unionByName(rest).unionByName(empty)
+
+
+# The sections of the text diagnosis: title, line without rows, line for further rows, and for each column its head, name and width.
+SECTIONS = (
+    ("1. RELAÇÃO DE INSTITUIÇÕES NOVAS IDENTIFICADAS", "Nenhuma nova instituição identificada no lote importado.", "... e mais {} instituições novas no lote.",
+     (("SNOWFLAKE ID", "snowflake_id", 15), ("NOME DA INSTITUIÇÃO", "nome_instituicao", 45), ("DEP. ADM", "dependencia_adm", 15), ("ENDEREÇO COMPLETO", "endereco", None)), 149),
+    ("2. COMPARAÇÃO DE ALTERAÇÕES CADASTRAIS (BANCO MYSQL vs RASPAGEM CNCT)", "Nenhuma alteração cadastral identificada no lote importado.", "... e mais {} alterações cadastrais no lote.",
+     (("SNOWFLAKE ID", "snowflake_id", 18), ("NOME DA INSTITUIÇÃO", "nome_instituicao", 40), ("DIVERGÊNCIAS DETECTADAS", "diferencas_detectadas", None)), 124),
+    ("3. RELAÇÃO DE INSTITUIÇÕES A SEREM INATIVADAS (ativo = 0)", "Nenhuma instituição a ser inativada.", "... e mais {} instituições a serem inativadas no lote.",
+     (("SNOWFLAKE ID", "snowflake_id", 18), ("NOME DA INSTITUIÇÃO", "nome_instituicao", 40), ("ENDEREÇO BANCO", "endereco", None)), 124),
+    ("4. DETALHAMENTO DE CURSOS E OFERTAS (NOVOS VÍNCULOS / ENCERRADOS)", "Nenhuma alteração em ofertas de cursos identificada.", "... e mais {} detalhamentos de cursos no lote.",
+     (("SNOWFLAKE ID", "snowflake_id", 18), ("NOME DA INSTITUIÇÃO", "nome_instituicao", 35), ("TIPO", "tipo_alteracao", 15), ("NOME DO CURSO", "nome_curso", None)), 122),
+)
+# The diagnosis' other lines, with the summary's columns in braces.
+HEADING = "DIAGNÓSTICO E RELATÓRIO COMPLETO DE MIGRAÇÃO CNCT (C ENGINE)"
+MODES = ("COMPLETA (Carga Nacional)", "PARCIAL (Carga por Estado/Filtro)")
+TOTALS = (
+    "Total de Instituições no Banco de Dados (VPS): {total_db}",
+    "Total de Instituições no Lote Importado (CSV): {total_csv}",
+    "Total de Cursos Únicos Identificados no CSV: {cursos_unicos_csv_qtd}",
+    "Modo de Importação: {modo}",
+)
+CHANGES = (
+    "RESUMO EXECUTIVO DE MUDANÇAS DE ESTADO:",
+    "  1. RELAÇÃO DE INSTITUIÇÕES NOVAS IDENTIFICADAS (INSERT): {novos_qtd}",
+    "  2. COMPARAÇÃO DE ALTERAÇÕES CADASTRAIS (UPDATE): {alterados_qtd}",
+    "  3. INSTITUIÇÕES MANTIDAS SEM ALTERAÇÕES (MANTIDOS): {mantidos_qtd}",
+    "  4. INSTITUIÇÕES REATIVADAS (SET ATIVO=1): {reativados_qtd}",
+    "  5. RELAÇÃO DE INSTITUIÇÕES A SEREM INATIVADAS (SET ATIVO=0): {inativados_qtd} {ignorado}",
+)
+OFFERS = (
+    "MUDANÇAS DE OFERTAS DE CURSOS (NÍVEL DE CURSOS):",
+    "  - Novas Ofertas Vinculadas: {novos_cursos_qtd}",
+    "  - Ofertas Mantidas: {cursos_mantidos_qtd}",
+    "  - Ofertas Descontinuadas/Encerradas: {cursos_descontinuados_qtd}",
+)
+IGNORED = "(Ignorado em Carga Parcial)"
+WIDTH = 90
+
+
+def section(number: int, df: DataFrame, order: list) -> DataFrame:
+    """(n, linha): a section's head, rule and rows (at most 50 and how many more there are)."""
+    _, none, more, columns, rule = SECTIONS[number]
+    rows = ascii_table(df, [(c, w) for _, c, w in columns], order, none=none, more=more)
+    head = " | ".join(h if w is None else h.ljust(w) for h, _, w in columns)
+    top = df.limit(1).select(F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(x).alias("linha")) for n, x in ((-1, head), (0, "-" * rule))])).alias("x")).select("x.*")
+    return top.unionByName(rows)
+
+
+def diagnosis(summary: DataFrame, rows: DataFrame, details: DataFrame) -> str:
+    """The text report: totals, mode, counts, course statistics and the four sections."""
+    s = summary.first().asDict()
+    s |= {"modo": MODES[bool(s["is_parcial"])], "ignorado": IGNORED if s["is_parcial"] else ""}
+    heavy, light = "=" * WIDTH, "-" * WIDTH
+    out = [heavy, HEADING, heavy, *TOTALS, light, *CHANGES, light, *OFFERS, light]
+    out = [line.format(**s) for line in out]
+    for i, df in enumerate(reports(rows, details).values()):
+        body = [r.linha for r in section(i, df, ["snowflake_id", "nome_instituicao"]).orderBy("n").collect()]
+        out += ["" if i == 0 else "\n", SECTIONS[i][0], heavy, *body]
     return "\n".join(out)
 
 
@@ -112,6 +163,8 @@ def write_xlsx(path: str, sheets: dict[str, DataFrame]) -> None:
             with z.open(f"xl/worksheets/sheet{i}.xml", "w") as f:
                 f.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData>'.encode() + line(1, df.columns, 1))
                 for row, values in enumerate(df.toLocalIterator(), 2):
+                    if row > SHEET_ROWS:
+                        raise ValueError(f"{titles[i - 1]} has more rows than a sheet can hold")
                     f.write(line(row, values))
                 f.write(b"</sheetData></worksheet>")
 

@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Identifiers of the catalogue, paths under its address, and the number of courses where it doesn't say.
 FIRST_ID, LAST_ID, DEFAULT_COURSES = 1, 260, 215
-HOME = "/cnct-api/home/"
+HOME, VERSION = "/cnct-api/home/", "/cnct-api/version"
 HEADERS = {"User-Agent": "Mozilla/5.0", "Accept": "application/json, text/plain, */*"}
 
 
@@ -35,15 +35,32 @@ def get_json(url: str, timeout: float = 10, attempts: int = 2, open_: Callable =
     return 0, None
 
 
+def is_course(status: int, body) -> bool:
+    """Whether an answer is a course: a record that has a name or an id."""
+    return status == 200 and isinstance(body, dict) and ("nome" in body or "id" in body)
+
+
 def first_course(shapes: list[str], fetch: Callable) -> dict | None:
-    """The first of several URL shapes that gives a record with a name or an id."""
+    """The first of several URL shapes that gives a course."""
     for url in shapes:
-        _, body = fetch(url)
-        if isinstance(body, dict) and (body.get("nome") or body.get("id")):
+        status, body = fetch(url)
+        if is_course(status, body):
             return body
     return None
 
 
+def ping(base: str, fetch: Callable = get_json) -> tuple[bool, object]:
+    """(whether the catalogue answers, the version that it names); never fails."""
+    status, body = fetch(f"{base}{VERSION}", timeout=10)
+    return status == 200, body
+
+
+def home(base: str, fetch: Callable = get_json) -> dict | None:
+    """The catalogue's front record, or None."""
+    status, body = fetch(f"{base}{HOME}")
+    return body if status == 200 and isinstance(body, dict) else None
+
+
 def institutions_url(base: str, course: str) -> str:
     return f"{base}{quote(course)}"
 
@@ -60,7 +77,8 @@ class CatalogueSource(DataSource):
     """format("catalogue"): rows (key, status, body) for URLs made of the option ``urls``, patterns with {key} parted by spaces.
 
     Options: first, last (ids) or keys (parted by newlines), partitions, delay (seconds between requests of a
-    partition), timeout.  A pattern that starts with file: reads a local capture, for tests.
+    partition), timeout, accept (``any`` body that isn't empty, or only a ``course`` or a ``list``).  A pattern that starts
+    with file: reads a local capture, for tests.
     """
 
     @classmethod
@@ -90,6 +108,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         delay, timeout = float(self.options.get("delay", 0.5)), float(self.options.get("timeout", 8))
+        fits = {"any": lambda status, body: bool(body), "course": is_course, "list": lambda status, body: status == 200 and isinstance(body, list)}[self.options.get("accept", "any")]
 
         def fetch(url):
             if url.startswith("file:"):
@@ -107,8 +126,9 @@ class _Reader(DataSourceReader):
             status, body = 0, None
             for url in shapes:
                 status, body = fetch(url)
-                if body:
+                if fits(status, body):
                     break
+                body = None
             yield key, status, json.dumps(body, ensure_ascii=False) if body is not None else None
 
 

@@ -90,14 +90,14 @@ def test_sync_and_reports(spark, result, tmp_path):
     reg = spark.createDataFrame([(i, f"n{i}", 1 if i < 4 else 0) for i in range(1, 5)], "id long, nome_instituicao string, ativo int")
     new = {r.id: r for r in sync.apply(reg, plan, base_ms=1704067200001).collect()}
     assert new[1].nome_instituicao == "Escola Estadual Professor Ana" and new[3].ativo == 0 and new[4].ativo == 1 and len(new) == 5
-    sync.commit(spark, str(tmp_path / "store"), registry=reg)
-    sync.commit(spark, str(tmp_path / "store"), registry=reg.limit(2))
-    assert spark.read.parquet(str(tmp_path / "store" / "registry")).count() == 2
     paths = report.export(result.rows, result.course_details, str(tmp_path / "out"))
     sheets = report.read_xlsx(paths["diff_relatorio_completo"])
     assert list(sheets) == list(report.SHEETS) and sheets["Novos"][1][0] == "NOVO"
-    text = report.diagnosis(result.summary, {"Novos": report.ascii_table(report.new_report(result.rows), [("nome_instituicao", 30)], ["nome_instituicao"])})
-    assert "Modo: COMPLETA" in text and "Instituto Totalmente Novo" in text
+    text = report.diagnosis(result.summary, result.rows, result.course_details)
+    assert "Modo de Importação: COMPLETA (Carga Nacional)" in text and "Instituto Totalmente Novo" in text and "(INSERT): 1\n" in text
+    assert [line for line in text.split("\n") if line in [x[0] for x in report.SECTIONS]] == [x[0] for x in report.SECTIONS]
+    none = report.section(2, report.inactive_report(result.rows.limit(0)), ["snowflake_id"]).collect()
+    assert [r.linha for r in none] == [report.SECTIONS[2][1]]
     assert [report.column_letters(i) for i in (1, 26, 27, 702, 703)] == ["A", "Z", "AA", "ZZ", "AAA"]
 
 
@@ -112,3 +112,51 @@ def test_partial_load_inactivates_nothing(spark):
 def test_ownership_guard(spark):
     rows = spark.createDataFrame([("Pública Federal",), ("Privada",), (None,)], "d string")
     assert [r[0] for r in rows.select(audit.public(F.col("d"))).collect()] == [True, False, None]
+
+
+def test_commit_survives_a_death_between_any_two_steps(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    table = lambda *values: spark.createDataFrame([(v,) for v in values], "id long")
+    with pytest.raises(FileNotFoundError):
+        sync.read(spark, store, "registry")
+    sync.commit(spark, store, registry=table(1), offers=table(10))
+    sync.commit(spark, store, registry=table(2))
+    now = lambda name: [r.id for r in sync.read(spark, store, name).collect()]
+    assert (now("registry"), now("offers")) == ([2], [10])
+    # dies while tables are written, with the list not yet renamed, and before old folders are removed
+    table(3).write.parquet(f"{store}/_data/dead/registry")
+    (tmp_path / "store" / "_commits" / "dead.tmp").write_text("{")
+    assert (now("registry"), now("offers")) == ([2], [10])
+    monkeypatch.setattr(sync, "_tidy", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        sync.commit(spark, store, registry=table(4), offers=table(40))
+    monkeypatch.undo()
+    assert (now("registry"), now("offers")) == ([4], [40])
+    sync.commit(spark, store, offers=table(50))
+    assert (now("registry"), now("offers")) == ([4], [50])
+    left = {p.name for p in (tmp_path / "store" / "_data").iterdir() if p.is_dir()}
+    assert "dead" not in left and len(left) <= 3
+    # two writers: the second to finish fails and changes nothing
+    (tmp_path / "store" / "_commits" / "00000005").write_text((tmp_path / "store" / "_commits" / "00000004").read_text())
+    state = sync._state(spark, store)
+    monkeypatch.setattr(sync, "_state", lambda *_: (state[0] - 1, state[1]))
+    with pytest.raises(OSError):
+        sync.commit(spark, store, registry=table(6))
+    monkeypatch.undo()
+    assert now("registry") == [4]
+
+
+def test_maintenance_writes_back(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = [(1, 1, "a"), (1, 2, "b"), (1, 2, "b"), (2, 1, "c"), (None, 1, "d"), (None, 1, "d")]
+    sync.commit(spark, store, registry=spark.createDataFrame(rows, "id long, pos int, t string"))
+    assert tuple(sync.dedupe_table(spark, store, "registry", ["pos"]).first()) == (6, 3, 3, True)
+    got = lambda name: sorted((str(r.id), r.t) for r in sync.read(spark, store, name).collect())
+    assert got("registry") == [("1", "a"), ("2", "c"), ("None", "d")] and got("registry_removidas") == [("1", "b"), ("1", "b"), ("None", "d")]
+    assert tuple(sync.dedupe_table(spark, store, "registry", ["pos"]).first()) == (3, 3, 0, True)
+    place = [(1, "Rua A, 10, Centro, Esteio RS - 93260-000", "Canoas", "RS", "", "keep"), (2, "Rua B, 5, Centro, Natal RN - 59000-001", "Natal", "RN", "59000001", "keep")]
+    sync.commit(spark, store, places=spark.createDataFrame(place, "id long, endereco string, municipio string, uf string, cep string, nome string"))
+    n = sync.sanitize_table(spark, store, "places")
+    after = {r.id: r for r in sync.read(spark, store, "places").collect()}
+    assert n == 1 and (after[1].municipio, after[1].uf, after[1].cep, after[1].nome) == ("Esteio", "RS", "93260000", "keep") and after[2].municipio == "Natal"
+    assert sync.sanitize_table(spark, store, "places") == 0

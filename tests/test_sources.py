@@ -58,6 +58,20 @@ def test_catalogue_source(spark, tmp_path):
     assert sorted((r.nome_instituicao, r.municipio) for r in records.institution_records(inst).collect()) == [("A", "Natal"), ("B", "Olinda")]
 
 
+def test_catalogue_accepts_courses_only(spark, tmp_path):
+    (tmp_path / "a-1.json").write_text(json.dumps({"erro": "x"}))
+    (tmp_path / "b-1.json").write_text(json.dumps({"id": 1, "nome": ""}))
+    (tmp_path / "a-2.json").write_text(json.dumps([{"id": 2}]))
+    urls = [f"file:{tmp_path}/a-{{key}}.json", f"file:{tmp_path}/b-{{key}}.json"]
+    got = catalogue.fetch(spark, urls, records.COURSE_JSON, first=1, last=3, accept="course").collect()
+    assert [(r.key, r.id) for r in got] == [("1", 1)]
+    answers = {"b/cnct-api/version": (200, "1.2"), "b/cnct-api/home/": (200, {"catalogo": {"quantidadeCursos": 9}}), "c/cnct-api/home/": (200, [])}
+    fetch = lambda url, timeout=0: answers.get(url, (0, None))
+    assert catalogue.ping("b", fetch) == (True, "1.2") and catalogue.ping("c", fetch) == (False, None)
+    assert catalogue.total_courses(catalogue.home("b", fetch)) == 9 and catalogue.home("c", fetch) is catalogue.home("d", fetch) is None
+    assert catalogue.first_course(["x", "y"], lambda url: (200, {"id": 5} if url == "y" else {"z": 1})) == {"id": 5}
+
+
 def test_unreachable_database(spark):
     assert database.connection_or_none(spark, "t") is None
 

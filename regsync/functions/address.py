@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import filled, fold, let, rstrip_separators, strip, strip_marks, sub, words
+from .base import built_once, filled, fold, let, lit, rstrip_separators, strip, strip_marks, sub, words
 
 # States, Roman numerals, and what can't be a municipality.
 UFS = ("AC", "AL", "AP", "AM", "BA", "CE", "DF", "ES", "GO", "MA", "MT", "MS", "MG", "PA", "PB", "PR", "PE", "PI", "RJ", "RN", "RS", "RO", "RR", "SC", "SP", "SE", "TO")
@@ -37,7 +37,7 @@ PARTS = ("logradouro", "numero", "complemento", "bairro", "municipio", "uf", "ce
 
 
 def _cep_text(text: Column) -> Column:
-    return rstrip_separators(strip_marks(strip(F.coalesce(text, F.lit("")))))
+    return rstrip_separators(strip_marks(strip(F.coalesce(text, lit("")))))
 
 
 def _cep_of(t: Column) -> Column:
@@ -56,11 +56,11 @@ def extract_cep(text: Column) -> Column:
 
 def format_cep(cep: Column) -> Column:
     """#####-### for eight digits, else the digits."""
-    return let(sub(F.coalesce(cep, F.lit("")), r"\D"), lambda d: F.when(F.length(d) == 8, F.concat(F.substring(d, 1, 5), F.lit("-"), F.substring(d, 6, 3))).otherwise(d))
+    return let(sub(F.coalesce(cep, lit("")), r"\D"), lambda d: F.when(F.length(d) == 8, F.concat(F.substring(d, 1, 5), F.lit("-"), F.substring(d, 6, 3))).otherwise(d))
 
 
 def is_cep(cep: Column) -> Column:
-    return F.length(sub(F.coalesce(cep, F.lit("")), r"\D")).between(5, 8)
+    return F.length(sub(F.coalesce(cep, lit("")), r"\D")).between(5, 8)
 
 
 def is_roman(word: Column) -> Column:
@@ -69,7 +69,7 @@ def is_roman(word: Column) -> Column:
 
 def dedupe_address(address: Column) -> Column:
     """The address without post boxes and repeated parts, street kinds spelled out."""
-    out = sub(F.coalesce(address, F.lit("")), POST_BOX)
+    out = sub(F.coalesce(address, lit("")), POST_BOX)
     for pattern, kind in STREET_KINDS:
         out = sub(out, "(?iU)" + pattern, kind)
     parts = F.filter(F.transform(F.split(out, ","), strip), lambda p: p != "")
@@ -88,7 +88,7 @@ _NEVER = "(?U)^(?:" + "|".join(
 
 def is_municipality(name: Column) -> Column:
     """Whether the text can name a municipality."""
-    return ~F.rlike(sub(F.lower(strip(F.coalesce(name, F.lit("")))), r"(?U)\s+", " "), F.lit(_NEVER))
+    return ~F.rlike(sub(F.lower(strip(F.coalesce(name, lit("")))), r"(?U)\s+", " "), F.lit(_NEVER))
 
 
 def normalize_municipality(name: Column) -> Column:
@@ -113,10 +113,12 @@ def _last_uf(t: Column) -> Column:
 
 def split_municipality(text: Column) -> Column:
     """struct(muni, uf, cep) of a municipality that may carry a state, a postal code or separators."""
-    t = _cep_text(rstrip_separators(strip(F.coalesce(text.cast("string"), F.lit("")))))
-    base = rstrip_separators(_without_cep(t))
-    name = strip(sub(rstrip_separators(_drop_uf(base)), r"(?U)^\d+\s*,\s*"))
-    return F.struct(name.alias("muni"), _last_uf(base).alias("uf"), _cep_of(t).alias("cep"))
+    def of(t):
+        cep = _cep_of(t).alias("cep")
+        base = rstrip_separators(_without_cep(t))
+        return let(base, lambda b: F.struct(strip(sub(rstrip_separators(_drop_uf(b)), r"(?U)^\d+\s*,\s*")).alias("muni"), _last_uf(b).alias("uf"), cep))
+
+    return let(_cep_text(rstrip_separators(strip(F.coalesce(text.cast("string"), lit(""))))), of)
 
 
 def clean_municipality(text: Column) -> Column:
@@ -130,37 +132,35 @@ def protect_municipality(native: Column, candidate: Column) -> Column:
     return F.when(filled(native).isNull(), candidate).when(filled(candidate).isNull(), native).when(keeps, native).otherwise(candidate)
 
 
-def with_parsed_address(df: DataFrame, name: str, address: Column, muni: Column | None = None, uf: Column | None = None) -> DataFrame:
-    """df with a struct column of PARTS (null if absent) of a free-text address, given what is known of its municipality and state.
-
-    Each step is a projection of its own, so no expression is evaluated twice.  A filter on the parts would be pushed down
-    through the steps and expand them: cut the lineage first (``operators.components.cut``).
-    """
+@built_once
+def _parsing() -> tuple[list[dict[str, Column]], Column]:
+    """The steps of parsing, which add columns ``__a_...`` to ``__a_address``, ``__a_muni`` and ``__a_uf``, and the struct that they end in."""
     none, c = F.lit(None).cast("string"), F.col
-    muni, uf = none if muni is None else muni, none if uf is None else uf
-    own = lambda x: f"__{name}_{x}"
-    m, u, raw, town, cep, t, parts = (c(own(x)) for x in ("m", "u", "raw", "town", "cep", "t", "parts"))
-    state = strip(F.coalesce(uf, F.lit("")))
-    df = df.withColumns({own("m"): F.when(filled(muni).isNotNull(), clean_municipality(muni)), own("u"): F.when(F.length(state) >= 2, F.upper(F.substring(state, 1, 2))), own("raw"): strip(F.coalesce(address, F.lit("")))})
-    df = df.withColumns({own("town"): F.when(is_municipality(m), filled(m)), own("blank"): (raw == "") | (F.lower(raw) == "não informado"), own("t"): _cep_text(dedupe_address(strip_marks(raw)))})
-    df = df.withColumns({own("cep"): _cep_of(t), own("t"): _without_cep(t)})
+    own = lambda x: f"__a_{x}"
+    m, u, raw, town, cep, t, parts, state, chosen, last, mine = (c(own(x)) for x in ("m", "u", "raw", "town", "cep", "t", "parts", "state", "chosen", "last", "own"))
+    steps = [
+        {own("m"): F.when(filled(c(own("muni"))).isNotNull(), clean_municipality(c(own("muni")))), own("state"): strip(F.coalesce(c(own("uf")), lit(""))), own("raw"): strip(F.coalesce(c(own("address")), lit("")))},
+        {own("u"): F.when(F.length(state) >= 2, F.upper(F.substring(state, 1, 2))), own("town"): F.when(is_municipality(m), filled(m)), own("blank"): (raw == "") | (F.lower(raw) == "não informado"), own("t"): _cep_text(dedupe_address(strip_marks(raw)))},
+        {own("cep"): _cep_of(t), own("t"): _without_cep(t)},
+    ]
     # the state at the end: by pattern, by the last word, and once more as the last word, whoever gave it
     found = F.upper(F.regexp_extract(t, UF_AT_END, 1))
     has = u.isNull() & found.isin(*UFS)
-    df = df.withColumns({own("u"): F.coalesce(u, F.when(has, found)), own("t"): F.when(has, strip_marks(strip(sub(t, UF_AT_END)))).otherwise(t)})
+    steps.append({own("u"): F.coalesce(u, F.when(has, found)), own("t"): F.when(has, strip_marks(strip(sub(t, UF_AT_END)))).otherwise(t)})
     has = u.isNull() & t.rlike(_LAST_UF)
-    df = df.withColumns({own("u"): F.coalesce(u, F.when(has, _last_uf(t))), own("t"): F.when(has, strip_marks(_drop_uf(t))).otherwise(t)})
-    df = df.withColumn(own("t"), F.when(t.rlike(_LAST_UF), strip_marks(_drop_uf(t))).otherwise(t))
-    df = df.withColumn(own("parts"), F.filter(F.transform(F.split(t, ","), strip), lambda p: p != ""))
-    df = df.withColumn(own("chosen"), F.get(F.filter(F.transform(F.reverse(parts), clean_municipality), is_municipality), F.lit(0)))
-    df = df.withColumn(own("given"), town)
-    chosen = c(own("chosen"))
-    df = df.withColumn(own("town"), F.when(chosen.isNotNull(), protect_municipality(town, chosen)).otherwise(town))
-    df = df.withColumns({own("last"): clean_municipality(fold(F.try_element_at(parts, F.lit(-1)))), own("own"): clean_municipality(fold(town))})
-    last, mine = c(own("last")), c(own("own"))
+    steps.append({own("u"): F.coalesce(u, F.when(has, _last_uf(t))), own("t"): F.when(has, strip_marks(_drop_uf(t))).otherwise(t)})
+    steps.append({own("t"): F.when(t.rlike(_LAST_UF), strip_marks(_drop_uf(t))).otherwise(t)})
+    # the last part that can name a municipality; those before it aren't looked at
+    named = lambda p: let(clean_municipality(p), lambda m: F.when(is_municipality(m), m))
+    steps += [
+        {own("parts"): F.filter(F.transform(F.split(t, ","), strip), lambda p: p != "")},
+        {own("chosen"): F.aggregate(F.reverse(parts), none, lambda found, p: F.coalesce(found, named(p))), own("given"): town},
+        {own("town"): F.when(chosen.isNotNull(), protect_municipality(town, chosen)).otherwise(town)},
+        {own("last"): clean_municipality(fold(F.try_element_at(parts, F.lit(-1)))), own("own"): clean_municipality(fold(town))},
+    ]
     drop = (F.size(parts) > 0) & filled(town).isNotNull() & ((last == mine) | mine.startswith(last))
-    df = df.withColumn(own("parts"), F.when(drop, F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts))
-    n, blank = F.size(parts), c(own("blank"))
+    steps.append({own("parts"): F.when(drop, F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)})
+    n = F.size(parts)
     values = {
         "logradouro": F.get(parts, F.lit(0)),
         "numero": F.get(parts, F.lit(1)),
@@ -171,28 +171,45 @@ def with_parsed_address(df: DataFrame, name: str, address: Column, muni: Column
         "cep": cep,
     }
     given = {"municipio": c(own("given")), "uf": F.when(F.length(state) >= 2, F.upper(F.substring(state, 1, 2)))}
-    out = F.struct(*[F.when(blank, given.get(k, none)).otherwise(v).cast("string").alias(k) for k, v in values.items()])
-    temporary = [own(x) for x in ("m", "u", "raw", "town", "cep", "t", "parts", "blank", "chosen", "given", "last", "own")]
-    return df.withColumn(name, out).drop(*temporary)
+    return steps, F.struct(*[F.when(c(own("blank")), given.get(k, none)).otherwise(v).cast("string").alias(k) for k, v in values.items()])
 
 
-def with_location(df: DataFrame, name: str, address: Column, muni: Column, uf: Column) -> DataFrame:
-    """df with struct(cep, num, street) for matching: a street-level postal code, the number's digits or ``sn``, the folded street without its kind."""
+def with_parsed_address(df: DataFrame, name: str, address: Column, muni: Column | None = None, uf: Column | None = None) -> DataFrame:
+    """df with a struct column of PARTS (null if absent) of a free-text address, given what is known of its municipality and state.
+
+    Each step is a projection of its own, so no expression is evaluated twice.  A filter on the parts would be pushed down
+    through the steps and expand them: cut the lineage first (``operators.components.cut``).
+    """
+    none = F.lit(None).cast("string")
+    steps, out = _parsing()
+    before = df.columns
+    df = df.withColumns({"__a_address": address, "__a_muni": none if muni is None else muni, "__a_uf": none if uf is None else uf})
+    for step in steps:
+        df = df.withColumns(step)
+    return df.select(*[F.col(f"`{x}`") for x in before if x != name], out.alias(name))
+
+
+@built_once
+def _locating() -> tuple[dict[str, Column], Column]:
     c = F.col
-    own = lambda x: f"__{name}_{x}"
-    raw = F.lower(strip(F.coalesce(address, F.lit(""))))
-    df = with_parsed_address(df, own("p"), address, muni, uf).withColumn(own("blank"), raw.isin("", *BLANKS))
-    p = own("p")
-    df = df.withColumns({own("cep"): F.coalesce(f"{p}.cep", F.lit("")), own("num"): strip(F.coalesce(f"{p}.numero", F.lit(""))), own("street"): fold(F.coalesce(f"{p}.logradouro", F.lit("")))})
-    code, number, street = c(own("cep")), c(own("num")), c(own("street"))
+    code, number, street = c("__l_cep"), c("__l_num"), c("__l_street")
+    first = {"__l_cep": F.coalesce("__l_p.cep", lit("")), "__l_num": strip(F.coalesce("__l_p.numero", lit(""))), "__l_street": fold(F.coalesce("__l_p.logradouro", lit("")))}
     digits = sub(number, r"(?U)\D")
     values = {
         "cep": F.when(code.endswith("000") | (F.length(code) != 8), "").otherwise(code),
         "num": F.when(digits != "", digits).when(F.lower(number).isin(*NO_NUMBER), "sn").otherwise(""),
         "street": F.when(street.rlike(_STREET_KIND), strip(sub(street, _STREET_KIND))).otherwise(street),
     }
-    out = F.struct(*[F.when(c(own("blank")), "").otherwise(v).alias(k) for k, v in values.items()])
-    return df.withColumn(name, out).drop(*[own(x) for x in ("p", "blank", "cep", "num", "street")])
+    return first, F.struct(*[F.when(c("__l_blank"), "").otherwise(v).alias(k) for k, v in values.items()])
+
+
+def with_location(df: DataFrame, name: str, address: Column, muni: Column, uf: Column) -> DataFrame:
+    """df with struct(cep, num, street) for matching: a street-level postal code, the number's digits or ``sn``, the folded street without its kind."""
+    first, out = _locating()
+    before = df.columns
+    raw = F.lower(strip(F.coalesce(address, lit(""))))
+    df = with_parsed_address(df.withColumn("__l_blank", raw.isin("", *BLANKS)), "__l_p", address, muni, uf).withColumns(first)
+    return df.select(*[F.col(f"`{x}`") for x in before if x != name], out.alias(name))
 
 
 # folding has removed the accents, so the accented kinds can't occur

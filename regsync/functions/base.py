@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,31 +17,59 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: White space of any kind, and what else parts an address at its end.
+_BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SEPARATORS = _BLANK + ",/|-"
+_LITERALS: dict[tuple, Column] = {}
+
+
+def built_once(f):
+    """``f()`` makes columns that only name other columns; they are made once for a Spark context, as making them takes thousands of calls to the JVM."""
+    made = {}
+
+    @functools.wraps(f)
+    def call():
+        key = id(SparkContext._active_spark_context)
+        if key not in made:
+            made[key] = f()
+        return made[key]
+
+    return call
+
+
+def lit(value: str) -> Column:
+    """A literal text, made once for a Spark context: expressions here hold hundreds, and each costs some calls to the JVM."""
+    key = (id(SparkContext._active_spark_context), value)
+    if key not in _LITERALS:
+        _LITERALS[key] = F.lit(value)
+    return _LITERALS[key]
+
+
 def sub(text: Column, pattern: str, new: str = "") -> Column:
-    return F.regexp_replace(text, F.lit(pattern), F.lit(new))
+    return F.regexp_replace(text, lit(pattern), lit(new))
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return sub(text, r"(?U)^\s+|\s+$")
+    return F.btrim(text, lit(_BLANK))
 
 
 def strip_marks(text: Column) -> Column:
-    return F.btrim(text, F.lit(".,;- "))
+    return F.btrim(text, lit(".,;- "))
 
 
 def rstrip_separators(text: Column) -> Column:
-    return strip(sub(text, r"(?U)[\s,/|-]+$"))
+    return F.ltrim(F.rtrim(text, lit(_SEPARATORS)), lit(_BLANK))
 
 
 def filled(text: Column) -> Column:
     """The text; null for an empty one."""
-    return F.nullif(text.cast("string"), F.lit(""))
+    return F.nullif(text.cast("string"), lit(""))
 
 
 def first_filled(*texts: Column) -> Column:
     """The first text that is neither null nor empty, else ''."""
-    return F.coalesce(*[filled(t) for t in texts], F.lit(""))
+    return F.coalesce(*[filled(t) for t in texts], lit(""))
 
 
 def words(text: Column) -> Column:
@@ -67,7 +97,7 @@ def fold(text: Column) -> Column:
     Inner and trailing spaces that replace punctuation stay.  Ligatures and letters outside the Latin blocks become
     spaces here; ``fold_exact`` decomposes them.
     """
-    out = strip(F.lower(F.coalesce(text.cast("string"), F.lit(""))))
+    out = strip(F.lower(F.coalesce(text.cast("string"), lit(""))))
     out = sub(F.translate(out, _OLD, _NEW), r"\p{M}")
     return sub(out, r"(?U)[^a-z0-9\s]", " ")
 

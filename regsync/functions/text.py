@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import fold, let, strip, sub, words
+from .base import fold, let, lit, strip, sub, words
 
 # Abbreviations and what they stand for, in the order in which they are expanded.
 ABBREVIATIONS = (
@@ -67,7 +67,7 @@ def expand(name: Column) -> Column:
 
 def distance_learning(name: Column) -> Column:
     """Whether the name says that the institution teaches at a distance."""
-    raw = F.lower(F.coalesce(name, F.lit("")))
+    raw = F.lower(F.coalesce(name, lit("")))
     return raw.rlike("(?U)" + DISTANCE) | F.contains(fold(raw), F.lit("a distancia"))
 
 
@@ -102,11 +102,11 @@ def natural_key(name: Column, muni_norm: Column, uf: Column, uf_in_key: bool = F
 
 def clean_pedagogical(name: Column) -> Column:
     """The folded name without course-level acronyms; Roman numerals stay."""
-    out = sub(F.lower(F.coalesce(name, F.lit(""))), r"[\-/,]", " ")
+    out = sub(F.lower(F.coalesce(name, lit(""))), r"[\-/,]", " ")
     out = reduce(lambda t, p: sub(t, "(?U)" + p, " "), PEDAGOGICAL, out)
     return fold(strip(sub(out, r"(?U)\s+", " ")))
 
 
 def sentinel(text: Column) -> Column:
     """The stripped text, or the mark for a missing one."""
-    return let(strip(F.coalesce(text.cast("string"), F.lit(""))), lambda t: F.when(F.coalesce(text.cast("string"), F.lit("")) == "", F.lit(MISSING)).otherwise(t))
+    return let(strip(F.coalesce(text.cast("string"), lit(""))), lambda t: F.when(F.coalesce(text.cast("string"), lit("")) == "", F.lit(MISSING)).otherwise(t))

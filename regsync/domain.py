@@ -46,6 +46,28 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.unionByName(new)
 
 
+def tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that each tier of the matching is needed for, by the last digit of the registry's id.
+
+    1: another generic word in the name (tier 2); 2: another town (3); 3: the name's words in another order (4); 4: another name
+    (5); 5: also no postal code (6); 6: another town and state (7); 7: once more the row whose id ends in 0 (8); 9: unknown.
+    """
+    c = F.col
+    reg = registry(spark, sf_dir)
+    kind = c("id") % 10
+    own = F.when(kind == 7, c("id") - 7).otherwise(c("id"))
+    first = reg.where("id % 10 = 0").select((c("id") + 7).alias("id"), *[c(n).alias(f"f_{n}") for n in ("nome_instituicao", "municipio", "uf", "endereco")])
+    df = reg.join(first, "id", "left").where(~((kind == 7) & c("f_uf").isNull()))
+    town = F.when(kind.isin(2, 6), "Xique Xique").otherwise(F.coalesce("f_municipio", "municipio"))
+    uf = F.when(kind == 6, "AM").otherwise(F.coalesce("f_uf", "uf"))
+    name = F.coalesce("f_nome_instituicao", "nome_instituicao")
+    name = F.when(kind == 1, F.concat(F.lit("Colégio "), name)).when(kind == 3, F.concat(F.replace(name, F.lit("E.E. Prof. "), F.lit("")), F.lit(" Prof. E.E."))).when(kind.isin(4, 5, 9), F.format_string("Liceu Novo %d", "id")).otherwise(name)
+    end = F.when(kind == 5, "").otherwise(F.concat(F.lit(" - "), "cep"))
+    street = F.when(kind == 9, "Beco Torto").otherwise("Rua das Flores")
+    address = F.when(kind.isin(0, 7), F.coalesce("f_endereco", "endereco")).otherwise(F.concat(street, F.lit(", "), F.when(kind == 9, own + 700000).otherwise(own).cast("string"), F.lit(", Centro, "), town, F.lit(" "), uf, F.when(kind == 9, "").otherwise(end)))
+    return df.select(c("id").alias("pos"), name.alias("nome_instituicao"), town.alias("municipio"), uf.alias("uf"), address.alias("endereco"))
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(inst_id, course_id, pos): the parts that a customer's orders hold, as courses that an institution offers."""
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")

@@ -51,9 +51,13 @@ def new_side(fresh: DataFrame) -> DataFrame:
     return audit_side(df.withColumns({"cep_val": F.col("loc.cep"), "num": F.col("loc.num"), "street": F.col("loc.street")}))
 
 
+def clash(a: str, b: str) -> Column:
+    """The same street-level postal code with another number."""
+    return (F.col(f"{a}.cep_val") != "") & (F.col(f"{a}.cep_val") == F.col(f"{b}.cep_val")) & (F.col(f"{a}.num") != "") & (F.col(f"{b}.num") != "") & (F.col(f"{a}.num") != F.col(f"{b}.num"))
+
+
 def _pairs(x: DataFrame, y: DataFrame, on: Column) -> DataFrame:
-    clash = (F.col("x.cep_val") != "") & (F.col("x.cep_val") == F.col("y.cep_val")) & (F.col("x.num") != "") & (F.col("y.num") != "") & (F.col("x.num") != F.col("y.num"))
-    return x.alias("x").join(y.alias("y"), on & guards("x", "y") & ~clash).select(F.col("x.ord").alias("csv_ord"), F.col("y.ord").alias("db_ord"))
+    return x.alias("x").join(y.alias("y"), on & guards("x", "y") & ~clash("x", "y")).select(F.col("x.ord").alias("csv_ord"), F.col("y.ord").alias("db_ord"))
 
 
 def by_code(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -74,6 +78,23 @@ def by_words(x: DataFrame, y: DataFrame) -> DataFrame:
     return _pairs(open_(x), open_(y), on).groupBy("csv_ord", "db_ord").count().where("count >= 2").select("csv_ord", "db_ord")
 
 
+def first_by_words(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(csv_ord, db_ord): for each row of x the first that ``by_words`` pairs it with, without making all pairs.
+
+    Registry rows are reduced to the first of each municipality, pair of words and what the guards compare, before they are
+    joined.  Where such a first row is ruled out by its street number the row of x is paired in full.
+    """
+    words = F.array_sort("words")
+    both = F.flatten(F.transform(words, lambda a, i: F.transform(F.slice(words, i + 2, F.size(words)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    open_ = lambda d: d.withColumn("both", F.explode(both))
+    heads = open_(y).groupBy("muni_norm", "both", "uf2", "pub", "ead").agg(F.min(F.struct("ord", "cep_val", "num")).alias("h")).select("muni_norm", "both", "uf2", "pub", "ead", "h.*")
+    on = (F.col("x.muni_norm") == F.col("y.muni_norm")) & (F.col("x.both") == F.col("y.both")) & guards("x", "y")
+    found = open_(x).alias("x").join(heads.alias("y"), on).groupBy(F.col("x.ord").alias("csv_ord")).agg(F.min("y.ord").alias("db_ord"), F.max(clash("x", "y")).alias("open"))
+    found = cut(found)
+    again = x.join(found.where("open").select(F.col("csv_ord").alias("ord")), "ord", "left_semi")
+    return found.where("not open").select("csv_ord", "db_ord").unionByName(by_words(again, y).groupBy("csv_ord").agg(F.min("db_ord").alias("db_ord")))
+
+
 def by_core(x: DataFrame, y: DataFrame) -> DataFrame:
     """Pairs whose core name only one registry row has; nothing guards them."""
     sole = y.where(F.length("core") >= 5).groupBy("core").agg(F.min("ord").alias("db_ord"), F.count("*").alias("n")).where("n = 1")
@@ -83,9 +104,9 @@ def by_core(x: DataFrame, y: DataFrame) -> DataFrame:
 def audit_match(x: DataFrame, y: DataFrame) -> DataFrame:
     """(csv_ord, db_ord): for each new row the first registry row by code, street or words, else the one with its core name.
 
-    Three equi-joins in place of a nested loop; registry rows may be found again.
+    Equi-joins in place of a nested loop; registry rows may be found again.
     """
-    first = by_code(x, y).unionByName(by_street(x, y)).unionByName(by_words(x, y)).groupBy("csv_ord").agg(F.min("db_ord").alias("db_ord"))
+    first = by_code(x, y).unionByName(by_street(x, y)).unionByName(first_by_words(x, y)).groupBy("csv_ord").agg(F.min("db_ord").alias("db_ord"))
     rest = x.join(first.select(F.col("csv_ord").alias("ord")), "ord", "left_anti")
     return first.unionByName(by_core(rest, y))
 

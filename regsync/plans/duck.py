@@ -7,6 +7,7 @@ from functools import reduce
 from .. import domain
 from ..functions import address as A
 from ..functions import text as X
+from ..functions.keys import TIERS
 from ..operators import audit as AU
 
 
@@ -227,7 +228,29 @@ def _joined(parts, condition: str) -> str:
     return f"CASE WHEN {filled} THEN " + " || '_' || ".join(parts) + " END"
 
 
-def keys_ctes() -> str:
+TIERED = """bat AS (
+SELECT id AS pos, CASE WHEN k = 1 THEN 'Colégio ' || n WHEN k = 3 THEN replace(n, 'E.E. Prof. ', '') || ' Prof. E.E.' WHEN k IN (4, 5, 9) THEN 'Liceu Novo ' || id ELSE n END AS nome_instituicao, m AS municipio, u AS uf,
+  CASE WHEN k IN (0, 7) THEN e WHEN k = 9 THEN 'Beco Torto, ' || (id + 700000) || ', Centro, ' || m || ' ' || u WHEN k = 5 THEN 'Rua das Flores, ' || id || ', Centro, ' || m || ' ' || u ELSE 'Rua das Flores, ' || id || ', Centro, ' || m || ' ' || u || ' - ' || cep END AS endereco
+FROM (SELECT r.id, r.id % 10 AS k, r.cep, coalesce(f.nome_instituicao, r.nome_instituicao) AS n, CASE WHEN r.id % 10 IN (2, 6) THEN 'Xique Xique' ELSE coalesce(f.municipio, r.municipio) END AS m, CASE WHEN r.id % 10 = 6 THEN 'AM' ELSE coalesce(f.uf, r.uf) END AS u, coalesce(f.endereco, r.endereco) AS e
+  FROM reg r LEFT JOIN reg f ON r.id % 10 = 7 AND f.id = r.id - 7 WHERE r.id % 10 <> 7 OR f.id IS NOT NULL))"""
+
+
+def greedy_ctes(keys: str) -> str:
+    """CTEs that end in ``g``: csv_ord, db_ord and tier by the sequential procedure, one batch row after the other, over rk and bk of ``keys``."""
+    names = [f"k{i}" for i in range(1, 8)]
+    heads = ", ".join(f"h{i} AS (SELECT {k} AS k, list(ord ORDER BY ord) AS l FROM rk WHERE {k} IS NOT NULL GROUP BY {k})" for i, k in enumerate(names, 1))
+    joins = " ".join(f"LEFT JOIN h{i} ON h{i}.k = b.{k}" for i, k in enumerate(names, 1))
+    queue = f"queue AS MATERIALIZED (SELECT row_number() OVER (ORDER BY b.ord) AS i, CAST(b.ord AS BIGINT) AS ord, k2 IS NOT NULL AS has2, {', '.join(f'CAST(h{i}.l AS BIGINT[]) AS l{i}' for i in range(1, 8))} FROM bk b {joins})"
+    free = ", ".join(f"list_filter(l{i}, lambda x: NOT list_contains(taken, x)) AS f{i}" for i in range(1, 8))
+    fits = [f"len(f{i}) = 1" if policy == "sole" else f"len(f{i}) >= 1" for i, (_, policy) in enumerate(TIERS, 1)]
+    again = "CASE WHEN l1 IS NOT NULL THEN l1[1] WHEN has2 THEN l2[1] ELSE l5[1] END"
+    found = "CASE " + " ".join(f"WHEN {fit} THEN f{i}[1]" for i, fit in enumerate(fits, 1)) + f" ELSE {again} END"
+    tier = "CASE " + " ".join(f"WHEN {fit} THEN {i}" for i, fit in enumerate(fits, 1)) + f" WHEN {again} IS NOT NULL THEN 8 END"
+    step = f"SELECT i, ord, found, CAST(tier AS BIGINT), CASE WHEN found IS NULL THEN taken ELSE list_append(taken, found) END FROM (SELECT i, ord, taken, {found} AS found, {tier} AS tier FROM (SELECT q.*, g.taken, {free} FROM g JOIN queue q ON q.i = g.i + 1))"
+    return f"RECURSIVE {keys}, {heads}, {queue}, g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS csv_ord, CAST(NULL AS BIGINT) AS db_ord, CAST(NULL AS BIGINT) AS tier, CAST([] AS BIGINT[]) AS taken UNION ALL {step})"
+
+
+def keys_ctes(reg: str = REG, bat: str = BAT) -> str:
     """CTEs rk and bk: ord, nome, endereco, muni, uf2, muni_norm, core, tokens, cep_val, num, street and k1 to k7 of both sides."""
 
     def side(name, source, order, state):
@@ -250,7 +273,7 @@ def keys_ctes() -> str:
         )
         return ",\n".join([split, parsed, town, coded, located, made, keyed])
 
-    return ",\n".join([REG, BAT, side("rk", "reg", "id", "uf"), side("bk", "bat", "pos", f"substring(upper({fold('uf')}), 1, 2)")])
+    return ",\n".join([reg, bat, side("rk", "reg", "id", "uf"), side("bk", "bat", "pos", f"substring(upper({fold('uf')}), 1, 2)")])
 
 
 def telling(name: str, norm: str) -> str:

@@ -204,6 +204,36 @@ def json_course_list(s, d):
     return aggregate.aggregate(reg, domain.offers(s, d)).select(_c("snowflake_id").alias("id"), _c("cursos_ofertados_ids").alias("cursos"))
 
 
+_INSTITUTIONS = ", ".join(f"coalesce(p_{x}, '') AS {x}" for x in A.PARTS)
+
+
+@_add("aggregate_columns", duck.statement(f"{_OFFERS}, pairs AS (SELECT inst_id, course_id, min(pos) AS pos FROM offers GROUP BY ALL), {duck.REG}, {duck.parse_ctes('reg', 'x', 'endereco', 'CAST(NULL AS VARCHAR)', 'CAST(NULL AS VARCHAR)')}", f"SELECT id AS snowflake_id, nome_instituicao, '' AS dependencia_adm, endereco, {_INSTITUTIONS}, '' AS telefone, '' AS email, '' AS homepage, '[' || coalesce((SELECT string_agg(CAST(course_id AS VARCHAR), ',' ORDER BY pos, course_id) FROM pairs WHERE inst_id = id), '') || ']' AS cursos_ofertados_ids FROM x"))
+def aggregate_columns(s, d):
+    reg = domain.registry(s, d).withColumns({c: F.lit("") for c in ("dependencia_adm", "telefone", "email", "homepage")})
+    return aggregate.aggregate(reg, domain.offers(s, d))
+
+
+_OWN_WINS = ", ".join(f"coalesce(nullif({x}, ''), p_{x}, '') AS {x}" if x in ("municipio", "uf", "cep") else f"coalesce(p_{x}, '') AS {x}" for x in A.PARTS)
+
+
+@_add("rewrite_columns", duck.statement(f"{duck.REG}, half AS (SELECT id, nome_instituicao, endereco, CASE WHEN id % 2 = 0 THEN municipio || ' Novo' END AS municipio, CASE WHEN id % 3 = 0 THEN uf ELSE '' END AS uf, CASE WHEN id % 5 = 0 THEN cep END AS cep, CASE WHEN id % 7 = 0 THEN '[7]' END AS cursos FROM reg), {duck.parse_ctes('half', 'x', 'endereco', 'CAST(NULL AS VARCHAR)', 'CAST(NULL AS VARCHAR)')}", f"SELECT CAST(id AS VARCHAR) AS snowflake_id, nome_instituicao, '' AS dependencia_adm, endereco, {_OWN_WINS}, '' AS telefone, '' AS email, '' AS homepage, coalesce(cursos, '[]') AS cursos_ofertados_ids FROM x"))
+def rewrite_columns(s, d):
+    kind = lambda n, v, e=None: F.when(_c("id") % n == 0, v).otherwise(F.lit(e))
+    half = domain.registry(s, d).select("id", _c("nome_instituicao").alias("nome"), "endereco", kind(2, F.concat("municipio", F.lit(" Novo"))).alias("municipio"), kind(3, _c("uf"), "").alias("uf"), kind(5, _c("cep")).alias("cep"), kind(7, F.lit("[7]")).alias("cursos_ofertados_ids"))
+    return aggregate.rewritten(half)
+
+
+@_add("course_preview", "SELECT CAST(p_partkey AS VARCHAR) AS snowflake_id, CASE WHEN p_size % 2 = 0 THEN p_name ELSE nullif(p_brand, '') END AS nome_curso, p_type AS eixo_tecnologico, CAST(NULL AS VARCHAR) AS carga_horaria FROM part")
+def course_preview(s, d):
+    df = read(s, d, "part").select(_c("p_partkey").alias("id"), F.when(_c("p_size") % 2 == 0, _c("p_name")).otherwise("").alias("nome_curso"), _c("p_brand").alias("nome"), _c("p_type").alias("eixo_tecnologico"))
+    return records.course_preview(df).select("snowflake_id", "nome_curso", "eixo_tecnologico", "carga_horaria")
+
+
+@_add("validation_view", duck.statement(f"{duck.REG}, {duck.BAT}, {duck.parse_ctes('bat', 'x', 'endereco', 'CAST(NULL AS VARCHAR)', 'CAST(NULL AS VARCHAR)')}", f"SELECT CAST(pos AS VARCHAR) AS snowflake_id, nome_instituicao, endereco AS endereco_original, endereco, {_INSTITUTIONS} FROM x"))
+def validation_view(s, d):
+    return records.validation(domain.batch(s, d).withColumnRenamed("pos", "id")).select("snowflake_id", "nome_instituicao", "endereco_original", "endereco", *A.PARTS)
+
+
 @_add("offers_unknown_dropped", duck.statement(_OFFERS, "SELECT inst_id, count(*) AS n FROM offers JOIN customer ON inst_id = c_custkey WHERE c_custkey % 3 = 0 GROUP BY inst_id"))
 def offers_unknown_dropped(s, d):
     inst = read(s, d, "customer").where("c_custkey % 3 = 0").select(_c("c_custkey").alias("id"))
@@ -222,6 +252,11 @@ def _sides(s, d):
     return cut(with_batch_keys(normalize_columns(domain.batch(s, d), "pos"))), cut(with_registry_keys(normalize_columns(domain.registry(s, d), "id")))
 
 
+@_once
+def _tiered_sides(s, d):
+    return cut(with_batch_keys(normalize_columns(domain.tiered(s, d), "pos"))), _sides(s, d)[1]
+
+
 def _tier(name: str, key: str, policy: str) -> None:
     heads = f"heads AS (SELECT {key}, min(ord) AS db_ord, count(*) AS n FROM rk WHERE {key} IS NOT NULL GROUP BY {key})"
     sql = duck.statement(f"{duck.keys_ctes()}, {heads}", f"SELECT b.ord AS csv_ord, h.db_ord FROM bk b JOIN heads h USING ({key}){' WHERE n = 1' if policy == 'sole' else ''}")
@@ -259,20 +294,33 @@ def _contention(s, d):
     return with_batch_keys(normalize_columns(df, "ord")), with_registry_keys(normalize_columns(df, "ord"))
 
 
-@_add("diff_greedy_contention")
+_PARTS_REG = "reg AS (SELECT p_partkey AS id, p_name AS nome_instituicao, 'Esteio' AS municipio, 'RS' AS uf, '' AS cep, '' AS endereco, 1 AS ativo FROM part)"
+_PARTS_BAT = "bat AS (SELECT p_partkey AS pos, p_name AS nome_instituicao, 'Esteio' AS municipio, 'RS' AS uf, '' AS endereco FROM part)"
+_GREEDY = "SELECT csv_ord, db_ord, tier FROM g WHERE db_ord IS NOT NULL"
+
+
+@_add("match_tiers", duck.statement(duck.greedy_ctes(duck.keys_ctes(duck.REG, duck.TIERED)), _GREEDY))
+def match_tiers(s, d):
+    return matching.match(*_tiered_sides(s, d))
+
+
+@_add("diff_greedy_contention", duck.statement(duck.greedy_ctes(duck.keys_ctes(_PARTS_REG, _PARTS_BAT)), _GREEDY))
 def diff_greedy_contention(s, d):
     return matching.match(*_contention(s, d))
 
 
-@_add("lookup_names", duck.statement(duck.keys_ctes(), "SELECT b.ord, CAST(1 AS INTEGER) AS step, min(r.ord) AS db_ord FROM bk b JOIN rk r ON b.k1 = r.k1 WHERE b.ord < 43 GROUP BY b.ord"))
-def lookup_names(s, d):
-    b, r = _sides(s, d)
-    return matching.lookup(b.where("ord < 43"), r)
+_START = "substring({0}, 1, 12)"
+_LOOKUP = duck.statement(
+    f"{duck.keys_ctes(duck.REG, duck.TIERED)}, a AS (SELECT k1, min(ord) AS d1 FROM rk WHERE k1 IS NOT NULL GROUP BY k1), b AS (SELECT k2, min(ord) AS d2 FROM rk WHERE k2 IS NOT NULL GROUP BY k2), "
+    f"st AS (SELECT ord, {_START.format(duck.fold('nome'))} AS s FROM rk), pre AS (SELECT substring(s, 1, n) AS s, min(ord) AS d3 FROM (SELECT ord, s, unnest(range(1, length(s) + 1)) AS n FROM st WHERE s <> '') GROUP BY 1)",
+    f"SELECT ord, CAST(CASE WHEN d1 IS NOT NULL THEN 1 WHEN d2 IS NOT NULL THEN 2 WHEN d3 IS NOT NULL THEN 3 END AS INTEGER) AS step, coalesce(d1, d2, d3) AS db_ord FROM bk LEFT JOIN a USING (k1) LEFT JOIN b USING (k2) LEFT JOIN pre ON pre.s = {_START.format(duck.fold('bk.nome'))}",
+)
 
 
-@_add("lookup_all_names")
-def lookup_all_names(s, d):
-    return matching.lookup(*_sides(s, d))
+@_add("lookup_all_names", _LOOKUP)
+@_add("lookup_names", _LOOKUP)
+def lookup_names(s, d):
+    return matching.lookup(*_tiered_sides(s, d))
 
 
 # comparison
@@ -314,24 +362,25 @@ def reactivated(s, d):
     return _diff(s, d).rows.where("reativar").select("id")
 
 
-@_add("partial_lock", duck.statement(f"{duck.REG}, {duck.BAT}", "SELECT (SELECT count(*) FROM bat WHERE pos % 2 = 0) < 0.8 * (SELECT count(*) FROM reg) AS is_parcial, CAST(0 AS BIGINT) AS inativados_qtd"))
+@_add("partial_lock", duck.statement(f"{duck.REG}, {duck.BAT}", "SELECT (SELECT count(*) FROM bat WHERE pos > 10000000) < 0.8 * (SELECT count(*) FROM reg) AS is_parcial, CASE WHEN (SELECT count(*) FROM bat WHERE pos > 10000000) < 0.8 * (SELECT count(*) FROM reg) THEN 0 ELSE (SELECT count(*) FROM reg WHERE ativo = 1) END AS inativados_qtd, (SELECT count(*) FROM bat WHERE pos > 10000000) AS total_csv"))
 def partial_lock(s, d):
-    out = diff.compare(domain.registry(s, d), domain.batch(s, d).where("pos % 2 = 0"), registry_order="id", batch_order="pos")
-    return out.summary.select("is_parcial", "inativados_qtd")
+    """A load of one kind of institution only."""
+    out = diff.compare(domain.registry(s, d), domain.batch(s, d).where("pos > 10000000"), registry_order="id", batch_order="pos")
+    return out.summary.select("is_parcial", "inativados_qtd", "total_csv")
 
 
 # audit
 @_once
-def _audit_sides(s, d, whole=False):
+def _audit_sides(s, d):
     b, r = _sides(s, d)
-    fresh = (b if whole else b.where("ord % 5 = 0")).select("ord", "nome", _c("muni").alias("municipio"), _c("key_uf").alias("uf"), "endereco", "dependencia_adm")
+    fresh = b.select("ord", "nome", _c("muni").alias("municipio"), _c("key_uf").alias("uf"), "endereco", "dependencia_adm")
     return cut(audit.new_side(fresh)), cut(audit.audit_side(r))
 
 
 _AUDIT = ", ".join(
     [
         duck.keys_ctes(),
-        f"xs AS (SELECT ord, nome, muni AS am, kuf AS au, endereco AS ae FROM bk WHERE ord % 5 = 0), {duck.location_ctes('xs', 'xl', 'ae', 'am', f'substring(upper({duck.fold("au")}), 1, 2)')}",
+        f"xs AS (SELECT ord, nome, muni AS am, kuf AS au, endereco AS ae FROM bk), {duck.location_ctes('xs', 'xl', 'ae', 'am', f'substring(upper({duck.fold("au")}), 1, 2)')}",
         f"x AS (SELECT ord, substring(upper({duck.fold('au')}), 1, 2) AS uf2, {duck.muni_norm('am')} AS muni_norm, {duck.core('nome')} AS core, l_cep AS cep, l_num AS num, l_street AS street, {duck.distance('nome')} AS ead, {duck.telling('nome', duck.muni_norm('am'))} AS w FROM xl)",
         f"y AS (SELECT ord, uf2, muni_norm, core, cep_val AS cep, l_num AS num, l_street AS street, {duck.distance('nome')} AS ead, {duck.telling('nome', 'muni_norm')} AS w FROM rk)",
         "ok AS (SELECT x.ord AS xo, y.ord AS yo FROM x JOIN y ON x.ead = y.ead AND (x.uf2 = '' OR y.uf2 = '' OR x.uf2 = y.uf2) AND x.muni_norm = y.muni_norm)",
@@ -347,20 +396,19 @@ _BY = {
 }
 _AUDIT = _AUDIT.rpartition(", ok AS (")[0]
 for _name, _f in (("cep", audit.by_code), ("street", audit.by_street), ("words", audit.by_words), ("core", audit.by_core)):
-    _add(f"audit_{_name}", duck.statement(_AUDIT, _BY[_name]))(lambda s, d, f=_f: f(*_audit_sides(s, d)))
-    _add(f"audit_all_{_name}")(lambda s, d, f=_f: f(*_audit_sides(s, d, whole=True)))
+    for _q in (f"audit_{_name}", f"audit_all_{_name}"):
+        _add(_q, duck.statement(_AUDIT, _BY[_name]))(lambda s, d, f=_f: f(*_audit_sides(s, d)))
 
 _FIRST = f"f AS (SELECT csv_ord, min(db_ord) AS db_ord FROM ({_BY['cep']} UNION ALL {_BY['street']} UNION ALL {_BY['words']}) GROUP BY csv_ord), c AS ({_BY['core']})"
 
 
-@_add("audit_match", duck.statement(f"{_AUDIT}, {_FIRST}", "SELECT * FROM f UNION ALL SELECT csv_ord, db_ord FROM c WHERE csv_ord NOT IN (SELECT csv_ord FROM f)"))
-def audit_match(s, d):
-    return audit.audit_match(*_audit_sides(s, d))
+_MATCH = duck.statement(f"{_AUDIT}, {_FIRST}", "SELECT * FROM f UNION ALL SELECT csv_ord, db_ord FROM c WHERE csv_ord NOT IN (SELECT csv_ord FROM f)")
 
 
-@_add("audit_all_match")
-def audit_all_match(s, d):
-    return audit.audit_match(*_audit_sides(s, d, whole=True))
+@_add("audit_all_match", _MATCH)
+@_add("audit_match", _MATCH)
+def audit_match(s, d):
+    return audit.audit_match(*_audit_sides(s, d))
 
 
 @_add("audit_guards", "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN true WHEN p_size % 3 = 1 THEN false END AS publica FROM part")
@@ -420,7 +468,12 @@ def dup_excess(s, d):
 
 @_add("dedup_first", "SELECT l_orderkey AS id, min(l_linenumber) AS linha FROM lineitem GROUP BY l_orderkey")
 def dedup_first(s, d):
-    return quality.dedupe_ids(_lines(s, d), ["linha"])[0].select("id", "linha").distinct()
+    return quality.dedupe_ids(_lines(s, d), ["linha"])[0].select("id", "linha")
+
+
+@_add("dedup_removed", "SELECT id, linha FROM (SELECT l_orderkey AS id, l_linenumber AS linha, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem) WHERE r > 1")
+def dedup_removed(s, d):
+    return quality.dedupe_ids(_lines(s, d), ["linha"])[1].select("id", "linha")
 
 
 @_add("sanitize_needed", duck.statement(f"{duck.REG}, {duck.BAT}, {duck.parse_ctes('bat', 'x', 'endereco', 'municipio', 'uf')}", "SELECT * FROM (SELECT pos AS id, coalesce(nullif(p_municipio, ''), municipio) AS novo_municipio, coalesce(nullif(p_uf, ''), uf) AS novo_uf, coalesce(p_cep, '') AS novo_cep, municipio AS m, uf AS u FROM x) WHERE novo_municipio <> m OR contains(m, ' - ') OR regexp_matches(m, ' (RJ|SP|MG) ') OR novo_uf <> u OR novo_cep <> ''").replace("SELECT * FROM (SELECT pos AS id", "SELECT id, novo_municipio, novo_uf, novo_cep FROM (SELECT pos AS id"))
@@ -461,10 +514,11 @@ def search_both(s, d):
     return search.search(a, b, "1", ["id", "nome"], filters={"nome": "A"})
 
 
-@_add("prefix_match", "SELECT c_custkey AS id FROM customer WHERE starts_with(lower(c_name), substring('customer#0000001', 1, 12))")
+@_add("prefix_match", f"SELECT p_partkey AS id FROM part WHERE starts_with({duck.fold('p_name')}, substring({duck.fold("(SELECT p_name FROM part ORDER BY p_partkey LIMIT 1)")}, 1, 12))")
 def prefix_match(s, d):
-    start = F.substring(fold(F.lit("Customer#0000001")), 1, 12)
-    return read(s, d, "customer").where(F.startswith(fold(_c("c_name")), start)).select(_c("c_custkey").alias("id"))
+    parts = read(s, d, "part")
+    head = parts.orderBy("p_partkey").limit(1).select(F.substring(fold(_c("p_name")), 1, 12)).scalar()
+    return parts.where(F.startswith(fold(_c("p_name")), head)).select(_c("p_partkey").alias("id"))
 
 
 # synchronisation
@@ -560,6 +614,15 @@ def relations_missing(s, d):
     return files.read_relations(s, f"{d}/no-such-file.csv")
 
 
+@_add("relations_read", duck.statement(_OFFERS, "SELECT DISTINCT inst_id AS inst_snowflake_id, course_id AS course_snowflake_id FROM offers WHERE course_id % 10 <> 3"))
+def relations_read(s, d):
+    """Pairs from a file some of whose lines lack the course."""
+    path = _scratch(s, "relations")
+    pairs = domain.offers(s, d).select(_c("inst_id").alias("inst_snowflake_id"), F.when(_c("course_id") % 10 != 3, _c("course_id")).alias("course_snowflake_id")).distinct()
+    files.write_csv(pairs, path)
+    return files.read_relations(s, path)
+
+
 @_add("xlsx_cells", "SELECT * FROM (SELECT 'Nações' AS folha, CAST(1 AS BIGINT) AS linha, 'n_nationkey' AS a, 'n_name' AS b UNION ALL SELECT 'Nações', row_number() OVER (ORDER BY n_nationkey) + 1, CAST(n_nationkey AS VARCHAR), n_name FROM nation)")
 def xlsx_cells(s, d):
     with tempfile.TemporaryDirectory() as folder:  # the workbook is the driver's own file

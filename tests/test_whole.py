@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regsync import queries
-from regsync.operators import matching
+from regsync.operators import audit, matching
 from regsync.plans import diff, sync
 
 TINY = "/root/testdata/sf0.001"
@@ -46,7 +46,7 @@ def test_lookup_by_short_prefix(spark):
 
 def test_lookup_takes_all_names(spark):
     got = {r.ord: r.step for r in queries.queries()["lookup_all_names"](spark, TINY).collect()}
-    assert set(got) == {r.ord for r in queries.match_keys(spark, TINY).select("ord").collect()} and len(set(got.values())) > 1
+    assert set(got) == {r.ord for r in queries._tiered_sides(spark, TINY)[0].select("ord").collect()} and {1, 2, 3} <= set(got.values())
 
 
 def test_contention_takes_all_parts(spark):
@@ -60,7 +60,7 @@ def test_contention_takes_all_parts(spark):
 
 
 def test_audit_takes_all_batch_rows(spark):
-    x, y = (df.toPandas().to_dict("records") for df in queries._audit_sides(spark, TINY, whole=True))
+    x, y = (df.toPandas().to_dict("records") for df in queries._audit_sides(spark, TINY))
     assert {r["ord"] % 10 for r in x} >= {1, 2, 3, 4, 5}
 
     def guarded(a, b):
@@ -80,5 +80,22 @@ def test_audit_takes_all_batch_rows(spark):
         assert {(r.csv_ord, r.db_ord) for r in queries.queries()[f"audit_all_{name}"](spark, TINY).collect()} == want
         every |= want
     first = {a: min(d for c, d in every if c == a) for a, _ in every}
-    got = {r.csv_ord: r.db_ord for r in queries.audit_all_match(spark, TINY).collect()}
+    got = {r.csv_ord: r.db_ord for r in queries.audit_match(spark, TINY).collect()}
     assert {a: got[a] for a in first} == first and any(a % 5 for a in first)
+
+
+def test_every_tier_is_needed(spark):
+    got = {r.csv_ord: r.tier for r in queries.queries()["match_tiers"](spark, TINY).collect()}
+    assert set(got.values()) == set(range(1, 9)) and all(got[i] == {1: 2, 2: 3, 3: 4, 4: 5, 5: 6, 6: 7, 7: 8}.get(i % 10, 1) for i in got)
+
+
+def test_first_by_words_is_the_first_of_all(spark):
+    schema = "ord long, uf2 string, muni_norm string, cep_val string, num string, pub boolean, ead boolean, words array<string>"
+    rows, words = [], "alfa bravo carlos delta eduardo".split()
+    for i in range(240):
+        rows.append((i, ["", "RS", "SP"][i % 3], f"m{i % 2}", ["", "90000001", "90000002"][i % 7 % 3], str(i % 4) if i % 5 else "", [None, True, False][i % 11 % 3], i % 13 == 0, [words[k] for k in range(5) if (i * 7 >> k) & 1]))
+    x, y = spark.createDataFrame(rows[:100], schema), spark.createDataFrame(rows[100:], schema)
+    want = {}
+    for r in audit.by_words(x, y).collect():
+        want[r.csv_ord] = min(r.db_ord, want.get(r.csv_ord, r.db_ord))
+    assert {r.csv_ord: r.db_ord for r in audit.first_by_words(x, y).collect()} == want and want

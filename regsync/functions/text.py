@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import fold, let, lit, strip, sub, words
+from .base import built_once, fold, let, lit, strip, sub, words
 
 # Abbreviations and what they stand for, in the order in which they are expanded.
 ABBREVIATIONS = (
@@ -60,9 +60,37 @@ def squeeze(text: Column) -> Column:
     return F.btrim(sub(text, r"\s+", " "))
 
 
+#: What a text must hold for each abbreviation to be in it.
+_HINTS = ("e", "m", "c", "j", "esc", "esc", "esc", "tec", "est", "prof", "dr", "pres", "sta", "sto", "ns", "eem", "eeb", "eep", "ceep", "ciep", "unic", "assis", "kubistchek")
+
+
+@built_once
+def _abbreviations() -> Column:
+    return _rules((hint, *rule) for hint, rule in zip(_HINTS, ABBREVIATIONS, strict=True))
+
+
+@built_once
+def _phrases() -> Column:
+    return _rules((p, rf"\b{p}\b", " ") for p in GENERIC_PHRASES)
+
+
+def _rules(rows) -> Column:
+    """A literal list of (hint, pattern, new)."""
+    text = lambda x: "'" + x.replace("\\", "\\\\") + "'"
+    return F.expr("array(" + ", ".join(f"struct({text(h)} as hint, {text(p)} as pattern, {text(n)} as new)" for h, p, n in rows) + ")")
+
+
+def _replaced(text: Column, rules: Column) -> Column:
+    """The text after one rule after the other; a rule whose hint isn't in it costs a search for the hint only.
+
+    A fold over a list in place of a nest of as many patterns, whose generated code is too long to be compiled well.
+    """
+    return F.aggregate(rules, text, lambda t, r: F.when(F.contains(t, r["hint"]), F.regexp_replace(t, r["pattern"], r["new"])).otherwise(t))
+
+
 def expand(name: Column) -> Column:
     """The folded name with its abbreviations spelled out."""
-    return squeeze(reduce(lambda t, rule: sub(t, *rule), ABBREVIATIONS, fold(name)))
+    return squeeze(_replaced(fold(name), _abbreviations()))
 
 
 def distance_learning(name: Column) -> Column:
@@ -80,7 +108,7 @@ def richness(name: Column) -> Column:
 
 def core_name(name: Column, expanded: Column | None = None) -> Column:
     """The name without generic phrases, suffixes and places, letters and digits only."""
-    out = reduce(lambda t, p: sub(t, rf"\b{p}\b", " "), GENERIC_PHRASES, expand(name) if expanded is None else expanded)
+    out = _replaced(expand(name) if expanded is None else expanded, _phrases())
     return sub(sub(sub(out, SUFFIXES, " "), PLACES, " "), "[^a-z0-9]")
 
 

@@ -100,7 +100,7 @@ def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 def open_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
     """The arrays of ``write_arrays``, memory-mapped."""
-    whole = np.memmap(os.path.join(local_path(folder), name), np.uint8, "r")
+    whole = np.asarray(np.memmap(os.path.join(local_path(folder), name), np.uint8, "r"))
     size = int.from_bytes(whole[:8].tobytes(), "little")
     head = json.loads(whole[8 : 8 + size].tobytes())
     cut = lambda kind, n, at: whole[8 + size + at :][: n * np.dtype(kind).itemsize].view(kind)

@@ -13,7 +13,7 @@ from .common import U64, Words, as_bytes, mix, new_folder, open_arrays, prepare,
 END, START = U64(1), U64(2)
 #: Characters of training text for each partition of the model, tokens counted before a task passes its counts on.
 PARTITION_CHARS, FLUSH = 16 << 20, 4 << 20
-_STEP = 1 << 18
+_STEP = 1 << 20
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -247,9 +247,9 @@ class Model:
         return _part(np.where(np.isin(v, self.hot), code, mix(v.astype(U64) + U64(1))), self.parts)
 
     def look(self, kind: str, part: np.ndarray, code: np.ndarray, names: tuple[str, ...], files: np.ndarray | None = None) -> np.ndarray:
-        """The named counts of each hash in its partition's arrays, 0 where it isn't there; files: whether it is a frequent word's."""
+        """The named counts of each of ascending hashes in its partition's arrays, 0 where it isn't there; files: whether it is a frequent word's."""
         out = np.zeros((len(code), len(names)), np.int64)
-        order = np.lexsort((code, part))
+        order = np.argsort(part.astype(np.uint16) if self.parts < 1 << 16 else part, kind="stable")
         for p, (x, at) in _cut(part[order], code[order], order):
             for prefix, own in (("gram", slice(None)),) if files is None else (("gram", ~files[at]), ("pair", files[at])):
                 file, y, to = f"{prefix}-{p}", x[own], at[own]

@@ -147,51 +147,17 @@ def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     size = heads.count()
     heads = heads.agg(F.sort_array(F.collect_list("head"), asc=False).alias("heads")).scalar()
     # the number of range heads at or above the key, by halving steps
-    halves = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, size.bit_length())))])
-    bucket = F.aggregate(halves, F.lit(0), lambda low, s: F.when((low + s <= size) & (F.get(heads, low + s - 1) >= F.struct("doc_id", "tie")), low + s).otherwise(low)) - 1
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("low", F.lit(0))
+    for step in [1 << k for k in reversed(range(max(1, size.bit_length())))]:
+        more = F.col("low") + step
+        rows = rows.withColumn("low", F.when((more <= size) & (F.get(heads, more - 1) >= key), more).otherwise(F.col("low")))
+    rows = rows.select("doc_id", "tie", "text", (F.col("low") - 1).alias("bucket"))
     first = F.get(heads, F.col("bucket")) == key  # also goes after the range before; the first of all follows the last
     places = F.array(F.struct(F.col("bucket"), F.lit(False).alias("copy")), F.when(first, F.struct(F.pmod(F.col("bucket") - 1, F.lit(max(size, 1))).alias("bucket"), F.lit(True).alias("copy"))))
     rows = rows.select("doc_id", "tie", "text", F.explode(places).alias("p")).where("p is not null").select("p.bucket", "p.copy", "doc_id", "tie", "text")
     return rows.repartitionById(max(size, 1), "bucket").sortWithinPartitions("copy", F.desc_nulls_last("doc_id"), F.desc("tie"))
 
 
-def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
-    """Rows (bucket, copy, id, tie, doc_id, text): id ranges in descending order, each followed by a copy of the next one's first row.
-
-    The bounds of the ranges are quantiles of the ids; they and each range's largest id are all that the
-    driver sees.  Texts are shuffled once.  Rows with the same id follow each other by a hash of their text; a null id
-    is the smallest.
-    """
-    least = F.lit(-(2**63))
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), least).alias("id"))
-    chars, n = rows.agg(F.sum(F.length("text")), F.count("*")).first()
-    wanted = max(8, -(-(chars or 0) // range_chars))
-    bounds: list[int] = []
-    if n:
-        shares = [i / wanted for i in range(1, wanted)]
-        found = rows.agg(F.percentile_approx("id", F.array(*map(F.lit, shares)), F.lit(max(10_000, 10 * wanted)))).first()[0]
-        bounds = sorted(set(found), reverse=True)
-    size = len(bounds)
-    # the number of bounds above the id, by halving steps
-    halves = [1 << k for k in reversed(range(max(1, size.bit_length())))]
-    limit = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
-    at_most = F.lit(size)
-    bucket = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), lambda low, s: F.when((low + s <= at_most) & (F.get(limit, low + s - 1) > F.col("id")), low + s).otherwise(low))
-    rows = rows.withColumn("bucket", bucket)
-    heads = {r.bucket: r.head for r in rows.groupBy("bucket").agg(F.max("id").alias("head")).collect()}
-    order = sorted(heads)
-    head, target = [None] * (size + 1), [None] * (size + 1)
-    for i, b in enumerate(order):
-        head[b], target[b] = heads[b], order[i - 1]  # the first range's head follows the last row of all
-    head = F.array(*[F.lit(x).cast("long") for x in head])
-    target = F.array(*[F.lit(x).cast("int") for x in target])
-    places = F.array(F.struct(F.col("bucket"), F.lit(False).alias("copy")), F.when(F.get(head, F.col("bucket")) == F.col("id"), F.struct(F.get(target, F.col("bucket")).alias("bucket"), F.lit(True).alias("copy"))))
-    rows = rows.select("id", F.xxhash64("text").alias("tie"), "doc_id", "text", F.explode(places).alias("p")).where("p is not null")
-    rows = rows.select("p.bucket", "p.copy", "id", "tie", "doc_id", "text")
-    return rows.repartition(max(size + 1, 1), "bucket").sortWithinPartitions("bucket", "copy", F.desc("id"), "tie")
-
-
 def fingerprints(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """For each row of docs (doc_id, text; null text: empty) the fingerprints of its text and of its edited text.
 

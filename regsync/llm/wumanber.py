@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, prepare
+from .common import as_bytes, new_folder, prepare
 
 #: Words of a window; an item with fewer is one window.
 WINDOW = 13
@@ -80,18 +80,18 @@ def build_index(items: list[tuple], window: int = WINDOW) -> list[Patterns]:
     return [Patterns(group, least) for least, group in sorted(by_class.items())]
 
 
-def _blocks(benchmark: DataFrame, most: int) -> list[list[tuple]]:
-    """The items in blocks of about ``most`` words, read one partition at a time."""
+def _blocks(benchmark: DataFrame, most: int):
+    """The items in blocks of about ``most`` words, one at a time, read one partition at a time."""
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("n"), F.col("text").cast("binary").alias("t"))
-    out, held, total = [], [], 0
+    held, total = [], 0
     for row in rows.toLocalIterator():
         words = words_of(bytes(row.t) if row.t is not None else None)
         if held and total + len(words) > most:
-            out.append(held)
+            yield held
             held, total = [], 0
         held.append((row.n, words))
         total += len(words)
-    return [*out, held]
+    yield held
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_words: int = INDEX_WORDS) -> DataFrame:
@@ -99,13 +99,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     A document word is hit if it lies in an occurrence of ``window`` consecutive words of an item (of the
     whole item if that is shorter).  Null texts have no words; items without words or without an id never
-    occur; repeated items count once.  The benchmark is the stated query set: its windows are indexed in blocks
-    of ``index_words`` words, so the broadcast size is bounded, and each block's search is one more narrow
-    pass over the same rows, which need no shuffle.
+    occur; repeated items count once.  docs' own columns of these names are replaced.  The benchmark is the stated query
+    set: its windows are indexed in blocks of ``index_words`` words, one after the other, so what the driver holds and
+    broadcasts is bounded.  Between blocks the rows are written to the shared folder; one block, the usual case, is one
+    narrow pass without a shuffle.
     """
     spark = prepare(docs.sparkSession)
-    out = docs.withColumns({"__hit": F.lit(None).cast("binary"), "__items": F.lit(None).cast("array<string>")})
+    docs = docs.drop("n_words", "n_hit", "items")
+    out, shared = docs.withColumns({"__hit": F.lit(None).cast("binary"), "__items": F.lit(None).cast("array<string>")}), None
     for block in _blocks(benchmark, index_words):
+        if shared is not None:
+            path = new_folder(spark, "searched")
+            out.write.mode("overwrite").parquet(path)
+            out = spark.read.parquet(path)
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(build_index(block, window))
 
         def search(batches, shared=shared):

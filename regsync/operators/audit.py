@@ -10,7 +10,7 @@ from ..functions.base import filled, first_filled, fold, strip, words
 from ..functions.keys import state_code
 from ..functions.text import core_name, distance_learning
 from .classify import address_change, change, name_change, same_or_longer, sequence_changes
-from .components import cut
+from .components import cut, cut_all
 
 # Words of names that tell nothing, and words of public ownership.
 GENERIC_WORDS = (
@@ -114,7 +114,7 @@ def audit_match(x: DataFrame, y: DataFrame) -> DataFrame:
 def audit(fresh: DataFrame, registry: DataFrame) -> DataFrame:
     """The rescued rows of ``fresh`` (status novo) with their new status, id and differences."""
     c = F.col
-    found = cut(audit_match(cut(new_side(fresh)), cut(audit_side(registry))))
+    found = cut(audit_match(*cut_all(new_side(fresh), audit_side(registry))))
     db = registry.select(c("ord").alias("db_ord"), *[c(n).alias(f"d_{n}") for n in ("id", "nome", "municipio", "endereco", "uf", "cep", "cursos")])
     df = fresh.drop("db_ord", "tier").join(found.withColumnRenamed("csv_ord", "ord"), "ord").join(db, "db_ord")
     df = df.withColumns({"n_uf": state_code(c("uf")), "s": split_municipality(first_filled(strip(c("municipio")), c("d_municipio"))), "uf_old": strip(c("d_uf")), "cep_old": strip(c("d_cep"))})

@@ -4,22 +4,35 @@ from __future__ import annotations
 
 import re
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the folder that ``spark.checkpoint.dir`` names; where it is unset and Spark is local (tests), in a temporary one."""
-    context = df.sparkSession.sparkContext
+def _set_folder(spark: SparkSession) -> None:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.match(r"local($|\[)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="regsync-checkpoint-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the folder that ``spark.checkpoint.dir`` names; where it is unset and Spark is local (tests), in a temporary one."""
+    _set_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def cut_all(*frames: DataFrame) -> list[DataFrame]:
+    """``cut`` for tables that don't depend on each other, whose jobs are planned and run at the same time."""
+    _set_folder(frames[0].sparkSession)
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(cut), df) for df in frames]]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals the rows to all cores where the input has fewer partitions than cores; larger inputs stay as they are.
 

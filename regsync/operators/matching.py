@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import TIERS
-from .components import connected_components, cut
+from .components import connected_components, cut, cut_all
 
 _KEYS = [k for k, _ in TIERS]
 
@@ -70,7 +70,7 @@ def match(batch: DataFrame, registry: DataFrame, most: int | None = None) -> Dat
     rows and shared keys apart, which gives the same result.  ``most`` raises an error if a component holds more rows.
     """
     side = lambda df, s: df.select("ord", *_KEYS, F.xxhash64(F.lit(s), "ord").alias("row"))
-    own, theirs = cut(side(batch, "b")), cut(side(registry, "r"))
+    own, theirs = cut_all(side(batch, "b"), side(registry, "r"))
     tiers = F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(i).alias("tier"), F.xxhash64(F.lit(k), k).alias("key"))) for i, k in enumerate(_KEYS, 1)])
     keyed = lambda df, s: df.select("ord", "row", F.lit(s).alias("side"), F.explode(tiers).alias("t")).where("t is not null").select("ord", "row", "side", "t.*")
     links = keyed(own, "b").unionByName(keyed(theirs, "r"))

@@ -11,7 +11,7 @@ from ..functions.base import first_filled
 from ..functions.keys import with_batch_keys, with_registry_keys
 from ..operators.audit import audit
 from ..operators.classify import classify, course_changes, course_counts
-from ..operators.components import cut, spread
+from ..operators.components import cut, cut_all, spread
 from ..operators.matching import cascade, match
 from ..schemas import normalize_columns
 
@@ -36,11 +36,11 @@ def compare(registry: DataFrame, batch: DataFrame, partial: bool | None = None,
     exact: the sequential matching, else the faster cascade by tiers.  Inactivation looks at the matches of the tiers
     only, so a registry row that the audit finds may also be among the inactivated.
     """
-    registry, batch = spread(cut(normalize_columns(registry, registry_order))), spread(cut(normalize_columns(batch, batch_order)))
+    registry, batch = map(spread, cut_all(normalize_columns(registry, registry_order), normalize_columns(batch, batch_order)))
     total_db, total_csv = registry.count(), batch.count()
     if partial is None:
         partial = total_db > 0 and total_csv < PARTIAL * total_db
-    own, theirs = cut(with_batch_keys(batch, uf_in_key)), cut(with_registry_keys(registry, uf_in_key))
+    own, theirs = cut_all(with_batch_keys(batch, uf_in_key), with_registry_keys(registry, uf_in_key))
     if exact:
         pairs = cut(match(own, theirs))
     else:
@@ -48,14 +48,14 @@ def compare(registry: DataFrame, batch: DataFrame, partial: bool | None = None,
     c = F.col
     db = theirs.select(c("ord").alias("db_ord"), *[c(n).alias(f"d_{n}") for n in ("id", "nome", "endereco", "municipio", "muni", "uf", "ativo", "cursos")])
     joined = own.join(pairs.withColumnRenamed("csv_ord", "ord"), "ord").join(db, "db_ord")
-    matched = cut(classify(joined))
+    matched = classify(joined)
     none = lambda kind: F.lit(None).cast(kind)
     fresh = own.join(pairs.select(c("csv_ord").alias("ord")), "ord", "left_anti").select(
         F.lit("novo").alias("status"), "ord", none("long").alias("id"), "nome", c("muni").alias("municipio"), c("key_uf").alias("uf"), first_filled(c("cep_val"), c("cep")).alias("cep"), "endereco",
         none("string").alias("endereco_db"), F.array().cast("array<string>").alias("diferencas"), "dependencia_adm", "telefone", "email", "homepage", "cursos",
         none("string").alias("nome_db"), F.array().cast("array<string>").alias("cursos_db"), none("long").alias("db_ord"), none("long").alias("tier"),
     )
-    fresh = cut(fresh)
+    matched, fresh = cut_all(matched, fresh)
     rescued = cut(audit(fresh, theirs))
     still = fresh.join(rescued.select("ord"), "ord", "left_anti").select(*fresh.columns)
     gone = registry.where("ativo = 1").join(pairs.select(c("db_ord").alias("ord")).distinct(), "ord", "left_anti")

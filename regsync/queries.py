@@ -19,7 +19,7 @@ from .functions.base import filled, first_filled, fold
 from .functions.keys import TIERS, with_batch_keys, with_registry_keys
 from .operators import aggregate, audit, matching, quality, records, search
 from .operators.classify import course_changes, course_counts
-from .operators.components import cut, spread
+from .operators.components import cut, cut_all, spread
 from .plans import diff, duck, report, sync
 from .schemas import normalize_columns
 from .sources import files
@@ -249,7 +249,7 @@ def first_by_name(s, d):
 # matching by tiers
 @_once
 def _sides(s, d):
-    return cut(with_batch_keys(normalize_columns(domain.batch(s, d), "pos"))), cut(with_registry_keys(normalize_columns(domain.registry(s, d), "id")))
+    return cut_all(with_batch_keys(normalize_columns(domain.batch(s, d), "pos")), with_registry_keys(normalize_columns(domain.registry(s, d), "id")))
 
 
 @_once
@@ -374,7 +374,7 @@ def partial_lock(s, d):
 def _audit_sides(s, d):
     b, r = _sides(s, d)
     fresh = b.select("ord", "nome", _c("muni").alias("municipio"), _c("key_uf").alias("uf"), "endereco", "dependencia_adm")
-    return cut(audit.new_side(fresh)), cut(audit.audit_side(r))
+    return cut_all(audit.new_side(fresh), audit.audit_side(r))
 
 
 _AUDIT = ", ".join(

@@ -541,6 +541,18 @@ def sync_snapshot(s, d):
     return sync.apply(domain.registry(s, d), _plan(s, d), now, _BASE).select("id", "ativo")
 
 
+_UPDATED = "upd AS (SELECT id, nome, CASE WHEN d_ativo = 0 THEN muni ELSE m END AS municipio, CASE WHEN d_ativo = 0 THEN kuf ELSE u END AS uf, CASE WHEN d_ativo = 0 THEN coalesce(nullif(cep_val, ''), p_cep, '') ELSE cc END AS cep, CASE WHEN d_ativo = 0 THEN endereco ELSE e_new END AS endereco FROM jg WHERE d_ativo = 0 OR len(d) > 0)"
+_NOW = ", ".join(f"coalesce(nullif(x.{x}, ''), r.{y}) AS {y}" for x, y in (("nome", "nome_instituicao"), ("municipio", "municipio"), ("uf", "uf"), ("cep", "cep"), ("endereco", "endereco")))
+
+
+@_add("sync_attributes", duck.statement(f"{duck.diff_ctes()}, {_UPDATED}", f"SELECT r.id, {_NOW} FROM reg r LEFT JOIN upd x ON r.id = x.id"))
+def sync_attributes(s, d):
+    """The attributes of the registry's rows after the plan: filled values of updates replace old ones."""
+    reg = domain.registry(s, d)
+    after = sync.apply(reg, _plan(s, d), F.lit(datetime(2024, 1, 1)).cast("timestamp"), _BASE)
+    return after.join(reg.select("id"), "id", "left_semi").select("id", "nome_instituicao", "municipio", "uf", "cep", "endereco")
+
+
 @_add("offers_insert_ignore", duck.statement(_OFFERS, "SELECT DISTINCT inst_id, course_id FROM offers WHERE course_id % 2 = 1"))
 def offers_insert_ignore(s, d):
     own = domain.offers(s, d)

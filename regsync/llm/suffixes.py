@@ -20,7 +20,7 @@ from .common import U64, as_bytes, map_arrow, mix, new_folder, prepare
 #: Bytes of a token.
 TOKEN = 16
 #: Bytes that one vectorised step takes, and bytes of text whose equal runs are merged before the shuffle.
-STEP, SCOPE = 1 << 20, 16 << 20
+STEP, SCOPE = 1 << 20, 8 << 20
 #: Bytes of runs that a bucket is to hold, and sampled tokens for each bucket.
 BUCKET, SAMPLE = 32 << 20, 40
 #: Bytes of runs for each byte of text, about.
@@ -197,7 +197,9 @@ def _classes(r: Runs, doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         h ^= h >> U64(31)
     order = np.lexsort((doc_id, mix(h)))
     a, b = order[:-1], order[1:]
-    same = (r.length[a] == r.length[b]) & (r.token[a] == r.token[b]) & (r.cells[a] == r.cells[b]).all(axis=1)
+    same = (r.length[a] == r.length[b]) & (r.token[a] == r.token[b])
+    for k in range(r.cells.shape[1]):
+        same &= r.cells[a, k] == r.cells[b, k]
     klass = np.concatenate(([0], np.cumsum(~same))) if len(order) else np.zeros(0, np.int64)
     head = np.flatnonzero(np.concatenate(([True], ~same))) if len(order) else order
     return order, klass, np.minimum.reduceat(doc_id[order], head) if len(order) else doc_id
@@ -212,6 +214,7 @@ def _deal(batches, splitters: np.ndarray, size: int, scope: int):
         if not held:
             return
         r = Runs(*(np.concatenate([getattr(x, n) for x in held]) for n in ("cells", "length", "token", "doc", "place")))
+        held.clear()
         own_ids, own_texts = np.array(ids, np.int64), np.array(texts, np.int64)
         order, klass, least = _classes(r, own_ids[r.doc])
         doc = r.doc[order]
@@ -387,20 +390,28 @@ def solve(packets: list[dict[str, np.ndarray]], size: int, shared: np.ndarray):
     return ids, texts, d, s, e, opened
 
 
+_FOUND = pa.schema([("id", pa.int64()), ("text", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("window", pa.binary())])
+
+
 def _solved(table: pa.Table, size: int, shared: np.ndarray) -> pa.Table:
-    out, packets = [], []
+    """One row for each span, and for each window that is still open."""
+    none = np.zeros(0, np.int64)
+    id_, text, start, stop, packets = [none], [none], [none], [none], []
     for i, t, data in zip(*(table.column(n).to_pylist() for n in ("id", "text", "data")), strict=True):
         if i is None:
             packets.append(_unpack(data))
         else:
-            out.append((i, t, data, None, None))
+            own = np.frombuffer(data, "<u4").reshape(-1, 2).astype(np.int64)
+            for out, x in zip((id_, text, start, stop), (np.full(len(own), i), np.full(len(own), t), own[:, 0], own[:, 1]), strict=True):
+                out.append(x)
+    windows = none
     if packets:
-        ids, texts, doc, start, stop, (window, its, place) = solve(packets, size, shared)
-        out += [(*x, None, None) for x in _spans(ids, texts, doc, start, stop)]
-        out += [(int(ids[d]), int(texts[d]), None, w.tobytes(), int(p)) for w, d, p in zip(window, its, place, strict=True)]
-    cols = list(zip(*out, strict=True)) or [[]] * 5
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "text", "spans", "window", "place"])
+        ids, texts, doc, first, last, (windows, its, place) = solve(packets, size, shared)
+        for out, x in zip((id_, text, start, stop), ((ids[doc], ids[its]), (texts[doc], texts[its]), (first, place), (last, place + size)), strict=True):
+            out += x
+    n = sum(map(len, id_))
+    window = pa.array([None] * (n - len(windows)) + [w.tobytes() for w in windows], pa.binary())
+    return pa.Table.from_arrays([*(pa.array(np.concatenate(x), pa.int64()) for x in (id_, text, start, stop)), window], schema=_FOUND)
 
 
 def _sampled(batches, size: int, every: int):
@@ -430,9 +441,8 @@ def splitters_of(rows: DataFrame, total: int, size: int, bucket: int) -> np.ndar
 
 
 def repeated(docs: DataFrame, size: int = 50, bucket: int = BUCKET, scope: int = SCOPE) -> DataFrame:
-    """(doc_id, text_hash, spans, places) of the documents that have bytes covered by a string of ``size`` bytes of a smaller doc_id.
+    """(doc_id, text_hash, start, stop): spans of the documents that are covered by strings of ``size`` bytes of a smaller doc_id; spans may overlap.
 
-    spans: binaries of pairs (start, end), unsigned and little-endian; places: starts of further strings.
     Runs are merged within ``scope`` bytes of text (what a smaller id there has is decided at once), dealt by
     range of their token and sorted within buckets of about ``bucket`` bytes.  A token that fills several
     buckets is dealt over them by its run; its windows are compared across these by a minimum that Spark
@@ -446,28 +456,27 @@ def repeated(docs: DataFrame, size: int = 50, bucket: int = BUCKET, scope: int =
     splitters = splitters_of(rows, total, size, bucket)
     shared = np.unique(splitters[1:][splitters[1:] == splitters[:-1]])
     dealt = rows.mapInArrow(lambda b: _deal(b, splitters, size, scope), "bucket int, id long, text long, data binary")
-    done = dealt.repartition(len(splitters) + 1, "bucket").groupBy("bucket").applyInArrow(lambda t: _solved(t, size, shared), "id long, text long, spans binary, window binary, place long")
+    done = dealt.repartition(len(splitters) + 1, "bucket").groupBy("bucket").applyInArrow(lambda t: _solved(t, size, shared), "id long, text long, start long, stop long, window binary")
     folder = new_folder(spark, "suffixes")
     done.write.mode("overwrite").parquet(folder)
     done = spark.read.parquet(folder)
+    spans = ["id", "text", "start", "stop"]
     still = done.where("window IS NOT NULL")
     least = still.groupBy("window").agg(F.min("id").alias("least"))
-    across = still.join(least, "window").where("id > least").select("id", "text", "spans", "place")
-    each = done.where("window IS NULL").select("id", "text", "spans", "place").unionByName(across).groupBy("id", "text")
-    return each.agg(F.collect_list("spans").alias("spans"), F.collect_list("place").alias("places")).withColumnsRenamed({"id": "doc_id", "text": "text_hash"})
+    across = still.join(least, "window").where("id > least").select(*spans)
+    return done.where("window IS NULL").select(*spans).unionByName(across).withColumnsRenamed({"id": "doc_id", "text": "text_hash"})
 
 
-def _kept(batches, size: int):
+def _kept(batches):
     for b in batches:
+        lists = b.column(2)
+        offsets = np.asarray(lists.offsets)
+        start, stop = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         out = []
-        for text, spans, places in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for text, i, j in zip(as_bytes(b.column(1)), offsets, offsets[1:], strict=False):
             text = text or b""
-            if not spans and not places:
-                out.append((len(text), [], text))
-                continue
-            pairs = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, 2) for x in spans] + [np.array(places or [], np.int64)[:, None] + [0, size]]).astype(np.int64)
-            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-            own = merged(pairs[:, 0], pairs[:, 1]).tolist()
+            order = np.argsort(start[i:j], kind="stable") + i
+            own = merged(start[order], stop[order]).tolist()
             edges = [0, *(x for pair in own for x in pair), len(text)]
             out.append((len(text), [{"start": s, "end": e} for s, e in own], b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))))
         n, spans, kept = zip(*out, strict=True) if out else ((), (), ())
@@ -482,10 +491,8 @@ def without_repeats(docs: DataFrame, size: int = 50, bucket: int = BUCKET, scope
     Null texts count as empty.  Rows with a null doc_id lose nothing and take nothing from others; rows that
     share a doc_id don't take from each other, and equal rows get equal results.  Cuts may fall inside a character.
     """
-    found = repeated(docs, size, bucket, scope)
+    found = repeated(docs, size, bucket, scope).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = found.withColumnRenamed("doc_id", "id")
-    joined = rows.join(found, ["id", "text_hash"], "left").select("doc_id", "text", "spans", "places")
-    return map_arrow(joined, joined.columns, lambda b: _kept(b, size), f"doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
-
+    joined = rows.join(found.withColumnRenamed("doc_id", "id"), ["id", "text_hash"], "left").select("doc_id", "text", "found")
+    return map_arrow(joined, joined.columns, _kept, f"doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")

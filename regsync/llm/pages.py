@@ -21,17 +21,26 @@ RUN, SHARD_PAGES, LEAST_PAGES = 8, 512, 3
 BROADCAST_HOSTS = 100_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe svg canvas math object audio video textarea select option title noembed noframes".split())
+_RAW = frozenset("script style noscript template iframe svg canvas audio video textarea select option title noembed noframes".split())
 _OUT = frozenset("nav header footer aside form head menu dialog button label fieldset".split())
 _MAIN = frozenset("article main".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd mark q s samp small span strike strong sub sup time tt u var ruby rt rp wbr img".split())
-#: Parts of a class, id or role that name what is not the article.
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd mark q s samp small span strike strong sub sup time tt u var ruby rt rp wbr img object math mrow mi mo mn mtext mfrac msup msub msqrt mstyle".split())
+#: Parts of a class or id that name what is not the article, outside of articles.
 _BAD = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner cookie cookies consent gdpr notice notices alert sidebar aside widget widgets menu nav navbar navigation "
-    "breadcrumb breadcrumbs masthead footer comment comments commentlist disqus respond reply replies promo promoted sponsor sponsored newsletter subscribe subscription signup "
-    "social share sharing related recommended recommendations popup modal overlay toolbar pagination pager login search skip copyright disclaimer contentinfo complementary form dialog".split()
+    "breadcrumb breadcrumbs masthead footer comment comments commentlist disqus promo promoted sponsor sponsored newsletter subscribe subscription signup "
+    "social related recommended recommendations popup modal overlay toolbar pagination pager login copyright disclaimer contentinfo complementary dialog".split()
 )
-_COMMENT = frozenset("comment comments commentlist disqus respond reply replies".split())
+_COMMENT = frozenset("comment comments commentlist disqus".split())
+#: Inside an article whole class or id values count, of comment sections and of the rest; parts of values (these and ``_BAD``) only cast doubt.
+_COMMENTS = frozenset("comment comments commentlist comment-list comments-list comments-area comment-section comments-section reader-comments user-comments disqus disqus_thread".split())
+_ASIDE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense ad-banner ad-box ad-container ad-slot ad-unit sponsored cookie-banner cookie-notice cookie-consent notice notices sidebar menu nav navbar navigation "
+    "breadcrumb breadcrumbs masthead footer site-footer site-header page-header newsletter newsletter-signup social-share share-buttons share-bar related related-articles related-posts pagination login-form search-form contact-form".split()
+)
+_DOUBT = _BAD | frozenset("header share sharing search form skip reply replies respond".split())
+#: Roles by the standard, outside of articles and inside.
+_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 #: Class or id values that name the article where no element does.
 _NAMED = frozenset("article content post entry story main maincontent main-content main_content article-body article_body articlebody entry-content post-content post-body story-body".split())
 _SPECIAL = re.compile("[\"'>]")
@@ -39,8 +48,9 @@ _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _PARTS = re.compile(r"[-_:\s]+")
 OUTSIDE, MAIN, NAMED, PLAIN = 0, 1, 2, 3
+_FILL = U64(1)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_START = (False, False, False, False, 0, False)
+_START = (False, False, False, False, 0, False, False, 0)
 
 
 class Tags:
@@ -84,45 +94,53 @@ class Tags:
         return None
 
 
-def _traits(tag: str, rest: str) -> tuple[bool, bool, bool]:
-    """(left out, a reader comment, named as the article) by the tag's attributes."""
+def _traits(tag: str, rest: str, within: bool) -> tuple[bool, bool, bool, bool]:
+    """(left out, a reader comment, named as the article, doubtful) by the tag's attributes; within: inside an article."""
     if not rest.strip():
-        return False, False, False
-    out = comment = named = False
+        return False, False, False, False
+    out = comment = named = doubt = False
     for name, *values in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name in ("class", "id", "role"):
-            parts = set(_PARTS.split(value))
-            comment |= bool(parts & _COMMENT)
-            out |= bool(parts & _BAD) or "header" in value.split() or value in ("site-header", "page-header")
-            named |= bool(set(value.split()) & _NAMED)
+        if name in ("class", "id"):
+            own, parts = set(value.split()), set(_PARTS.split(value))
+            if within:
+                comment |= bool(own & _COMMENTS)
+                out |= bool(own & _ASIDE)
+                doubt |= bool(parts & _DOUBT)
+            else:
+                comment |= bool(parts & _COMMENT)
+                out |= bool(parts & _BAD) or "header" in own or value in ("site-header", "page-header")
+            named |= bool(own & _NAMED)
+        elif name == "role":
+            out |= value.strip() in _ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             out = True
     if tag in ("html", "body"):
-        return False, False, False
+        return False, False, False, False
     if tag in _MAIN:
-        return comment, comment, False
-    return out, comment, named
+        return comment, comment, False, False
+    return out or comment, comment, named, doubt
 
 
-def blocks(page: str) -> list[tuple[int, str, int, bool]]:
-    """(kind, text, element, heading) of a page's text blocks in order.
+def blocks(page: str) -> list[tuple[int, str, int, bool, bool]]:
+    """(kind, text, element, heading, doubtful) of a page's text blocks in order.
 
     kind: OUTSIDE, in MAIN, in a NAMED element, or PLAIN; white space is one space.  element: the number of the article
-    or main element that the block lies in.  heading: whether it is one.
+    or main element that the block lies in.  heading: whether it is one.  doubtful: inside an article, under a name that often means something else.
+    A header inside an article belongs to it if it holds a heading.
     """
-    out: list[tuple[int, str, int, bool]] = []
-    stack: list[tuple] = []  # tag, left out, in main, in named, in a comment, element, heading
+    out: list[tuple] = []
+    stack: list[tuple] = []  # tag, left out, in main, in named, in a comment, element, heading, doubtful, header
     places: dict[str, list[int]] = {}  # where in the stack each tag is open
     walls: list[int] = []  # where in the stack elements other than inline ones are
     pieces: list[str] = []
-    tags, at, state, elements = Tags(page), 0, _START, 0
+    tags, at, state, elements, headers = Tags(page), 0, _START, 0, 0
 
     def end():
         text = " ".join(html.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            out.append((OUTSIDE if state[0] else MAIN if state[1] else NAMED if state[2] else PLAIN, text, state[4], state[5]))
+            out.append((OUTSIDE if state[0] else MAIN if state[1] else NAMED if state[2] else PLAIN, text, *state[4:8]))
 
     while at < len(page):
         found = tags.next(at)
@@ -161,17 +179,20 @@ def blocks(page: str) -> list[tuple[int, str, int, bool]]:
                 tags.missing.add(tag)
             at = stop.end() if stop else len(page)
             continue
-        left_out, comment, named = _traits(tag, rest)
-        gone, main, inside, remark, element, heading = state
+        gone, main, inside, remark, element, heading, doubt, header = state
+        left_out, comment, named, unsure = _traits(tag, rest, main or inside)
+        if tag == "header" and (main or inside):
+            headers += 1
+            header = headers
         if tag in _MAIN and not comment and not remark:
             gone, main, elements = left_out, True, elements + 1
             element = elements
         elif tag == "body":
             gone = False
         else:
-            gone = gone or left_out or tag in _OUT
+            gone = gone or left_out or tag in _OUT and not (tag == "header" and (main or inside))
             inside = inside or (named and not gone)
-        now = (gone, main, inside, remark or comment, element, heading or tag in _HEADINGS)
+        now = (gone, main, inside, remark or comment, element, heading or tag in _HEADINGS, doubt or unsure, header)
         if now != state and inline:
             end()
         places.setdefault(tag, []).append(len(stack))
@@ -180,7 +201,8 @@ def blocks(page: str) -> list[tuple[int, str, int, bool]]:
         stack.append((tag, *now))
         state = now
     end()
-    return out
+    titled = {b[5] for b in out if b[3] and b[0] != OUTSIDE} | {0}
+    return [(kind if header in titled else OUTSIDE, *rest) for kind, *rest, header in out]
 
 
 @functools.cache
@@ -188,17 +210,17 @@ def _raw_end(tag: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
 
 
-def contents(page: str) -> tuple[list[list[str]], list[str], bool]:
-    """(the article's blocks by element, other blocks, whether the page says which is which)."""
+def contents(page: str) -> tuple[list[list[tuple[str, bool]]], list[str], bool]:
+    """(the article's blocks (text, doubtful) by element, other blocks, whether the page says which is which)."""
     found = blocks(page)
     for kind in (MAIN, NAMED):
         if any(b[0] == kind for b in found):
-            own: dict[int, list[str]] = {}
-            for k, text, element, _ in found:
+            own: dict[int, list[tuple[str, bool]]] = {}
+            for k, text, element, _, doubt in found:
                 if k == kind:
-                    own.setdefault(element if kind == MAIN else 0, []).append(text)
+                    own.setdefault(element if kind == MAIN else 0, []).append((text, doubt))
             return list(own.values()), [b[1] for b in found if b[0] != kind], True
-    return [[b[1] for b in found if b[0] == PLAIN]], [b[1] for b in found if b[0] == OUTSIDE], False
+    return [[(b[1], False) for b in found if b[0] == PLAIN]], [b[1] for b in found if b[0] == OUTSIDE], False
 
 
 def body(page: str | None) -> str:
@@ -214,6 +236,32 @@ def hashes(texts: list[str]) -> np.ndarray:
     return np.array([digest(w) for t in texts for w in t.split()], U64)
 
 
+def short_blocks(tokens: np.ndarray, count: np.ndarray, size: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(index of each block shorter than a run, its tokens filled up to a run): such a block counts as a run of its own."""
+    at = np.flatnonzero((count > 0) & (count < size))
+    rows = np.full((len(at), size), _FILL)
+    start = np.cumsum(count) - count
+    for row, i in zip(rows, at, strict=True):
+        row[: count[i]] = tokens[start[i] : start[i] + count[i]]
+    return at, rows
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    return np.array([len(t.split()) for t in texts], np.int64)
+
+
+def stream(texts: list[str]) -> np.ndarray:
+    """How many blocks are shorter than a run, all tokens of the blocks, those blocks as runs."""
+    tokens = hashes(texts)
+    rows = short_blocks(tokens, _counts(texts))[1]
+    return np.concatenate([np.array([len(rows)], U64), tokens, rows.ravel()])
+
+
+def parts_of_stream(own: np.ndarray, size: int = RUN) -> list[np.ndarray]:
+    cut = len(own) - int(own[0]) * size
+    return [own[1:cut], *own[cut:].reshape(-1, size)]
+
+
 def runs(tokens: np.ndarray, size: int = RUN) -> np.ndarray:
     """The hash of ``size`` tokens from each place on."""
     h = mix(tokens)
@@ -278,8 +326,8 @@ def _streams(batches):
         rows = []
         for who, url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             own, other, told = contents(page or "")
-            texts = other if told and len(own) == 1 else [t for e in own for t in e] + other
-            rows.append((who, host_of(url), hashes(texts).tobytes()))
+            alone = told and len(own) == 1
+            rows.append((who, host_of(url), stream([t for e in own for t, doubt in e if doubt or not alone] + other).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["who", "host", "stream"])
 
 
@@ -287,7 +335,8 @@ def _shards(batches):
     now, held, owner, out = None, [], [], []
 
     def close():
-        code, n = repeated([np.frombuffer(x, U64) for x in held], np.array(owner, np.int64))
+        split = [parts_of_stream(np.frombuffer(x, U64)) for x in held]
+        code, n = repeated([x for own in split for x in own], np.repeat(np.array(owner, np.int64), [len(own) for own in split]))
         keep = n > 1 if now[2] == 1 else np.ones(len(n), bool)  # a run of a shared host may be on one page of each shard
         host = U64(xxhash.xxh3_64_intdigest(now[0]))
         own = mix(code[keep] ^ host)
@@ -339,39 +388,49 @@ class Boilerplate:
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def covered(self, host: str, tokens: np.ndarray) -> np.ndarray:
-        """Whether each token lies in a boilerplate run of the host."""
-        out = np.zeros(len(tokens), bool)
-        code = runs(tokens)
+    def _has(self, host: str, code: np.ndarray) -> np.ndarray:
+        """Whether each run is boilerplate of the host."""
+        hit = np.zeros(len(code), bool)
         if not len(code) or not self.full:
-            return out
+            return hit
         code = mix(code ^ U64(xxhash.xxh3_64_intdigest(host)))
         part = ((code >> U64(33)) % U64(self.parts)).astype(np.int64)
-        hit = np.zeros(len(code), bool)
         for p in set(part.tolist()) & self.full:
             if p not in self._open:
                 self._open[p] = open_array(self.folder, f"run-{p}")
             own, known = np.flatnonzero(part == p), self._open[p]
             at = np.minimum(np.searchsorted(known, code[own]), len(known) - 1)
             hit[own] = known[at] == code[own]
+        return hit
+
+    def covered(self, host: str, texts: list[str]) -> list[np.ndarray]:
+        """For each block, whether each of its tokens lies in a boilerplate run of the host."""
+        tokens, count = hashes(texts), _counts(texts)
+        out = np.zeros(len(tokens), bool)
+        hit = self._has(host, runs(tokens))
         for i in range(RUN):
             out[i : i + len(hit)] |= hit
-        return out
+        at, rows = short_blocks(tokens, count)
+        by_block = np.split(out, np.cumsum(count)[:-1]) if len(texts) else []
+        for i in at[self._has(host, _runs_of_rows(rows))] if len(at) else ():
+            by_block[i][:] = True
+        return by_block
 
 
 def boilerplate(pages: DataFrame) -> Boilerplate:
     """Learns the hosts' boilerplate from pages (page_id, url, html).
 
-    Each host's streams of tokens outside the article (all tokens where a page marks no article or several) are
-    dealt to shards of about ``SHARD_PAGES`` pages; a suffix array of each shard, sorted to ``RUN`` tokens, gives its runs and
+    Each host's streams of tokens outside the article and of its doubtful blocks (all tokens where a page marks no
+    article or several) are dealt to shards of about ``SHARD_PAGES`` pages; a suffix array of each shard, sorted to ``RUN`` tokens, gives its runs and
     their pages; the sums over the shards decide, so a run counts wherever its pages lie.  A token lies in a longer run on
-    so many pages exactly if one of the runs of ``RUN`` tokens around it is on so many, so deeper sorting would tell nothing more.
+    so many pages exactly if one of the runs of ``RUN`` tokens around it is on so many, so deeper sorting would tell nothing more.  A block of
+    fewer tokens is a run of its own, which ends at the block's borders.
     Pages are told apart by page_id, those without one by url and html; a page goes whole to one shard, so repeated
     rows count once.
     """
     spark = prepare(pages.sparkSession)
     who = F.when(F.col("page_id").isNotNull(), F.xxhash64("page_id")).otherwise(F.xxhash64("url", "html"))
-    streams = pages.select(who.alias("who"), "url", "html").mapInArrow(_streams, "who bigint, host string, stream binary").where(F.length("stream") >= 8 * RUN)
+    streams = pages.select(who.alias("who"), "url", "html").mapInArrow(_streams, "who bigint, host string, stream binary").where(F.length("stream") > 8 * RUN)
     host = parts_of_url()[0]
     sizes = pages.groupBy(host.alias("host")).agg(F.count("*").alias("pages")).checkpoint()
     few = sizes.count() <= BROADCAST_HOSTS
@@ -394,20 +453,20 @@ def extract(page: str | None, host: str, known: Boilerplate) -> tuple[str, int]:
 
     Of an unmarked page the blocks outside navigation and the like are taken without the tokens that boilerplate runs
     cover.  Of several marked articles those that runs cover wholly go (teasers that stand on other pages too); a single one
-    is kept whole, as texts and passages of articles are repeated as well.  What would leave nothing is kept.
+    is kept, as texts and passages of articles are repeated as well, but for its doubtful blocks that runs cover
+    wholly.  What leaves nothing gives an empty text.
     """
     own, other, told = contents(page or "")
-    n = int(known.covered(host, hashes(other)).sum())
+    n = int(sum(g.sum() for g in known.covered(host, other)))
+    gone = [known.covered(host, [t for t, _ in e]) for e in own]
     if told and len(own) == 1:
-        return " ".join(own[0]), n
-    gone = [known.covered(host, hashes(e)) for e in own]
-    n += int(sum(g.sum() for g in gone))
+        kept = [(t, doubt and g.all(), g) for (t, doubt), g in zip(own[0], gone[0], strict=True)]
+        return " ".join(t for t, left_out, _ in kept if not left_out), n + int(sum(g.sum() for _, left_out, g in kept if left_out))
+    n += int(sum(g.sum() for e in gone for g in e))
     if told:
-        kept = [e for e, g in zip(own, gone, strict=True) if not g.all()]
-        return " ".join(t for e in kept or own for t in e), n
-    tokens = [w for t in own[0] for w in t.split()]
-    left = [w for w, g in zip(tokens, gone[0], strict=True) if not g]
-    return " ".join(left or tokens), n
+        kept = [(e, g) for e, g in zip(own, gone, strict=True) if not all(x.all() for x in g)]
+        return " ".join(t for e, g in kept for (t, doubt), x in zip(e, g, strict=True) if not (doubt and x.all())), n
+    return " ".join(w for (t, _), g in zip(own[0], gone[0], strict=True) for w, x in zip(t.split(), g, strict=True) if not x), n
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -74,6 +74,35 @@ def test_decontamination_replaces_its_own_columns(spark):
         assert got == {1: (3, 3, ["4", "5"]), 2: (1, 0, [])}
     kept = wumanber.decontaminate(docs, bench).collect()
     assert [tuple(r) for r in kept] == [(2, "nothing", None, None)]
+    names = ["__hit", "__items", "hit", "row", "items", "N_Words", "a b.c"]
+    odd = spark.createDataFrame([(1, "a b c", *range(7)), (2, None, *range(7))], ["doc_id", "text", *names])
+    for words in (100, 2):
+        assert [tuple(r) for r in wumanber.decontaminate(odd, bench, index_words=words).collect()] == [(2, None, *range(7))]
+        found = wumanber.contamination(odd, bench, index_words=words)
+        assert found.columns == ["doc_id", "text", "__hit", "__items", "hit", "row", "a b.c", "n_words", "n_hit", "items"]
+        assert {tuple(r) for r in found.select("doc_id", "__hit", "row", "n_hit").collect()} == {(1, 0, 3, 3), (2, 0, 3, 0)}
+
+
+def test_decontamination_index_of_many_items():
+    """All windows of all lengths, with windows that several items share and hashes cut to few bits."""
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 6, n))
+    items = [(str(i), word(rng.integers(0, 20)).encode()) for i in range(80)] + [("7", items_text := b"w1 w2 w3"), ("8", items_text)]
+    index = wumanber.Index(items)
+    texts = [word(n).encode() for n in (0, 1, 2, 5, 12, 13, 14, 60, 200)]
+    doc = wumanber.Sequence(texts)
+    for k, t in enumerate(texts):
+        own, hit, found = t.split(), np.zeros(len(t.split()), np.uint8), set()
+        for name, text in items:
+            w = text.split()
+            size = min(13, len(w))
+            for a in range(len(w) - size + 1 if w else 0):
+                for b in range(len(own) - size + 1):
+                    if own[b : b + size] == w[a : a + size]:
+                        hit[b : b + size] = 1
+                        found.add(name)
+        got = np.zeros(len(own), np.uint8)
+        assert index.search(doc, k, got) == found and got.tolist() == hit.tolist()
 
 
 def test_equal_rows_share_no_block(spark):

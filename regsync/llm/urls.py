@@ -13,8 +13,9 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 LEVELS, CHILDREN, VARIETY = 8, 20, 0.5
 #: Branches are alike if their next segments with a share of 1/HEAVY or more are the same with the same shares, rounded to 1/STEPS.
 HEAVY, STEPS = 8, 4
-#: Smoothed purity: PRIOR is the share of bad URLs expected before labels, worth STRENGTH labels.
-PRIOR, STRENGTH, REJECT = 0.2, 1.0, 0.5
+#: Smoothed purity: a template's labels are weighed against STRENGTH labels of its parent's share of bad ones, the host's against
+#: all hosts', those against PRIOR.
+PRIOR, STRENGTH, REJECT = 0.2, 10.0, 0.5
 #: Templates up to which their table is broadcast.
 BROADCAST_TEMPLATES = 100_000
 
@@ -59,30 +60,49 @@ def template_tree(shapes: DataFrame) -> DataFrame:
     keys = ["host", "template"]
     for level in range(deepest):
         rows = now.withColumns({"seg": F.get("segs", F.lit(level)), "next": F.coalesce(F.get("segs", F.lit(level + 1)), F.lit("/"))})
-        live = rows.where("seg is not null")
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-        detail = live.groupBy(*keys, "seg", "next").agg(*sums).checkpoint()
+        detail = rows.where("seg is not null").groupBy(*keys, "seg", "next").agg(*sums).checkpoint()
         child = detail.groupBy(*keys, "seg").agg(*sums)
         branch = child.groupBy(*keys).agg(F.sum("n").alias("all_n"), F.count("*").alias("children"))
         share = F.col("n") / F.col("own_n")
         heavy = detail.join(child.select(*keys, "seg", F.col("n").alias("own_n")), [*keys, "seg"]).where(share >= 1 / HEAVY)
         shares = heavy.groupBy(*keys, "seg").agg(F.array_sort(F.collect_list(F.struct("next", F.round(share * STEPS).cast("int").alias("share")))).alias("shares"))
         tested = child.join(branch, keys).join(shares, [*keys, "seg"], "left")
-        tested = tested.withColumns({"side": purity("labelled", "bad") >= REJECT, "many": (F.col("children") >= CHILDREN) & (F.col("children") >= VARIETY * F.col("all_n"))}).checkpoint()
-        family = tested.where("not many").groupBy(*keys, "shares", "side").agg(F.min("seg").alias("least"), F.count("*").alias("members"))
-        named = tested.alias("t").join(family.alias("f"), (F.col("t.host") == F.col("f.host")) & (F.col("t.template") == F.col("f.template")) & F.col("t.shares").eqNullSafe(F.col("f.shares")) & (F.col("t.side") == F.col("f.side")), "left")
+        # a struct of what a family shares: null-safe as a grouping and joining key
+        alike = F.struct(F.coalesce("shares", F.array()).alias("shares"), (smoothed(F.col("labelled"), F.col("bad"), F.lit(PRIOR)) >= REJECT).alias("side"))
+        tested = tested.withColumns({"alike": alike, "many": (F.col("children") >= CHILDREN) & (F.col("children") >= VARIETY * F.col("all_n"))})
+        family = tested.where("not many").groupBy(*keys, "alike").agg(F.min("seg").alias("least"), F.count("*").alias("members"))
         out = F.when(F.col("many"), "*").when(F.col("members") > 1, F.concat("least", F.lit("~"))).otherwise(F.col("seg"))
-        merged = named.select("t.host", "t.template", "t.seg", out.alias("out")).checkpoint()
+        merged = tested.join(family, [*keys, "alike"], "left").select(*keys, "seg", out.alias("out")).checkpoint()
         small = merged.count() <= BROADCAST_TEMPLATES
-        rows = rows.join(F.broadcast(merged) if small else merged, [*keys, "seg"], "left")
         step = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "out"))
-        now = rows.withColumn("template", step).select(*now.columns).checkpoint()
+        now = rows.join(F.broadcast(merged) if small else merged, [*keys, "seg"], "left").withColumn("template", step).select(*now.columns)
+        if not small:
+            now = now.checkpoint()
     return now
 
 
-def purity(labelled: str, bad: str) -> Column:
-    """The smoothed share of bad labels."""
-    return (F.col(bad) + PRIOR * STRENGTH) / (F.col(labelled) + STRENGTH)
+def smoothed(labelled: Column, bad: Column, expected: Column) -> Column:
+    """The share of bad labels, drawn towards the expected share."""
+    return (bad + STRENGTH * expected) / (labelled + STRENGTH)
+
+
+def purities(tree: DataFrame) -> DataFrame:
+    """(host, template, purity) from rows (host, template, labelled, bad): each template's share of bad labels against its parent's, down from all hosts'.
+
+    A template without labels takes its parent's share, and a few labels of a large template change it little.
+    """
+    sums = [F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")]
+    depth = F.explode(F.sequence(F.lit(1), F.size(F.split("template", "/")))).alias("depth")
+    above = F.array_join(F.slice(F.split("template", "/"), F.lit(1), F.col("depth")), "/")
+    templates = tree.groupBy("host", "template").agg(*sums)
+    paths = templates.select("host", "template", "labelled", "bad", depth).withColumn("above", above)
+    own = paths.groupBy("host", "above").agg(*sums)  # of depth 1 the empty one: the host
+    chain = F.array_sort(F.collect_list(F.struct("depth", "labelled", "bad")))
+    chains = paths.select("host", "template", "above", "depth").join(own, ["host", "above"]).groupBy("host", "template").agg(chain.alias("chain"))
+    whole = templates.agg(smoothed(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0)), F.lit(PRIOR)).alias("whole"))
+    purity = F.aggregate("chain", F.col("whole"), lambda up, own: smoothed(own["labelled"], own["bad"], up))
+    return chains.join(F.broadcast(whole)).select("host", "template", purity.alias("purity"))  # one row
 
 
 def page_labels(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -102,7 +122,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     Labels are the column ``bad`` of single pages (boolean, null if there is none; see ``page_labels``) and, for URLs that
     a rule fits, the rule's verdict.  A URL without a rule is blocked if its template's smoothed share of bad labels
-    is ``REJECT`` or more.  Null URLs and those without ``://`` have empty host and path and are judged like others.
+    (see ``purities``) is ``REJECT`` or more.  Null URLs and those without ``://`` have empty host and path and are judged like others.
     """
     prepare(pages.sparkSession)
     host, path = parts()
@@ -112,9 +132,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = rows.withColumns({"rule": rule, "said": said, "segs": segments(F.col("path"))}).withColumn("shape", F.array_join("segs", "/"))
     label = F.coalesce(F.col("said") == "block", F.col("own"))
     shapes = rows.groupBy("host", "shape").agg(F.first("segs").alias("segs"), F.count("*").alias("n"), F.sum(label.isNotNull().cast("long")).alias("labelled"), F.sum(F.coalesce(label, F.lit(False)).cast("long")).alias("bad")).checkpoint()
-    tree = template_tree(shapes)
-    templates = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    table = tree.select("host", "shape", "template").join(templates.withColumn("purity", purity("labelled", "bad")), ["host", "template"]).select("host", "shape", "template", "purity").checkpoint()
+    tree = template_tree(shapes).checkpoint()
+    table = tree.select("host", "shape", "template").join(purities(tree), ["host", "template"]).select("host", "shape", "template", "purity").checkpoint()
     if table.count() <= BROADCAST_TEMPLATES:
         table = F.broadcast(table)
     verdict = F.coalesce("said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))

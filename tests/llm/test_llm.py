@@ -85,32 +85,48 @@ def test_hostile_pages_take_linear_time():
 
 
 def naive_text(rows):
-    """The texts by brute force: per host all runs of RUN tokens with the distinct pages that have them."""
+    """The texts by brute force: per host all runs of RUN tokens, and all blocks of fewer, with the distinct pages that have them."""
     seen = {}
     split = lambda texts: [w for t in texts for w in t.split()]
     parsed = [(k, i, pages.host_of(u), pages.contents(h or "")) for k, (i, u, h) in enumerate(rows)]
+
+    def pieces(host, texts):
+        words = split(texts)
+        for j in range(len(words) - pages.RUN + 1):
+            yield (host, "run", *words[j : j + pages.RUN]), j, pages.RUN
+        j = 0
+        for t in texts:
+            n = len(t.split())
+            if 0 < n < pages.RUN:
+                yield (host, "block", *t.split()), j, n
+            j += n
+
     for k, i, host, (own, other, told) in parsed:
-        stream = split(other if told and len(own) == 1 else [t for e in own for t in e] + other)
-        for j in range(len(stream) - pages.RUN + 1):
-            seen.setdefault((host, *stream[j : j + pages.RUN]), set()).add(i if i is not None else ("row", rows[k][1], rows[k][2]))
+        for key, _, _ in pieces(host, [t for e in own for t, doubt in e if doubt or not (told and len(own) == 1)] + other):
+            seen.setdefault(key, set()).add(i if i is not None else ("row", rows[k][1], rows[k][2]))
     often = {key for key, who in seen.items() if len(who) >= pages.LEAST_PAGES}
 
-    def covered(host, words):
-        hit = [False] * len(words)
-        for j in range(len(words) - pages.RUN + 1):
-            if (host, *words[j : j + pages.RUN]) in often:
-                hit[j : j + pages.RUN] = [True] * pages.RUN
-        return hit
+    def covered(host, texts):
+        hit = [False] * len(split(texts))
+        for key, j, n in pieces(host, texts):
+            if key in often:
+                hit[j : j + n] = [True] * n
+        out, j = [], 0
+        for t in texts:
+            out.append(hit[j : j + len(t.split())])
+            j += len(t.split())
+        return out
 
     out = []
     for _, i, host, (own, _, told) in parsed:
-        if told:
-            kept = [e for e in own if len(own) == 1 or not all(covered(host, split(e)))]
-            out.append((i, " ".join(t for e in kept or own for t in e)))
-        else:
-            words = split(own[0])
-            left = [w for w, g in zip(words, covered(host, words), strict=True) if not g]
-            out.append((i, " ".join(left or words)))
+        text = []
+        for e in own:
+            hits = covered(host, [t for t, _ in e])
+            if told and len(own) > 1 and all(all(h) for h in hits):
+                continue
+            for (t, doubt), h in zip(e, hits, strict=True):
+                text += [w for w, x in zip(t.split(), h, strict=True) if not x] if not told else [] if doubt and all(h) else [t]
+        out.append((i, " ".join(text)))
     return out
 
 
@@ -122,7 +138,8 @@ def test_html_against_brute_force(spark, monkeypatch):
     for i in range(60):
         unique = " ".join(f"u{i}-{k}" for k in range(rng.randrange(0, 40)))
         notice, teaser = rng.choice(notices), rng.choice(notices)
-        page = rng.choice([f"<div>{notice}</div><p>{unique}</p><div>{teaser} {unique}</div>", f"<main><article>{unique}</article><article>{teaser}</article></main><p>{notice}</p>", f"<article>{teaser} {unique}</article><p>{notice}</p>", f"<p>{notice} {notice}</p>"])
+        page = rng.choice([f"<div>{notice}</div><p>{unique}</p><div>{teaser} {unique}</div>", f"<main><article>{unique}</article><article>{teaser}</article></main><p>{notice}</p>", f"<article>{teaser} {unique}</article><p>{notice}</p>", f"<p>{notice} {notice}</p>",
+            f"<div>Home About us</div><p>{unique}</p><p>{word()} {word()}</p>", f"<article><p class='share-price'>{teaser}</p><div id='reply-{i}'>{unique}</div><p class='form'>{word()}</p></article>"])
         rows += [(i if i % 9 else None, f"http://h{i % 3}.test/{i}", page)] * rng.randrange(1, 4)
     rows += [(500, None, None), (501, "http://h1.test", ""), (1, "http://h1.test/1", "<p>another page with one id</p>")]
     monkeypatch.setattr(pages, "SHARD_PAGES", 20)
@@ -320,15 +337,35 @@ def test_urls_against_a_plain_tree(spark):
         for s, t in templates.items():
             labelled, b = sums.get(t, (0, 0))
             sums[t] = (labelled + shapes[s][1], b + shapes[s][2])
+        above = {}
+        for t, (labelled, b) in sums.items():
+            for depth in range(1, t.count("/") + 2):
+                up = "/".join(t.split("/")[:depth])
+                above[up] = tuple(x + y for x, y in zip(above.get(up, (0, 0)), (labelled, b), strict=True))
+        share = lambda x, expected: (x[1] + urls.STRENGTH * expected) / (x[0] + urls.STRENGTH)
+        known = [bad for _, _, bad in rows if bad is not None]
         for i, _, _ in own:
-            labelled, b = sums[templates[seg[i]]]
-            purity = (b + urls.PRIOR * urls.STRENGTH) / (labelled + urls.STRENGTH)
+            t = templates[seg[i]]
+            purity = share((len(known), sum(known)), urls.PRIOR)
+            for depth in range(1, t.count("/") + 2):
+                purity = share(above["/".join(t.split("/")[:depth])], purity)
             assert (got[i].template, got[i].verdict) == (templates[seg[i]], "block" if purity >= urls.REJECT else "allow")
             assert got[i].purity == pytest.approx(purity)
         assert {got[i].verdict for i, _, _ in own} == {"allow", "block"}
     assert any(r.template.endswith("~/<n>") or "~/" in r.template for r in got.values())
 
 
+def test_few_labels_of_a_large_template_decide_nothing(spark):
+    rows = [(i, f"http://h.test/a/{i}", True if i == 5 else None) for i in range(1000)]
+    rows += [(2000 + i, f"http://g.test/b/{i}", i > 2) for i in range(40)] + [(3000 + i, f"http://g.test/b/c{i}/x", None) for i in range(3)] + [(4000 + i, f"http://g.test/d/{i}", False) for i in range(100)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, bad boolean")).collect()}
+    assert {got[i].verdict for i in range(1000)} == {"allow"} and {got[2000 + i].verdict for i in range(40)} == {"block"}
+    assert {got[3000 + i].verdict for i in range(3)} == {"block"}  # no label of its own: as its parent
+    assert {got[4000 + i].verdict for i in range(100)} == {"allow"}
+    free = urls.judge(spark.createDataFrame(rows, "page_id long, url string, bad boolean").drop("bad")).collect()
+    assert {r.verdict for r in free} == {"allow"} and all(r.purity == pytest.approx(urls.PRIOR) for r in free)
+
+
 def test_page_labels(spark):
     docs = spark.createDataFrame([(1, "good  text here"), (2, "bad text here"), (3, "bad text here"), (4, "no label"), (None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, None), (None, 0, 0)], "doc_id long, quality int, toxic int")

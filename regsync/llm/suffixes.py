@@ -20,9 +20,9 @@ from .common import U64, as_bytes, map_arrow, mix, new_folder, prepare
 #: Bytes of a token.
 TOKEN = 16
 #: Bytes that one vectorised step takes, and bytes of text whose equal runs are merged before the shuffle.
-STEP, SCOPE = 1 << 20, 8 << 20
+STEP, SCOPE = 1 << 17, 4 << 20
 #: Bytes of runs that a bucket is to hold, and sampled tokens for each bucket.
-BUCKET, SAMPLE = 32 << 20, 40
+BUCKET, SAMPLE = 16 << 20, 40
 #: Bytes of runs for each byte of text, about.
 _SPREAD = 4
 #: Windows that a step of the local sort handles.
@@ -290,7 +290,11 @@ def solve(packets: list[dict[str, np.ndarray]], size: int, shared: np.ndarray):
     cells = (2 * size - TOKEN + 7) // 8
     length = np.concatenate([p["length"] for p in packets]).astype(np.int64)
     flat = np.zeros((len(length), 8 * cells), np.uint8)
-    flat[np.arange(8 * cells) < length[:, None]] = np.concatenate([p["cells"] for p in packets])
+    at = 0
+    for p in packets:  # one after the other, so that no second copy of all is made
+        own = flat[at : at + len(p["length"])]
+        own[np.arange(8 * cells) < p["length"][:, None]] = p.pop("cells")
+        at += len(own)
     shift = np.cumsum([0] + [len(p["ids"]) for p in packets])
     ids, texts = (np.concatenate([p[n] for p in packets]) for n in ("ids", "texts"))
     doc = np.concatenate([p["doc"].astype(np.int64) + s for p, s in zip(packets, shift, strict=False)])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import TIERS
-from .components import connected_components, cut, cut_all
+from .components import cut, cut_all
 
 _KEYS = [k for k, _ in TIERS]
 
@@ -30,71 +30,168 @@ def greedy(batch: pd.DataFrame, registry: pd.DataFrame) -> pd.DataFrame:
     """Each batch row in order tries all tiers before the next row starts, and takes up its registry row.
 
     A row that finds nothing free falls back, in tier 8, on the first row of its bucket even if that is taken.
+    Buckets know how many of their rows are free and where the first may be, so the time grows with the rows.
     """
     registry, batch = registry.sort_values("ord"), batch.sort_values("ord")
-    index: dict[str, dict[str, list[int]]] = {k: {} for k in _KEYS}
+    buckets: dict[tuple, list] = {}  # rows, place of the first that may be free, how many are free
+    held: dict[int, list] = {}  # a registry row's buckets
     for row in registry[["ord", *_KEYS]].itertuples(index=False):
+        held[row[0]] = own = []
         for k, value in zip(_KEYS, row[1:], strict=True):
             if value is not None and value == value:
-                index[k].setdefault(value, []).append(row[0])
+                bucket = buckets.setdefault((k, value), [[], 0, 0])
+                bucket[0].append(row[0])
+                bucket[2] += 1
+                own.append(bucket)
     taken: set[int] = set()
     out = []
     for row in batch[["ord", *_KEYS]].itertuples(index=False):
-        keys = {k: v if v is not None and v == v else None for k, v in zip(_KEYS, row[1:], strict=True)}
+        own = [buckets.get((k, v)) if v is not None and v == v else None for k, v in zip(_KEYS, row[1:], strict=True)]
         found, tier = None, None
-        for number, (k, policy) in enumerate(TIERS, 1):
-            bucket = index[k].get(keys[k], ()) if keys[k] else ()
-            free = (o for o in bucket if o not in taken)
-            first = next(free, None)
-            if first is not None and (policy == "first" or next(free, None) is None):
-                found, tier = first, number
+        for number, (bucket, (_, policy)) in enumerate(zip(own, TIERS, strict=True), 1):
+            if bucket and bucket[2] and (policy == "first" or bucket[2] == 1):
+                while bucket[0][bucket[1]] in taken:
+                    bucket[1] += 1
+                found, tier = bucket[0][bucket[1]], number
                 break
-        if found is None:  # the third bucket counts only where the first has no such key and the second can't be asked
-            if keys["k1"] and keys["k1"] in index["k1"]:
-                found = index["k1"][keys["k1"]][0]
-            elif keys["k2"]:
-                found = index["k2"].get(keys["k2"], [None])[0]
-            elif keys["k5"]:
-                found = index["k5"].get(keys["k5"], [None])[0]
-            tier = 8 if found is not None else None
         if found is not None:
             taken.add(found)
+            for bucket in held[found]:
+                bucket[2] -= 1
+        else:  # the third bucket counts only where the first has no such key and the second can't be asked
+            last = own[0] or (own[1] if row[2] is not None and row[2] == row[2] else own[4])
+            if last:
+                found, tier = last[0][0], 8
+        if found is not None:
             out.append((row[0], found, tier))
     return pd.DataFrame(out, columns=["csv_ord", "db_ord", "tier"]).astype("int64")
 
 
-def match(batch: DataFrame, registry: DataFrame, most: int | None = None) -> DataFrame:
+#: Rows of both sides up to which what is left open goes to one Python group.
+SMALL = 50_000
+#: How often a round passes on doubt before it leaves the rows concerned to the next round.
+PASSES = 3
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """df with the row's number among those of equal keys, by ``order`` (unique there); a key's rows are spread over ranges of the order, so none needs one task."""
+    from pyspark.sql import Window
+
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(df.repartitionByRange(parts, *keys, order).withColumn("__part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy("__part", *keys).agg(F.count("*").alias("__n")).withColumn("__before", before).drop("__n")
+    own = F.row_number().over(Window.partitionBy("__part", *keys).orderBy(order))
+    return dealt.withColumn("__own", own).join(sums, ["__part", *keys]).withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+
+
+def _least_touching(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """(tier, key, least): for each bucket the least of ``rows`` (ord, tier, key) that shares any key with one of the bucket's registry rows."""
+    by_key = rows.groupBy("tier", "key").agg(F.min("ord").alias("least"))
+    by_row = registry.join(by_key, ["tier", "key"]).groupBy("ord").agg(F.min("least").alias("least"))
+    return registry.join(by_row, "ord").groupBy("tier", "key").agg(F.min("least").alias("least"))
+
+
+def _least_taking(pairs: DataFrame, registry: DataFrame) -> DataFrame:
+    """(tier, key, least): for each bucket the least row that is paired, from another bucket, with one of the bucket's registry rows."""
+    own = pairs.select(F.col("db_ord").alias("ord"), F.col("ord").alias("least"), F.col("tier").alias("t"), F.col("key").alias("k"))
+    return registry.join(own, "ord").where("tier <> t or key <> k").groupBy("tier", "key").agg(F.min("least").alias("least"))
+
+
+def rounds(batch: DataFrame, registry: DataFrame, small: int = SMALL) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """Matches in rounds what can be matched for certain: (pairs csv_ord, db_ord, tier or None, open batch links, free registry links).
+
+    batch and registry are links (ord, tier, key).  In each round a batch row stands at the first tier that has a
+    free candidate for it (a sole one where the tier asks for that).  Rows of one bucket are paired with its free rows by
+    their numbers.  A pairing is certain if no earlier row may interfere: neither one that is paired from another
+    bucket with a row of this one, nor one that is in doubt itself (because it has no candidate for its number, or a
+    tier before might still become sole) and shares a key with a row of the bucket; what such rows reach is in doubt too.
+    A row that is the least of all open rows that reach its candidates is certain in any case, so each round settles a
+    row at least.  Ends when the open rows of both sides are ``small``.
+    """
+    sole = F.col("tier").isin(*[i for i, (_, policy) in enumerate(TIERS, 1) if policy == "sole"])
+    pairs = None
+    while True:
+        free = registry.groupBy("tier", "key").agg(F.count("*").alias("n"))
+        batch = cut(batch.join(free, ["tier", "key"]))  # a bucket without free rows stays so
+        here = registry.join(batch.select("tier", "key").distinct(), ["tier", "key"])
+        registry = cut(registry.join(here.select("ord").distinct(), "ord", "left_semi"))
+        if batch.select("ord").distinct().count() + registry.select("ord").distinct().count() <= small:
+            return pairs, batch.drop("n"), registry
+        fits = ~sole | (F.col("n") == 1)
+        stand = batch.groupBy("ord").agg(F.min(F.when(fits, F.struct("tier", "key", "n"))).alias("at"), F.min(F.when(~fits, F.col("tier"))).alias("later"))
+        stand = stand.select("ord", "at.*", "later")
+        ranked = numbered(stand.where("tier is not null"), ["tier", "key"], "ord", "i")
+        certain = (F.col("later").isNull() | (F.col("later") > F.col("tier"))) & (F.col("i") <= F.col("n"))
+        ranked = cut(ranked.withColumn("sure", certain))
+        stands = ranked.select("tier", "key").distinct()
+        theirs = cut(numbered(registry.join(stands, ["tier", "key"], "left_semi"), ["tier", "key"], "ord", "i").withColumnRenamed("ord", "db_ord"))
+        doubt = cut(stand.where("tier is null").select("ord").unionByName(ranked.where("not sure").select("ord")))
+        sure, border = cut(ranked.where("sure").join(theirs, ["tier", "key", "i"]).select("ord", "tier", "key", "db_ord")), None
+        for _ in range(PASSES):
+            least = _least_touching(batch.join(doubt, "ord", "left_semi"), registry).unionByName(_least_taking(sure, registry)).groupBy("tier", "key").agg(F.min("least").alias("least"))
+            held = cut(sure.join(least, ["tier", "key"], "left").withColumn("hit", F.coalesce(F.col("least") < F.col("ord"), F.lit(False))).drop("least"))
+            fell = held.where("hit").select("ord")
+            border = fell.agg(F.min("ord")).first()[0]
+            sure = held.where("not hit").drop("hit")
+            if border is None:
+                break
+            doubt = cut(doubt.unionByName(fell))
+        if border is not None:  # doubt spreads to later rows only
+            sure = sure.where(F.col("ord") < border)
+        reach = batch.join(_least_touching(batch, registry), ["tier", "key"]).groupBy("ord").agg(F.min("least").alias("least")).where("least = ord")
+        first = stand.join(reach.select("ord"), "ord")
+        heads = theirs.where("i = 1").drop("i")
+        made = sure.unionByName(first.where("tier is not null").join(heads, ["tier", "key"]).select("ord", "tier", "key", "db_ord")).distinct()
+        made = cut(made.select(F.col("ord").alias("csv_ord"), "db_ord", F.col("tier").cast("long").alias("tier")))
+        pairs = made if pairs is None else pairs.unionByName(made)
+        done = made.select(F.col("csv_ord").alias("ord")).unionByName(first.where("tier is null").select("ord"))
+        batch = batch.drop("n").join(done, "ord", "left_anti")
+        registry = registry.join(made.select(F.col("db_ord").alias("ord")), "ord", "left_anti")
+
+
+def match(batch: DataFrame, registry: DataFrame, small: int = SMALL) -> DataFrame:
     """(csv_ord, db_ord, tier) for the batch rows that match; both sides with keys.
 
-    The sequential procedure looks only into buckets of equal keys, so it is run for each connected component of
-    rows and shared keys apart, which gives the same result.  ``most`` raises an error if a component holds more rows.
+    The result of the sequential procedure (``greedy``).  Two rows that share keys with each other only are paired by
+    joins; what is left, if it is more than ``small`` rows, is matched in rounds of joins until so much is left,
+    and that goes to one Python group.  So no group or task grows with the input or with a key's rows.
     """
-    side = lambda df, s: df.select("ord", *_KEYS, F.xxhash64(F.lit(s), "ord").alias("row"))
-    own, theirs = cut_all(side(batch, "b"), side(registry, "r"))
+    own, theirs = cut_all(*[df.select("ord", *_KEYS) for df in (batch, registry)])
     tiers = F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(i).alias("tier"), F.xxhash64(F.lit(k), k).alias("key"))) for i, k in enumerate(_KEYS, 1)])
-    keyed = lambda df, s: df.select("ord", "row", F.lit(s).alias("side"), F.explode(tiers).alias("t")).where("t is not null").select("ord", "row", "side", "t.*")
+    keyed = lambda df, s: df.select("ord", F.lit(s).alias("side"), F.explode(tiers).alias("t")).where("t is not null").select("ord", "side", "t.*")
     links = keyed(own, "b").unionByName(keyed(theirs, "r"))
     of = lambda s, c: F.when(F.col("side") == s, F.col(c))
-    shared = links.groupBy("key").agg(F.count(of("b", "row")).alias("nb"), F.count(of("r", "row")).alias("nr"), F.min(of("b", "ord")).alias("csv_ord"), F.min(of("r", "ord")).alias("db_ord")).where("nb > 0 and nr > 0")
+    shared = links.groupBy("key").agg(F.count(of("b", "ord")).alias("nb"), F.count(of("r", "ord")).alias("nr"), F.min(of("b", "ord")).alias("csv_ord"), F.min(of("r", "ord")).alias("db_ord")).where("nb > 0 and nr > 0")
     links = cut(links.join(shared, "key"))
-    # two rows that share keys with each other only are a component of their own and match in the first tier that they share
+    # two rows that share keys with each other only match in the first tier that they share
     partner = F.when(F.col("side") == "b", F.col("db_ord")).otherwise(F.col("csv_ord"))
     alone = links.groupBy("side", "ord").agg((F.max(F.greatest("nb", "nr")) == 1).alias("sole"), F.min(partner).alias("p"), F.max(partner).alias("q"), F.min("tier").cast("long").alias("tier")).where("sole and p = q")
     left = alone.where("side = 'b'").select(F.col("ord").alias("csv_ord"), F.col("p").alias("db_ord"), "tier")
     right = alone.where("side = 'r'").select(F.col("p").alias("csv_ord"), F.col("ord").alias("db_ord"))
     pairs = cut(left.join(right, ["csv_ord", "db_ord"]))
-    gone = pairs.select(F.xxhash64(F.lit("b"), "csv_ord").alias("row")).unionByName(pairs.select(F.xxhash64(F.lit("r"), "db_ord").alias("row")))
-    links = cut(links.select("row", "key").join(gone, "row", "left_anti"))
-    roots = cut(connected_components(links, "row", "key"))
-    place = cut(links.select("row").distinct().join(roots, F.col("row") == roots.node, "left").select("row", F.coalesce("root", "row").alias("root")))
-    if most is not None:
-        largest = place.groupBy("root").count().agg(F.max("count")).first()[0] or 0
-        if largest > most:
-            raise ValueError(f"a component has {largest} rows")
-    left, right = own.join(place, "row").drop("row"), theirs.join(place, "row").drop("row")
+    gone = pairs.select(F.lit("b").alias("side"), F.col("csv_ord").alias("ord")).unionByName(pairs.select(F.lit("r").alias("side"), F.col("db_ord").alias("ord")))
+    links = cut(links.join(gone, ["side", "ord"], "left_anti").select("side", "ord", "tier", "key"))
+    open_, free = (links.where(F.col("side") == s).select("ord", "tier", "key") for s in "br")
+    rest = own.join(open_.select("ord").distinct(), "ord", "left_semi")
+    few = links.select("side", "ord").distinct().limit(small + 1).count() <= small
+    if few:
+        left, right = rest, theirs.join(free.select("ord").distinct(), "ord", "left_semi")
+        return pairs.unionByName(_in_one_group(left, right))
+    sure, open_, free = rounds(open_, free, small)
+    if sure is not None:
+        pairs = pairs.unionByName(sure)
+    left, right = own.join(open_.select("ord").distinct(), "ord", "left_semi"), theirs.join(free.select("ord").distinct(), "ord", "left_semi")
+    pairs = pairs.unionByName(_in_one_group(left, right).where("tier < 8"))
+    unmatched = rest.join(pairs.select(F.col("csv_ord").alias("ord")), "ord", "left_anti")
+    return pairs.unionByName(fallback(unmatched, theirs).withColumn("tier", F.lit(8).cast("long")))
+
+
+def _in_one_group(batch: DataFrame, registry: DataFrame) -> DataFrame:
+    """``greedy`` over few rows."""
     work = lambda x, y: greedy(x, y)
-    rest = left.groupBy("root").cogroup(right.groupBy("root")).applyInPandas(work, "csv_ord bigint, db_ord bigint, tier bigint")
-    return pairs.unionByName(rest)
+    one = lambda df: df.groupBy(F.lit(0).alias("all"))
+    return one(batch).cogroup(one(registry)).applyInPandas(work, "csv_ord bigint, db_ord bigint, tier bigint")
 
 
 def cascade(batch: DataFrame, registry: DataFrame) -> DataFrame:

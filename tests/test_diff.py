@@ -38,15 +38,37 @@ def sequential(batch, registry):
     return out
 
 
-def test_components_equal_the_sequential_procedure(spark):
-    rng = random.Random(4)
-    side = lambda n, base: [{"ord": base + i} | {k: (f"{k}{rng.randrange(9)}" if rng.random() < 0.35 else None) for k in KEYS} for i in range(n)]
-    batch, registry = side(60, 0), side(60, 1000)
-    schema = "ord long, " + ", ".join(f"{k} string" for k in KEYS)
-    got = matching.match(spark.createDataFrame(batch, schema), spark.createDataFrame(registry, schema)).toPandas()
-    assert dict(zip(got.csv_ord, got.db_ord, strict=True)) == sequential(batch, registry)
-    with pytest.raises(ValueError):
-        matching.match(spark.createDataFrame(batch, schema), spark.createDataFrame(registry, schema), most=1)
+SIDE = "ord long, " + ", ".join(f"{k} string" for k in KEYS)
+
+
+@pytest.mark.parametrize(("seed", "values", "share", "small"), [(4, 9, 0.35, 10_000), (5, 9, 0.35, 0), (6, 30, 0.7, 20)])
+def test_matching_equals_the_sequential_procedure(spark, monkeypatch, seed, values, share, small):
+    """In one small group, in rounds to the end, and in both."""
+    rng = random.Random(seed)
+    side = lambda n, base: [{"ord": base + i} | {k: (f"{k}{rng.randrange(values)}" if rng.random() < share else None) for k in KEYS} for i in range(n)]
+    batch, registry = side(25, 0), side(25, 1000)
+    got = matching.match(spark.createDataFrame(batch, SIDE), spark.createDataFrame(registry, SIDE), small).toPandas()
+    assert dict(zip(got.csv_ord, got.db_ord, strict=True)) == sequential(batch, registry) and got.csv_ord.is_unique
+
+
+def test_greedy_equals_the_sequential_procedure():
+    rng = random.Random(9)
+    for trial in range(200):
+        side = lambda n, base: [{"ord": base + i} | {k: (f"{k}{rng.randrange(1 + trial % 9)}" if rng.random() < 0.4 else None) for k in KEYS} for i in range(n)]  # noqa: B023, E731
+        batch, registry = side(rng.randrange(30), 0), side(rng.randrange(30), 1000)
+        got = matching.greedy(pd.DataFrame(batch, columns=["ord", *KEYS]), pd.DataFrame(registry, columns=["ord", *KEYS]))
+        assert dict(zip(got.csv_ord, got.db_ord, strict=True)) == sequential(batch, registry)
+
+
+def test_a_large_component_needs_no_group(spark):
+    """One name on 5,000 rows of each side, other keys shared across: rounds of joins settle nearly all."""
+    n = 5000
+    row = lambda i, base: (base + i, "same", "town", "core", f"t{i % 50}", f"cep{i}", None, "core")
+    batch, registry = ([row(i, base) for i in range(m)] for base, m in ((0, n + 10), (100_000, n)))
+    rest = [(200_000 + i, f"own{i}", "town2", "core2", None, None, None, "core2") for i in range(n)]
+    b, r = spark.createDataFrame(batch + [(50_000 + i, *x[1:]) for i, x in enumerate(rest)], SIDE), spark.createDataFrame(registry + rest, SIDE)
+    got = matching.match(b, r, small=100).toPandas().sort_values("csv_ord")
+    assert got.db_ord.tolist() == [*range(100_000, 100_000 + n), *[100_000] * 10, *range(200_000, 200_000 + n)] and set(got.tier[:n]) == {1} and set(got.tier[n : n + 10]) == {8}
 
 
 def test_greedy_of_nothing():
@@ -114,38 +136,6 @@ def test_ownership_guard(spark):
     assert [r[0] for r in rows.select(audit.public(F.col("d"))).collect()] == [True, False, None]
 
 
-def test_commit_survives_a_death_between_any_two_steps(spark, tmp_path, monkeypatch):
-    store = str(tmp_path / "store")
-    table = lambda *values: spark.createDataFrame([(v,) for v in values], "id long")
-    with pytest.raises(FileNotFoundError):
-        sync.read(spark, store, "registry")
-    sync.commit(spark, store, registry=table(1), offers=table(10))
-    sync.commit(spark, store, registry=table(2))
-    now = lambda name: [r.id for r in sync.read(spark, store, name).collect()]
-    assert (now("registry"), now("offers")) == ([2], [10])
-    # dies while tables are written, with the list not yet renamed, and before old folders are removed
-    table(3).write.parquet(f"{store}/_data/dead/registry")
-    (tmp_path / "store" / "_commits" / "dead.tmp").write_text("{")
-    assert (now("registry"), now("offers")) == ([2], [10])
-    monkeypatch.setattr(sync, "_tidy", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
-    with pytest.raises(KeyboardInterrupt):
-        sync.commit(spark, store, registry=table(4), offers=table(40))
-    monkeypatch.undo()
-    assert (now("registry"), now("offers")) == ([4], [40])
-    sync.commit(spark, store, offers=table(50))
-    assert (now("registry"), now("offers")) == ([4], [50])
-    left = {p.name for p in (tmp_path / "store" / "_data").iterdir() if p.is_dir()}
-    assert "dead" not in left and len(left) <= 3
-    # two writers: the second to finish fails and changes nothing
-    (tmp_path / "store" / "_commits" / "00000005").write_text((tmp_path / "store" / "_commits" / "00000004").read_text())
-    state = sync._state(spark, store)
-    monkeypatch.setattr(sync, "_state", lambda *_: (state[0] - 1, state[1]))
-    with pytest.raises(OSError):
-        sync.commit(spark, store, registry=table(6))
-    monkeypatch.undo()
-    assert now("registry") == [4]
-
-
 def test_maintenance_writes_back(spark, tmp_path):
     store = str(tmp_path / "store")
     rows = [(1, 1, "a"), (1, 2, "b"), (1, 2, "b"), (2, 1, "c"), (None, 1, "d"), (None, 1, "d")]

@@ -20,9 +20,10 @@ from .functions.keys import TIERS, with_batch_keys, with_registry_keys
 from .operators import aggregate, audit, matching, quality, records, search
 from .operators.classify import course_changes, course_counts
 from .operators.components import cut, cut_all, spread
-from .plans import diff, duck, report, sync
+from .plans import dbsync, diff, duck, report, sync
 from .schemas import normalize_columns
-from .sources import files
+from .sources import database, files
+from .sources.database import Database
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -96,7 +97,20 @@ _reg("cep_format", lambda: A.format_cep(_c("cep")), "CASE WHEN length(regexp_rep
 _reg("cep_valid", lambda: A.is_cep(_c("cep")), "length(regexp_replace(cep, '[^0-9]', '', 'g')) BETWEEN 5 AND 8", "reg")
 _reg("address_dedupe", lambda: A.dedupe_address(F.concat("endereco", F.lit(", Cx. Postal 12, CENTRO"))), duck.dedupe("endereco || ', Cx. Postal 12, CENTRO'"))
 _reg("natural_key", lambda: X.natural_key(_c("nome_instituicao"), A.normalize_municipality(_c("municipio")), _c("uf")), duck.natural_key("nome_instituicao", duck.muni_norm("municipio"), "uf"))
-_reg("sql_functions", lambda: F.concat_ws("|", names.apply("rs_fold", "nome_instituicao"), names.apply("rs_muni_clean", "municipio")), f"{duck.fold('nome_instituicao')} || '|' || {duck.muni_clean('municipio')}")
+_SQL_NAMES = {
+    "fold": ("rs_fold(nome_instituicao)", duck.fold("nome_instituicao")), "expand": ("rs_expand(nome_instituicao)", duck.expand("nome_instituicao")), "core": ("rs_core_name(nome_instituicao)", duck.core("nome_instituicao")),
+    "tokens": ("rs_name_tokens(nome_instituicao)", duck.tokens("nome_instituicao")), "richness": ("rs_richness(nome_instituicao)", duck.richness("nome_instituicao")), "ead": ("rs_distance_learning(nome_instituicao)", duck.distance("nome_instituicao")),
+    "norm": ("rs_muni_norm(municipio)", duck.muni_norm("municipio")), "muni": ("rs_muni_clean(municipio)", duck.muni_clean("municipio")), "muni_uf": ("rs_muni_uf(municipio)", duck.muni_uf("municipio")), "valid": ("rs_is_municipality(municipio)", duck.is_muni("municipio")),
+    "cep": ("rs_cep(endereco)", duck.cep_of(duck.cep_text("endereco"))), "endereco": ("rs_dedupe_address(endereco)", duck.dedupe("endereco")), "chave": ("rs_natural_key(nome_instituicao, rs_muni_norm(municipio), uf)", duck.natural_key("nome_instituicao", duck.muni_norm("municipio"), "uf")),
+}
+
+
+@_add("sql_functions", duck.statement(f"{duck.REG}, {duck.BAT}", f"SELECT pos, {', '.join(f'{x} AS v_{n}' for n, (_, x) in _SQL_NAMES.items())} FROM bat"))
+def sql_functions(s, d):
+    """The functions by their SQL names, from SQL text."""
+    names.register(s)
+    domain.batch(s, d).createOrReplaceTempView("rs_bat")
+    return s.sql(f"SELECT pos, {', '.join(f'{x} AS v_{n}' for n, (x, _) in _SQL_NAMES.items())} FROM rs_bat")
 
 
 @_add("sql_udtf", duck.statement(duck.REG, "SELECT id, CAST(i AS INTEGER) AS ord, trim(string_split(endereco, ',')[i]) AS parte FROM reg, LATERAL (SELECT unnest(range(1, len(string_split(endereco, ',')) + 1)) AS i) WHERE trim(string_split(endereco, ',')[i]) <> ''"))
@@ -317,7 +331,6 @@ _LOOKUP = duck.statement(
 )
 
 
-@_add("lookup_all_names", _LOOKUP)
 @_add("lookup_names", _LOOKUP)
 def lookup_names(s, d):
     return matching.lookup(*_tiered_sides(s, d))
@@ -396,8 +409,7 @@ _BY = {
 }
 _AUDIT = _AUDIT.rpartition(", ok AS (")[0]
 for _name, _f in (("cep", audit.by_code), ("street", audit.by_street), ("words", audit.by_words), ("core", audit.by_core)):
-    for _q in (f"audit_{_name}", f"audit_all_{_name}"):
-        _add(_q, duck.statement(_AUDIT, _BY[_name]))(lambda s, d, f=_f: f(*_audit_sides(s, d)))
+    _add(f"audit_{_name}", duck.statement(_AUDIT, _BY[_name]))(lambda s, d, f=_f: f(*_audit_sides(s, d)))
 
 _FIRST = f"f AS (SELECT csv_ord, min(db_ord) AS db_ord FROM ({_BY['cep']} UNION ALL {_BY['street']} UNION ALL {_BY['words']}) GROUP BY csv_ord), c AS ({_BY['core']})"
 
@@ -405,7 +417,6 @@ _FIRST = f"f AS (SELECT csv_ord, min(db_ord) AS db_ord FROM ({_BY['cep']} UNION
 _MATCH = duck.statement(f"{_AUDIT}, {_FIRST}", "SELECT * FROM f UNION ALL SELECT csv_ord, db_ord FROM c WHERE csv_ord NOT IN (SELECT csv_ord FROM f)")
 
 
-@_add("audit_all_match", _MATCH)
 @_add("audit_match", _MATCH)
 def audit_match(s, d):
     return audit.audit_match(*_audit_sides(s, d))
@@ -553,6 +564,65 @@ def sync_attributes(s, d):
     return after.join(reg.select("id"), "id", "left_semi").select("id", "nome_instituicao", "municipio", "uf", "cep", "endereco")
 
 
+@_once
+def _database(s, d):
+    db = Database.embedded(s)
+    dbsync.load(s, db, "registry", domain.registry(s, d), dbsync.REGISTRY, ("id",))
+    return db
+
+
+_LOADED = "id, nome_instituicao, municipio, uf, cep, endereco, ativo"
+
+
+@_add("jdbc_registry", duck.statement(duck.REG, f"SELECT {_LOADED} FROM reg"))
+def jdbc_registry(s, d):
+    """The registry from a database, in ranges of its ids."""
+    return dbsync.registry_of(s, _database(s, d)).select(*database.REGISTRY_COLUMNS)
+
+
+@_add("jdbc_active", duck.statement(duck.REG, "SELECT id, uf, municipio FROM reg WHERE ativo = 1 AND uf = 'SP'"))
+def jdbc_active(s, d):
+    """Projected and filtered by the database."""
+    return database.read_table(s, "registry", ("id", "uf", "municipio"), "ativo = 1 and uf = 'SP'", db=_database(s, d))
+
+
+@_once
+def _synced(s, d):
+    db = Database.embedded(s)
+    dbsync.load(s, db, "registry", domain.registry(s, d), dbsync.REGISTRY, ("id",))
+    own = domain.offers(s, d)
+    dbsync.load(s, db, "offers", own.where("course_id % 2 = 0").select("inst_id", "course_id").distinct(), own.select("inst_id", "course_id").schema, ("inst_id", "course_id"))
+    dbsync.apply(s, db, _plan(s, d), own, user=(7, "a@b", "127.0.0.1"), base_ms=_BASE)
+    return db
+
+
+def _like_query(name: str, other: str):
+    """A query that must give what another gives by another way."""
+    return _add(name, _SQL[other])
+
+
+@_like_query("jdbc_sync", "sync_snapshot")
+def jdbc_sync(s, d):
+    """The registry after a staged merge in one transaction."""
+    return dbsync.registry_of(s, _synced(s, d)).select("id", "ativo")
+
+
+@_like_query("jdbc_sync_attributes", "sync_attributes")
+def jdbc_sync_attributes(s, d):
+    after = dbsync.registry_of(s, _synced(s, d))
+    return after.join(domain.registry(s, d).select("id"), "id", "left_semi").select("id", "nome_instituicao", "municipio", "uf", "cep", "endereco")
+
+
+@_like_query("jdbc_audit_log", "audit_row")
+def jdbc_audit_log(s, d):
+    return database.read_table(s, "audit_log", ("total_inseridos", "total_atualizados", "total_inativados", "usuario_email"), db=_synced(s, d))
+
+
+@_add("jdbc_offers", duck.statement(_OFFERS, "SELECT DISTINCT inst_id, course_id FROM offers"))
+def jdbc_offers(s, d):
+    return database.read_table(s, "offers", ("inst_id", "course_id"), partition_column="inst_id", db=_synced(s, d))
+
+
 @_add("offers_insert_ignore", duck.statement(_OFFERS, "SELECT DISTINCT inst_id, course_id FROM offers WHERE course_id % 2 = 1"))
 def offers_insert_ignore(s, d):
     own = domain.offers(s, d)

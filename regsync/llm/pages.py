@@ -458,10 +458,13 @@ def extract(page: str | None, host: str, known: Boilerplate) -> tuple[str, int]:
     """
     own, other, told = contents(page or "")
     n = int(sum(g.sum() for g in known.covered(host, other)))
-    gone = [known.covered(host, [t for t, _ in e]) for e in own]
     if told and len(own) == 1:
-        kept = [(t, doubt and g.all(), g) for (t, doubt), g in zip(own[0], gone[0], strict=True)]
-        return " ".join(t for t, left_out, _ in kept if not left_out), n + int(sum(g.sum() for _, left_out, g in kept if left_out))
+        doubtful = [t for t, doubt in own[0] if doubt]
+        left_out = [bool(g.all()) for g in known.covered(host, doubtful)] if doubtful else []
+        which = iter(left_out)
+        n += sum(len(t.split()) for t, gone in zip(doubtful, left_out, strict=True) if gone)
+        return " ".join(t for t, doubt in own[0] if not (doubt and next(which))), n
+    gone = [known.covered(host, [t for t, _ in e]) for e in own]
     n += int(sum(g.sum() for e in gone for g in e))
     if told:
         kept = [(e, g) for e, g in zip(own, gone, strict=True) if not all(x.all() for x in g)]

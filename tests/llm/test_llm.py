@@ -121,7 +121,9 @@ def naive_text(rows):
     for _, i, host, (own, _, told) in parsed:
         text = []
         for e in own:
-            hits = covered(host, [t for t, _ in e])
+            single = told and len(own) == 1  # then only the doubtful blocks are looked at
+            found = iter(covered(host, [t for t, doubt in e if doubt or not single]))
+            hits = [next(found) if doubt or not single else [False] * len(t.split()) for t, doubt in e]
             if told and len(own) > 1 and all(all(h) for h in hits):
                 continue
             for (t, doubt), h in zip(e, hits, strict=True):

@@ -68,6 +68,19 @@ def tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(c("id").alias("pos"), name.alias("nome_instituicao"), town.alias("municipio"), uf.alias("uf"), address.alias("endereco"))
 
 
+def hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tiered`` and rows that only the audit finds, for registry ids that end in 9: by postal code, by street, by words of the name, by a core name whose row is taken."""
+    c = F.col
+    reg = registry(spark, sf_dir)
+    before = reg.select((c("id") + 1).alias("id"), c("nome_instituicao").alias("before"))
+    df = reg.where("id % 10 = 9").join(before, "id", "left")
+    kind = F.expr("(id div 10) % 4")
+    name = F.when(kind == 0, F.format_string("Casa Azul %d", "id")).when(kind == 1, F.format_string("Casa Verde %d", "id")).when(kind == 2, F.concat(F.lit("Predio "), F.replace("nome_instituicao", F.lit("E.E. "), F.lit("")))).otherwise(c("before"))
+    address = F.when(kind == 0, F.format_string("Beco Curto, Centro, %s %s - %s", "municipio", "uf", "cep")).when(kind == 1, F.format_string("Rua das Flores, %d, Centro, %s", "id", "municipio")).otherwise("")
+    own = df.select((c("id") + 1_000_000).alias("pos"), name.alias("nome_instituicao"), F.when(kind == 3, "Xique Xique").otherwise(c("municipio")).alias("municipio"), F.when(kind == 3, "AM").when(kind == 0, c("uf")).otherwise("").alias("uf"), address.alias("endereco"))
+    return tiered(spark, sf_dir).unionByName(own)
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(inst_id, course_id, pos): the parts that a customer's orders hold, as courses that an institution offers."""
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")

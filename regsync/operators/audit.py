@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,48 +53,66 @@ def new_side(fresh: DataFrame) -> DataFrame:
     return audit_side(df.withColumns({"cep_val": F.col("loc.cep"), "num": F.col("loc.num"), "street": F.col("loc.street")}))
 
 
-def clash(a: str, b: str) -> Column:
-    """The same street-level postal code with another number."""
-    return (F.col(f"{a}.cep_val") != "") & (F.col(f"{a}.cep_val") == F.col(f"{b}.cep_val")) & (F.col(f"{a}.num") != "") & (F.col(f"{b}.num") != "") & (F.col(f"{a}.num") != F.col(f"{b}.num"))
+#: What the guards compare; a row of x looks at the first registry row of each combination.
+_GUARDED = ("uf2", "pub3", "ead")
+
+
+def _told(df: DataFrame) -> DataFrame:
+    """With the ownership as a number, -1 if it isn't given, so that it can be a key."""
+    return df.withColumn("pub3", F.coalesce(F.col("pub").cast("int"), F.lit(-1)))
 
 
-def _pairs(x: DataFrame, y: DataFrame, on: Column) -> DataFrame:
-    return x.alias("x").join(y.alias("y"), on & guards("x", "y") & ~clash("x", "y")).select(F.col("x.ord").alias("csv_ord"), F.col("y.ord").alias("db_ord"))
+def _firsts(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+    """(csv_ord, db_ord): for each row of x its first registry row with equal keys that the guards allow.
+
+    Registry rows are reduced to the first of each key and combination of what the guards compare, before they are joined.
+    """
+    heads = _told(y).groupBy(*keys, *_GUARDED).agg(F.min("ord").alias("ord"), F.first("pub").alias("pub"))
+    same = reduce(lambda a, k: a & (F.col(f"x.{k}") == F.col(f"y.{k}")), keys[1:], F.col(f"x.{keys[0]}") == F.col(f"y.{keys[0]}"))
+    found = x.alias("x").join(heads.alias("y"), same & guards("x", "y"))
+    return found.groupBy(F.col("x.ord").alias("csv_ord")).agg(F.min("y.ord").alias("db_ord"))
+
+
+def _least(*found: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, found).groupBy("csv_ord").agg(F.min("db_ord").alias("db_ord"))
 
 
 def by_code(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs with the same street-level postal code and no other number."""
-    return _pairs(x.where("cep_val <> ''"), y.where("cep_val <> ''"), F.col("x.cep_val") == F.col("y.cep_val"))
+    """(csv_ord, db_ord): the first registry row with the same street-level postal code and no other number."""
+    x, y = x.where("cep_val <> ''"), y.where("cep_val <> ''")
+    numbered = x.where("num <> ''")
+    return _least(_firsts(x.where("num = ''"), y, ["cep_val"]), _firsts(numbered, y, ["cep_val", "num"]), _firsts(numbered, y.where("num = ''"), ["cep_val"]))
 
 
 def by_street(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs with the same street, number and municipality."""
+    """(csv_ord, db_ord): the first registry row with the same street, number and municipality."""
     own = "street <> '' and num <> ''"
-    return _pairs(x.where(own), y.where(own), (F.col("x.street") == F.col("y.street")) & (F.col("x.num") == F.col("y.num")) & (F.col("x.muni_norm") == F.col("y.muni_norm")))
+    return _firsts(x.where(own), y.where(own), ["street", "num", "muni_norm"])
 
 
 def by_words(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs of the same municipality with two telling words in common."""
-    open_ = lambda d: d.select("*", F.explode("words").alias("word"))
-    on = (F.col("x.muni_norm") == F.col("y.muni_norm")) & (F.col("x.word") == F.col("y.word"))
-    return _pairs(open_(x), open_(y), on).groupBy("csv_ord", "db_ord").count().where("count >= 2").select("csv_ord", "db_ord")
-
-
-def first_by_words(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(csv_ord, db_ord): for each row of x the first that ``by_words`` pairs it with, without making all pairs.
+    """(csv_ord, db_ord): the first registry row of the same municipality with two telling words in common and no clash of numbers.
 
-    Registry rows are reduced to the first of each municipality, pair of words and what the guards compare, before they are
-    joined.  Where such a first row is ruled out by its street number the row of x is paired in full.
+    Registry rows are reduced by municipality and pair of words: to the first one, and the first with another postal
+    code than that (one of the two doesn't clash by its code), and to the first of each code and number.
     """
-    words = F.array_sort("words")
-    both = F.flatten(F.transform(words, lambda a, i: F.transform(F.slice(words, i + 2, F.size(words)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    sorted_words = F.array_sort("words")
+    both = F.flatten(F.transform(sorted_words, lambda a, i: F.transform(F.slice(sorted_words, i + 2, F.size(sorted_words)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     open_ = lambda d: d.withColumn("both", F.explode(both))
-    heads = open_(y).groupBy("muni_norm", "both", "uf2", "pub", "ead").agg(F.min(F.struct("ord", "cep_val", "num")).alias("h")).select("muni_norm", "both", "uf2", "pub", "ead", "h.*")
+    keys = ["muni_norm", "both", *_GUARDED]
+    own, theirs = open_(x), _told(open_(y)).groupBy(*keys, "cep_val", "num").agg(F.min("ord").alias("ord"), F.first("pub").alias("pub"))
+    theirs = cut(theirs)
+    codes = theirs.groupBy(*keys, "cep_val").agg(F.min("ord").alias("ord"), F.first("pub").alias("pub"))
+    first = codes.groupBy(*keys).agg(F.min(F.struct("ord", "cep_val")).alias("h"), F.first("pub").alias("pub"))
+    second = codes.drop("pub").join(first.select(*keys, "h"), keys).where("cep_val <> h.cep_val").groupBy(*keys).agg(F.min("ord").alias("next"))
+    heads = first.join(second, keys, "left")
     on = (F.col("x.muni_norm") == F.col("y.muni_norm")) & (F.col("x.both") == F.col("y.both")) & guards("x", "y")
-    found = open_(x).alias("x").join(heads.alias("y"), on).groupBy(F.col("x.ord").alias("csv_ord")).agg(F.min("y.ord").alias("db_ord"), F.max(clash("x", "y")).alias("open"))
-    found = cut(found)
-    again = x.join(found.where("open").select(F.col("csv_ord").alias("ord")), "ord", "left_semi")
-    return found.where("not open").select("csv_ord", "db_ord").unionByName(by_words(again, y).groupBy("csv_ord").agg(F.min("db_ord").alias("db_ord")))
+    free = (F.col("x.cep_val") == "") | (F.col("x.num") == "") | (F.col("y.h.cep_val") != F.col("x.cep_val"))
+    other = own.alias("x").join(heads.alias("y"), on).select(F.col("x.ord").alias("csv_ord"), F.when(free, F.col("y.h.ord")).otherwise(F.col("next")).alias("db_ord"))
+    numbered = own.where("cep_val <> '' and num <> ''")
+    same = on & (F.col("x.cep_val") == F.col("y.cep_val"))
+    near = [numbered.alias("x").join(d.alias("y"), c).select(F.col("x.ord").alias("csv_ord"), F.col("y.ord").alias("db_ord")) for d, c in ((theirs.where("num = ''"), same), (theirs, same & (F.col("x.num") == F.col("y.num"))))]
+    return _least(other.where("db_ord is not null"), *near)
 
 
 def by_core(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -106,7 +126,7 @@ def audit_match(x: DataFrame, y: DataFrame) -> DataFrame:
 
     Equi-joins in place of a nested loop; registry rows may be found again.
     """
-    first = by_code(x, y).unionByName(by_street(x, y)).unionByName(first_by_words(x, y)).groupBy("csv_ord").agg(F.min("db_ord").alias("db_ord"))
+    first = _least(by_code(x, y), by_street(x, y), by_words(x, y))
     rest = x.join(first.select(F.col("csv_ord").alias("ord")), "ord", "left_anti")
     return first.unionByName(by_core(rest, y))
 

@@ -235,6 +235,13 @@ FROM (SELECT r.id, r.id % 10 AS k, r.cep, coalesce(f.nome_instituicao, r.nome_in
   FROM reg r LEFT JOIN reg f ON r.id % 10 = 7 AND f.id = r.id - 7 WHERE r.id % 10 <> 7 OR f.id IS NOT NULL))"""
 
 
+HARD = TIERED.replace("bat AS (", "tiered AS (", 1) + """, bat AS (FROM tiered UNION ALL
+SELECT id + 1000000, CASE WHEN k = 0 THEN 'Casa Azul ' || id WHEN k = 1 THEN 'Casa Verde ' || id WHEN k = 2 THEN 'Predio ' || replace(nome_instituicao, 'E.E. ', '') ELSE before END,
+  CASE WHEN k = 3 THEN 'Xique Xique' ELSE municipio END, CASE WHEN k = 3 THEN 'AM' WHEN k = 0 THEN uf ELSE '' END,
+  CASE WHEN k = 0 THEN 'Beco Curto, Centro, ' || municipio || ' ' || uf || ' - ' || cep WHEN k = 1 THEN 'Rua das Flores, ' || id || ', Centro, ' || municipio ELSE '' END
+FROM (SELECT r.*, (r.id // 10) % 4 AS k, p.nome_instituicao AS before FROM reg r LEFT JOIN reg p ON p.id = r.id - 1 WHERE r.id % 10 = 9))"""
+
+
 def greedy_ctes(keys: str) -> str:
     """CTEs that end in ``g``: csv_ord, db_ord and tier by the sequential procedure, one batch row after the other, over rk and bk of ``keys``."""
     names = [f"k{i}" for i in range(1, 8)]
@@ -285,12 +292,52 @@ def change(name: str, old: str, new: str) -> str:
     return " || ".join(said)
 
 
-def diff_ctes() -> str:
-    """CTEs that end in ``diff``: ord, id, status, diferencas (joined by ' | '), by natural key, which is unique here."""
+def audit_ctes(source: str) -> str:
+    """CTEs x and y, what the audit compares, of ``source`` (rows of bk) and rk; and af and ac, the first registry row by place or words, and by core name."""
+    guard = "x.ead = y.ead AND (x.uf2 = '' OR y.uf2 = '' OR x.uf2 = y.uf2) AND NOT (x.cep <> '' AND x.cep = y.cep AND x.num <> '' AND y.num <> '' AND x.num <> y.num)"
+    first = lambda name, on: f"{name} AS (SELECT x.ord AS csv_ord, min(y.ord) AS db_ord FROM x JOIN y ON {on} AND {guard} GROUP BY x.ord)"
+    return ", ".join(
+        [
+            f"xs AS (SELECT ord, nome, muni AS am, kuf AS au, endereco AS ae FROM {source}), {location_ctes('xs', 'xl', 'ae', 'am', f'substring(upper({fold("au")}), 1, 2)')}",
+            f"x AS (SELECT ord, substring(upper({fold('au')}), 1, 2) AS uf2, {muni_norm('am')} AS muni_norm, {core('nome')} AS core, l_cep AS cep, l_num AS num, l_street AS street, {distance('nome')} AS ead, {telling('nome', muni_norm('am'))} AS w FROM xl)",
+            f"y AS (SELECT ord, uf2, muni_norm, core, cep_val AS cep, l_num AS num, l_street AS street, {distance('nome')} AS ead, {telling('nome', 'muni_norm')} AS w FROM rk)",
+            first("a_cep", "x.cep = y.cep AND x.cep <> ''"),
+            first("a_street", "x.street = y.street AND x.num = y.num AND x.muni_norm = y.muni_norm AND x.street <> '' AND x.num <> ''"),
+            first("a_words", "x.muni_norm = y.muni_norm AND len(list_intersect(x.w, y.w)) >= 2"),
+            "a_core AS (SELECT x.ord AS csv_ord, db_ord FROM x JOIN (SELECT core, min(ord) AS db_ord FROM y WHERE length(core) >= 5 GROUP BY core HAVING count(*) = 1) USING (core))",
+            "af AS (SELECT csv_ord, min(db_ord) AS db_ord FROM (FROM a_cep UNION ALL FROM a_street UNION ALL FROM a_words) GROUP BY csv_ord)",
+            "au AS (FROM af UNION ALL SELECT csv_ord, db_ord FROM a_core WHERE csv_ord NOT IN (SELECT csv_ord FROM af))",
+        ]
+    )
+
+
+def _rescued() -> str:
+    """CTEs that end in ``saved``: ord, id, status and diferencas of the new rows that the audit finds."""
+    f = fold
+    given = "coalesce(nullif(b.muni, ''), r.municipio)"
+    joined = f"rj AS (SELECT b.ord, b.nome, b.endereco, r.ord AS id, r.nome AS d_nome, r.endereco AS d_endereco, r.municipio AS d_municipio, r.uf AS d_uf, reg.cep AS d_cep, {muni_clean(given)} AS s_muni, {muni_uf(given)} AS s_uf, {muni_cep(given)} AS s_cep, substring(upper({f('b.kuf')}), 1, 2) AS n_uf FROM au JOIN bk b ON b.ord = csv_ord JOIN rk r ON r.ord = db_ord JOIN reg ON reg.id = r.ord)"
+    keep = f"({f('s_muni')} = {f('p_municipio')} OR (length({f('s_muni')}) > length({f('p_municipio')}) AND starts_with({f('s_muni')}, {f('p_municipio')})))"
+    values = f"rv AS (SELECT *, CASE WHEN coalesce(p_municipio, '') <> '' AND NOT {keep} THEN p_municipio ELSE s_muni END AS m, coalesce(nullif(p_uf, ''), nullif(n_uf, ''), s_uf, '') AS u, coalesce(nullif(p_cep, ''), s_cep, '') AS cc FROM rp)"
+    d1 = f"CASE WHEN {f('nome')} <> {f('d_nome')} AND {richness('nome')} > {richness('d_nome')} THEN {change('nome_instituicao', 'd_nome', 'nome')} END"
+    d2 = f"CASE WHEN m <> '' AND {f('m')} <> {f('d_municipio')} THEN {change('municipio', 'd_municipio', 'm')} END"
+    d3 = f"CASE WHEN u <> '' AND d_uf <> '' AND substring({f('u')}, 1, 2) <> substring({f('d_uf')}, 1, 2) THEN {change('uf', 'd_uf', 'u')} END"
+    d4 = f"CASE WHEN cc <> '' AND d_cep <> '' AND cc <> d_cep THEN {change('cep', 'd_cep', 'cc')} END"
+    new, old = f(dedupe("endereco")), f(dedupe("d_endereco"))
+    d5 = f"CASE WHEN {new} <> '' AND {old} <> '' AND {new} <> {old} AND length({new}) >= CAST(floor(length({old}) * 0.8) AS INTEGER) THEN {change('endereco', 'd_endereco', 'endereco')} END"
+    saved = f"saved AS (SELECT ord, id, CASE WHEN len(d) > 0 THEN 'alterado' ELSE 'mantido' END AS status, array_to_string(d, ' | ') AS diferencas FROM (SELECT *, list_filter([{d1}, {d2}, {d3}, {d4}, {d5}], lambda x: x IS NOT NULL) AS d FROM rv))"
+    return ",\n".join([joined, parse_ctes("rj", "rp", "endereco", "s_muni", "n_uf"), values, saved])
+
+
+def diff_ctes(hard: bool = False) -> str:
+    """CTEs that end in ``diff``: ord, id, status, diferencas (joined by ' | ').
+
+    The plain batch needs the natural key only, which is unique there; ``hard`` is the batch that needs all tiers, matched by
+    the sequential procedure, and the audit.
+    """
     new, old = dedupe(strip("endereco")), dedupe(strip("d_endereco"))
     f = fold
     joined = (
-        "j AS (SELECT b.ord, b.nome, b.endereco, b.muni, b.kuf, b.cep_val, b.ext_cep, substring(upper(" + f("b.uf") + "), 1, 2) AS uf_given, r.ord AS id, r.nome AS d_nome, r.endereco AS d_endereco, r.municipio AS d_municipio, r.uf AS d_uf, r.ativo AS d_ativo FROM bk b JOIN rk r ON b.k1 = r.k1)"
+        "j AS (SELECT b.ord, b.nome, b.endereco, b.muni, b.kuf, b.cep_val, b.ext_cep, substring(upper(" + f("b.uf") + "), 1, 2) AS uf_given, r.ord AS id, r.nome AS d_nome, r.endereco AS d_endereco, r.municipio AS d_municipio, r.uf AS d_uf, r.ativo AS d_ativo FROM bk b JOIN pairs ON b.ord = csv_ord JOIN rk r ON r.ord = db_ord)"
     )
     parsed = parse_ctes("j", "jp", "endereco", "muni", "uf_given")
     keep = f"({f('muni')} = {f('p_municipio')} OR (length({f('muni')}) > length({f('p_municipio')}) AND starts_with({f('muni')}, {f('p_municipio')})))"
@@ -303,8 +350,19 @@ def diff_ctes() -> str:
     third = f"jf AS (SELECT * REPLACE (CASE WHEN cc <> '' AND len(d) > 0 THEN list_append(d, {change('cep', q(''), 'cc')}) ELSE d END AS d) FROM je)"
     d5 = f"{f('e_new')} <> '' AND {f('e_old')} <> '' AND {f('e_new')} <> {f('e_old')} AND NOT contains({f('e_old')}, {f('e_new')}) AND length(e_new) >= CAST(floor(length(e_old) * 0.8) AS INTEGER)"
     fourth = f"jg AS (SELECT * REPLACE (CASE WHEN {d5} THEN list_append(d, {change('endereco', 'e_old', 'e_new')}) ELSE d END AS d) FROM jf)"
-    status = "diff AS (SELECT ord, id, CASE WHEN d_ativo = 0 THEN 'reativado' WHEN len(d) > 0 THEN 'alterado' ELSE 'mantido' END AS status, CASE WHEN d_ativo = 0 THEN '' ELSE array_to_string(d, ' | ') END AS diferencas FROM jg UNION ALL SELECT ord, NULL, 'novo', '' FROM bk WHERE k1 IS NULL OR k1 NOT IN (SELECT k1 FROM rk WHERE k1 IS NOT NULL) UNION ALL SELECT NULL, ord, 'inativado', '' FROM rk WHERE ativo = 1 AND (k1 IS NULL OR k1 NOT IN (SELECT k1 FROM bk WHERE k1 IS NOT NULL)))"
-    return ",\n".join([keys_ctes(), joined, parsed, values, first, second, third, fourth, status])
+    status = (
+        "diff AS (SELECT ord, id, CASE WHEN d_ativo = 0 THEN 'reativado' WHEN len(d) > 0 THEN 'alterado' ELSE 'mantido' END AS status, CASE WHEN d_ativo = 0 THEN '' ELSE array_to_string(d, ' | ') END AS diferencas FROM jg "
+        + ("UNION ALL FROM saved " if hard else "")
+        + "UNION ALL SELECT ord, NULL, 'novo', '' FROM nv"
+        + (" WHERE ord NOT IN (SELECT ord FROM saved)" if hard else "")
+        + " UNION ALL SELECT NULL, ord, 'inativado', '' FROM rk WHERE ativo = 1 AND ord NOT IN (SELECT db_ord FROM pairs))"
+    )
+    fresh = "nv AS (SELECT * FROM bk WHERE ord NOT IN (SELECT csv_ord FROM pairs))"
+    if hard:
+        keys = f"{greedy_ctes(keys_ctes(REG, HARD))}, pairs AS (SELECT csv_ord, db_ord FROM g WHERE db_ord IS NOT NULL), {fresh}, {audit_ctes('nv')}, {_rescued()}"
+    else:
+        keys = f"{keys_ctes()}, pairs AS (SELECT b.ord AS csv_ord, r.ord AS db_ord FROM bk b JOIN rk r ON b.k1 = r.k1), {fresh}"
+    return ",\n".join([keys, joined, parsed, values, first, second, third, fourth, status])
 
 
 def statement(ctes: str, body: str) -> str:

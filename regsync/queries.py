@@ -365,6 +365,22 @@ def diff_cascade(s, d):
     return _diff(s, d, exact=False).rows.select(F.coalesce("ord", F.lit(-1)).alias("ord"), F.coalesce("id", F.lit(-1)).alias("id"), "status")
 
 
+@_once
+def _hard_diff(s, d):
+    return diff.compare(domain.registry(s, d), domain.hard(s, d), registry_order="id", batch_order="pos", partial=False)
+
+
+@_add("diff_tiers_status", duck.statement(duck.diff_ctes(hard=True), "SELECT coalesce(ord, -1) AS ord, coalesce(nullif(id, 0), -1) AS id, status FROM diff"))
+def diff_tiers_status(s, d):
+    """The comparison of a batch that needs every tier, the fallback and all steps of the audit.  An id of 0 counts as none."""
+    return _hard_diff(s, d).rows.select(F.coalesce("ord", F.lit(-1)).alias("ord"), F.coalesce("id", F.lit(-1)).alias("id"), "status")
+
+
+@_add("diff_tiers_changes", duck.statement(duck.diff_ctes(hard=True), "SELECT ord, nullif(id, 0) AS id, diferencas FROM diff WHERE status = 'alterado'"))
+def diff_tiers_changes(s, d):
+    return _hard_diff(s, d).rows.where("status = 'alterado'").select("ord", "id", F.array_join("diferencas", " | ").alias("diferencas"))
+
+
 @_add("inactivated", duck.statement(duck.diff_ctes(), "SELECT id FROM diff WHERE status = 'inativado'"))
 def inactivated(s, d):
     return _diff(s, d).rows.where("status = 'inativado'").select("id")
@@ -390,34 +406,12 @@ def _audit_sides(s, d):
     return cut_all(audit.new_side(fresh), audit.audit_side(r))
 
 
-_AUDIT = ", ".join(
-    [
-        duck.keys_ctes(),
-        f"xs AS (SELECT ord, nome, muni AS am, kuf AS au, endereco AS ae FROM bk), {duck.location_ctes('xs', 'xl', 'ae', 'am', f'substring(upper({duck.fold("au")}), 1, 2)')}",
-        f"x AS (SELECT ord, substring(upper({duck.fold('au')}), 1, 2) AS uf2, {duck.muni_norm('am')} AS muni_norm, {duck.core('nome')} AS core, l_cep AS cep, l_num AS num, l_street AS street, {duck.distance('nome')} AS ead, {duck.telling('nome', duck.muni_norm('am'))} AS w FROM xl)",
-        f"y AS (SELECT ord, uf2, muni_norm, core, cep_val AS cep, l_num AS num, l_street AS street, {duck.distance('nome')} AS ead, {duck.telling('nome', 'muni_norm')} AS w FROM rk)",
-        "ok AS (SELECT x.ord AS xo, y.ord AS yo FROM x JOIN y ON x.ead = y.ead AND (x.uf2 = '' OR y.uf2 = '' OR x.uf2 = y.uf2) AND x.muni_norm = y.muni_norm)",
-    ]
-)
-_CLASH = "NOT (x.cep <> '' AND x.cep = y.cep AND x.num <> '' AND y.num <> '' AND x.num <> y.num)"
-_GUARD = f"x.ead = y.ead AND (x.uf2 = '' OR y.uf2 = '' OR x.uf2 = y.uf2) AND {_CLASH}"
-_BY = {
-    "cep": f"SELECT x.ord AS csv_ord, y.ord AS db_ord FROM x JOIN y ON x.cep = y.cep AND x.cep <> '' AND {_GUARD}",
-    "street": f"SELECT x.ord AS csv_ord, y.ord AS db_ord FROM x JOIN y ON x.street = y.street AND x.num = y.num AND x.muni_norm = y.muni_norm AND x.street <> '' AND x.num <> '' AND {_GUARD}",
-    "words": f"SELECT x.ord AS csv_ord, y.ord AS db_ord FROM x JOIN y ON x.muni_norm = y.muni_norm AND len(list_intersect(x.w, y.w)) >= 2 AND {_GUARD}",
-    "core": "SELECT x.ord AS csv_ord, db_ord FROM x JOIN (SELECT core, min(ord) AS db_ord FROM y WHERE length(core) >= 5 GROUP BY core HAVING count(*) = 1) USING (core)",
-}
-_AUDIT = _AUDIT.rpartition(", ok AS (")[0]
+_AUDIT = f"{duck.keys_ctes()}, {duck.audit_ctes('bk')}"
 for _name, _f in (("cep", audit.by_code), ("street", audit.by_street), ("words", audit.by_words), ("core", audit.by_core)):
-    _add(f"audit_{_name}", duck.statement(_AUDIT, _BY[_name]))(lambda s, d, f=_f: f(*_audit_sides(s, d)))
-
-_FIRST = f"f AS (SELECT csv_ord, min(db_ord) AS db_ord FROM ({_BY['cep']} UNION ALL {_BY['street']} UNION ALL {_BY['words']}) GROUP BY csv_ord), c AS ({_BY['core']})"
-
-
-_MATCH = duck.statement(f"{_AUDIT}, {_FIRST}", "SELECT * FROM f UNION ALL SELECT csv_ord, db_ord FROM c WHERE csv_ord NOT IN (SELECT csv_ord FROM f)")
+    _add(f"audit_{_name}", duck.statement(_AUDIT, f"SELECT csv_ord, db_ord FROM a_{_name}"))(lambda s, d, f=_f: f(*_audit_sides(s, d)))
 
 
-@_add("audit_match", _MATCH)
+@_add("audit_match", duck.statement(_AUDIT, "SELECT csv_ord, db_ord FROM au"))
 def audit_match(s, d):
     return audit.audit_match(*_audit_sides(s, d))
 

@@ -1,5 +1,7 @@
 """Queries over whole tables with repeated names, held against the sequential procedure."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,14 +76,17 @@ def test_audit_takes_all_batch_rows(spark):
         "street": lambda a, b: a["street"] and a["num"] and (a["street"], a["num"], a["muni_norm"]) == (b["street"], b["num"], b["muni_norm"]),
         "words": lambda a, b: a["muni_norm"] == b["muni_norm"] and len(set(a["words"]) & set(b["words"])) >= 2,
     }
-    every = set()
+    firsts = {}
     for name, rule in rules.items():
-        want = {(a["ord"], b["ord"]) for a in x for b in y if rule(a, b) and guarded(a, b)}
-        assert {(r.csv_ord, r.db_ord) for r in queries.queries()[f"audit_all_{name}"](spark, TINY).collect()} == want
-        every |= want
-    first = {a: min(d for c, d in every if c == a) for a, _ in every}
+        want = {}
+        for a in x:
+            found = [b["ord"] for b in y if rule(a, b) and guarded(a, b)]
+            if found:
+                want[a["ord"]] = min(found)
+                firsts[a["ord"]] = min(min(found), firsts.get(a["ord"], min(found)))
+        assert {r.csv_ord: r.db_ord for r in queries.queries()[f"audit_{name}"](spark, TINY).collect()} == want
     got = {r.csv_ord: r.db_ord for r in queries.audit_match(spark, TINY).collect()}
-    assert {a: got[a] for a in first} == first and any(a % 5 for a in first)
+    assert {a: got[a] for a in firsts} == firsts and any(a % 5 for a in firsts)
 
 
 def test_every_tier_is_needed(spark):
@@ -89,13 +94,33 @@ def test_every_tier_is_needed(spark):
     assert set(got.values()) == set(range(1, 9)) and all(got[i] == {1: 2, 2: 3, 3: 4, 4: 5, 5: 6, 6: 7, 7: 8}.get(i % 10, 1) for i in got)
 
 
-def test_first_by_words_is_the_first_of_all(spark):
-    schema = "ord long, uf2 string, muni_norm string, cep_val string, num string, pub boolean, ead boolean, words array<string>"
-    rows, words = [], "alfa bravo carlos delta eduardo".split()
-    for i in range(240):
-        rows.append((i, ["", "RS", "SP"][i % 3], f"m{i % 2}", ["", "90000001", "90000002"][i % 7 % 3], str(i % 4) if i % 5 else "", [None, True, False][i % 11 % 3], i % 13 == 0, [words[k] for k in range(5) if (i * 7 >> k) & 1]))
-    x, y = spark.createDataFrame(rows[:100], schema), spark.createDataFrame(rows[100:], schema)
-    want = {}
-    for r in audit.by_words(x, y).collect():
-        want[r.csv_ord] = min(r.db_ord, want.get(r.csv_ord, r.db_ord))
-    assert {r.csv_ord: r.db_ord for r in audit.first_by_words(x, y).collect()} == want and want
+def test_the_audit_finds_the_first_of_all_pairs(spark):
+    """Guards, blank and clashing numbers, shared codes, streets and words, against all pairs."""
+    schema = "ord long, uf2 string, muni_norm string, cep_val string, num string, street string, pub boolean, ead boolean, words array<string>"
+    rng, words = random.Random(3), "alfa bravo carlos delta eduardo".split()
+    pick = rng.choice
+    rows = [(i, pick(["", "RS", "SP"]), pick(["m0", "m1"]), pick(["", "90000001", "90000002"]), pick(["", "1", "2", "3"]), pick(["", "a", "b"]), pick([None, True, False]), rng.random() < 0.2, rng.sample(words, rng.randrange(5))) for i in range(300)]
+    x, y = spark.createDataFrame(rows[:120], schema), spark.createDataFrame(rows[120:], schema)
+
+    def fits(a, b):
+        clash = a[3] and a[3] == b[3] and a[4] and b[4] and a[4] != b[4]
+        return (not a[1] or not b[1] or a[1] == b[1]) and (a[6] is None or b[6] is None or a[6] == b[6]) and a[7] == b[7] and not clash
+
+    rules = {
+        audit.by_code: lambda a, b: a[3] and a[3] == b[3],
+        audit.by_street: lambda a, b: a[5] and a[4] and (a[5], a[4], a[2]) == (b[5], b[4], b[2]),
+        audit.by_words: lambda a, b: a[2] == b[2] and len(set(a[8]) & set(b[8])) >= 2,
+    }
+    for f, rule in rules.items():
+        want = {a[0]: min(found) for a in rows[:120] if (found := [b[0] for b in rows[120:] if rule(a, b) and fits(a, b)])}
+        assert want and {r.csv_ord: r.db_ord for r in f(x, y).collect()} == want
+    same = [(i, "RS", "m", "90000001", "5", "s", None, False, ["alfa", "bravo"]) for i in range(4000)]
+    both = spark.createDataFrame(same, schema)
+    assert {r.db_ord for r in audit.by_code(both, both).collect()} == {r.db_ord for r in audit.by_words(both, both).collect()} == {0}  # 16,000,000 pairs
+
+
+def test_the_hard_batch_needs_every_tier_and_the_audit(spark):
+    rows = queries._hard_diff(spark, TINY).rows.where("ord is not null").select("ord", "tier", "status").collect()
+    tiers = {r.tier for r in rows}
+    assert {t for t in tiers if t} == set(range(1, 10)) and {(r.ord // 10) % 4 for r in rows if r.tier == 9 and r.ord > 1_000_000} == {0, 1, 2, 3}
+    assert {r.status for r in rows} == {"novo", "alterado", "mantido", "reativado"}

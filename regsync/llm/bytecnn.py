@@ -17,6 +17,8 @@ from .features import fit_in_task
 LENGTH, WIDTHS, FILTERS, EMBEDDING = 192, (2, 3, 4, 5), 16, 8
 #: Documents of a language that training uses at most, and the factor that bounds the sample of all languages.
 SAMPLE, LANGUAGES = 1200, 200
+#: Windows of a text that training uses at most: 11 KB of its bytes.
+TEXT_WINDOWS = 64
 UNKNOWN = "und"
 _LETTER = re.compile(rb"[A-Za-z]")
 _CHUNK = 32
@@ -38,6 +40,19 @@ def windows(text: bytes, length: int = LENGTH, overlap: int = max(WIDTHS) - 1) -
     return as_strided(full, (n, length), (stride, 1)).copy()
 
 
+def spread_windows(text: bytes, most: int, length: int = LENGTH, overlap: int = max(WIDTHS) - 1) -> np.ndarray:
+    """``windows`` of a text, of more than ``most`` that many at even distances from the first to the last."""
+    stride = length - overlap
+    n = max(1, -(-(len(text) - overlap) // stride))
+    if n <= most:
+        return windows(text, length, overlap)
+    out = np.zeros((most, length), np.uint8)
+    for row, k in zip(out, np.linspace(0, n - 1, most).round().astype(np.int64), strict=True):
+        part = _LOWER[np.frombuffer(text[k * stride : k * stride + length], np.uint8)]
+        row[: len(part)] = part
+    return out
+
+
 class ByteCNN:
     """Embedding, filters of several widths, maximum over places, ReLU, softmax."""
 
@@ -133,11 +148,13 @@ class ByteCNN:
         return names, scores
 
 
-def train(docs: DataFrame, learn=None, sample: int = SAMPLE) -> ByteCNN:
-    """Learns from the whole texts and lang of the rows where ``learn`` holds: at most ``sample`` documents of a language, chosen by a hash of the id.
+def train(docs: DataFrame, learn=None, sample: int = SAMPLE, most: int = TEXT_WINDOWS) -> ByteCNN:
+    """Learns from text and lang of the rows where ``learn`` holds: at most ``sample`` documents of a language, chosen by a hash of the id.
 
-    Rows without an id, text, letters or lang teach nothing.  Of very many languages the sample holds ``sample * LANGUAGES`` documents.
-    Of several rows with one id and lang the text with the least hash teaches.  The network is trained in one task.
+    Of a text with more than ``most`` windows that many teach, from all over it.  Rows without an id, text, letters or lang
+    teach nothing.  Of very many languages the sample holds ``sample * LANGUAGES`` documents.  Of several rows with one
+    id and lang the text with the least hash teaches.  The windows are cut where the texts lie; the network is trained
+    on them in one task, whose bytes and rounds these parameters bound.
     """
     prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -151,17 +168,21 @@ def train(docs: DataFrame, learn=None, sample: int = SAMPLE) -> ByteCNN:
     chosen = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])
     one = chosen.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("r.text", "lang")
 
+    def cut(batches):
+        for b in batches:
+            rows = [(spread_windows(t, most).tobytes(), name) for t, name in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.string())], ["windows", "lang"])
+
     def fit(batches):
-        rows = sorted((name, t) for b in batches for t, name in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True) if has_letter(t))
+        rows = sorted((name, w) for b in batches for w, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         classes = sorted({name for name, _ in rows})
         model = ByteCNN(classes)
         if not rows:
             return model
-        x = [windows(t) for _, t in rows]
-        y = np.repeat([classes.index(name) for name, _ in rows], [len(w) for w in x])
-        return model.fit(np.concatenate(x), y)
+        x = np.frombuffer(b"".join(w for _, w in rows), np.uint8).reshape(-1, LENGTH)
+        return model.fit(x, np.repeat([classes.index(name) for name, _ in rows], [len(w) // LENGTH for _, w in rows]))
 
-    return fit_in_task(one, fit)
+    return fit_in_task(one.mapInArrow(cut, "windows binary, lang string"), fit)
 
 
 def languages(docs: DataFrame, model: ByteCNN, columns: list[str]) -> DataFrame:

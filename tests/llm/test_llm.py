@@ -474,9 +474,40 @@ def test_languages(spark):
     assert odd[1].lang_pred == odd[2].lang_pred == odd[8].lang_pred == "und" and odd[7].lang_pred in model.classes
     assert all(0 <= r.score <= 1 for r in odd.values())
     assert bytecnn.languages(docs.limit(0), bytecnn.train(docs.limit(0)), ["doc_id"]).count() == 0
+    long = bytes(range(97, 123)) * 400
+    assert (bytecnn.spread_windows(long, 10**6) == bytecnn.windows(long)).all() and len(bytecnn.spread_windows(long, 5)) == 5
+    whole, few = bytecnn.windows(long), bytecnn.spread_windows(long, 7)
+    assert (few == whole[np.linspace(0, len(whole) - 1, 7).round().astype(int)]).all()  # from the first to the last
     assert bytecnn.windows(b"A" * 400).shape == (3, bytecnn.LENGTH) and bytecnn.windows(b"").shape == (1, bytecnn.LENGTH)
 
 
+def test_the_network_learns_by_its_gradient(spark):
+    """One step of Adam moves each weight by the sign of the loss's slope, taken by differences."""
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(97, 103, (64, bytecnn.LENGTH)).astype(np.uint8), rng.integers(0, 3, 64)
+    model = bytecnn.ByteCNN(["a", "b", "c"])
+
+    def loss(m):
+        z = m.logits(x).astype(float)
+        z -= z.max(axis=1, keepdims=True)
+        return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(64), y]))
+
+    slopes = {}
+    for name, at in (("out", (3, 1)), ("out_bias", (2,)), ("bias", (7,)), ("filters", (5, 20)), ("embed", (99, 4))):
+        own, d = getattr(model, name), 3e-3
+        keep = own[at]
+        own[at] = keep + d
+        up = loss(model)
+        own[at] = keep - d
+        slopes[name, at] = (up - loss(model)) / (2 * d)
+        own[at] = keep
+    before = {k: getattr(model, k[0])[k[1]] for k in slopes}
+    model.fit(x, y, rounds=1, batch=64)
+    for (name, at), slope in slopes.items():
+        moved = getattr(model, name)[at] - before[name, at]
+        assert abs(slope) < 1e-4 or np.sign(moved) == -np.sign(slope), (name, slope, moved)
+
+
 # 10
 def test_targets_and_sample(spark):
     rng = random.Random(10)

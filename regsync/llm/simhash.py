@@ -156,7 +156,8 @@ def keep_first(docs: DataFrame, found: DataFrame, prints) -> DataFrame:
     """One row of docs for each class of ``found``: with the smallest doc_id, of several such the smallest fp.
 
     ``prints`` gives the fp of a column of texts, so that a row can stand only for its own class, whatever rows share its id
-    or have none.  docs may have any further columns.
+    or have none.  docs may have any further columns.  Of several rows with this id and fp the one whose text has the
+    least XXH64 stays, of equal texts the one whose columns (but for maps) together have, so the layout decides nothing.
     """
     kept = found.where("doc_id <=> component_id").groupBy("class_fp").agg(F.min(F.struct("fp", "doc_id")).alias("k")).select(F.col("k.fp").alias("kept_fp"), F.col("k.doc_id").alias("kept_id"))
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -169,7 +170,10 @@ def keep_first(docs: DataFrame, found: DataFrame, prints) -> DataFrame:
     plain = docs.toDF(*names)
     rows = plain.mapInArrow(work, StructType([*plain.schema.fields, StructField("own_fp", LongType())]))
     rows = rows.join(kept, (F.col("own_fp") == F.col("kept_fp")) & F.col(own_id).eqNullSafe(F.col("kept_id")))
-    return rows.dropDuplicates(["own_fp"]).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    hashed = [f.name for f in plain.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = F.min_by(F.struct(*names), F.struct(F.xxhash64(names[text]), F.xxhash64(*hashed)))
+    rows = rows.groupBy("own_fp").agg(first.alias("r"))
+    return rows.select(*[F.col(f"r.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def _signed_prints(column) -> list[int]:

@@ -64,6 +64,10 @@ def test_deduplicate_keeps_any_columns(spark, deduplicate):
     got = {(r.doc_id, r.text, r.class_fp, r["__id"]) for r in deduplicate(docs).collect()}
     assert got == {rows[0], rows[2], rows[4]}
     assert deduplicate(docs.limit(0)).columns == docs.columns
+    # rows of one id and one set of shingles that differ in other columns or in case: the layout doesn't choose
+    many = spark.createDataFrame([(1, text("a") if i % 2 else text("a").upper(), i, str(i)) for i in range(40)], docs.schema)
+    kept = [deduplicate(many.repartition(n)).collect() for n in (1, 5)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
 
 
 def test_decontamination_replaces_its_own_columns(spark):

@@ -33,11 +33,15 @@ class Sparse:
         code = words.hash & U64(size - 1)
         key = words.doc.astype(np.int64) * size + code.astype(np.int64)
         if prefixes:
-            at = np.minimum(words.length, prefixes)
-            low = words.low
+            # the first bytes of the word's core: from its first letter or digit up to the next sign
+            low, stop = words.low, words.start + words.length
+            core = np.append(np.flatnonzero(_IS_ALNUM[low]), len(low))
+            begin = np.minimum(core[np.searchsorted(core, words.start)], stop)
+            sign = np.append(np.flatnonzero(~_IS_ALNUM[low]), len(low))
+            at = np.minimum(np.minimum(sign[np.searchsorted(sign, begin)], stop) - begin, prefixes)
             head = np.zeros(len(at), U64)
             for i in range(prefixes):
-                head = mix(head + low[np.minimum(words.start + i, len(low) - 1)].astype(U64) * (i < at)) if len(at) else head
+                head = mix(head + low[np.minimum(begin + i, len(low) - 1)].astype(U64) * (i < at)) if len(at) else head
             start = words.doc.astype(np.int64) * size + (mix(head + U64(7)) & U64(size - 1)).astype(np.int64)
             key = np.concatenate([key, start])
         key, count = np.unique(key, return_counts=True)

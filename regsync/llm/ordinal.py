@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .features import Sparse, fit_sample, sample_ids, score_texts
 
-#: Places of the hashed features, first bytes of a word that make a feature, labelled documents learned from at most.
+#: Places of the hashed features, first letters or digits of a word (without signs around them) that make a feature, labelled documents learned from at most.
 SIZE, PREFIX, SAMPLE = 1 << 20, 7, 12_000
 #: A feature is learned from if it occurs in LEAST toxic documents or more, and LIFT standard deviations more often than chance would have it.
 LEAST, LIFT = 3, 3.5

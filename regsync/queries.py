@@ -22,7 +22,7 @@ from .operators.classify import course_changes, course_counts
 from .operators.components import cut, cut_all, spread
 from .plans import dbsync, diff, duck, report, sync
 from .schemas import normalize_columns
-from .sources import database, files
+from .sources import database, files, scan
 from .sources.database import Database
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -416,10 +416,13 @@ def audit_match(s, d):
     return audit.audit_match(*_audit_sides(s, d))
 
 
-@_add("audit_guards", "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN true WHEN p_size % 3 = 1 THEN false END AS publica FROM part")
+_OWNERSHIP = duck.fold("nome_instituicao")
+
+
+@_add("audit_guards", duck.statement(f"{duck.REG}, {duck.BAT}", f"SELECT pos, CASE WHEN {_OWNERSHIP} <> '' THEN regexp_matches({_OWNERSHIP}, 'publica|federal|estadual|municipal') END AS publica FROM bat"))
 def audit_guards(s, d):
-    kind = F.when(_c("p_size") % 3 == 0, "Pública Estadual").when(_c("p_size") % 3 == 1, "Privada").otherwise("")
-    return read(s, d, "part").select(_c("p_partkey").alias("id"), audit.public(kind).alias("publica"))
+    """Whether a text names public ownership, over the batch's names, some of which do."""
+    return domain.batch(s, d).select("pos", audit.public(_c("nome_instituicao")).alias("publica"))
 
 
 # course sets
@@ -685,9 +688,33 @@ def csv_versioned(s, d):
     return files.rows_or_newest(None, s, [f"{folder}/latest", f"{folder}/none"]).select(_c("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
 
 
-@_add("relations_missing", "SELECT CAST(1 AS BIGINT) AS inst_snowflake_id, CAST(1 AS BIGINT) AS course_snowflake_id WHERE false")
+@_add("relations_missing", duck.statement(_OFFERS, "SELECT DISTINCT inst_id AS inst_snowflake_id, course_id AS course_snowflake_id FROM offers"))
 def relations_missing(s, d):
-    return files.read_relations(s, f"{d}/no-such-file.csv")
+    """The pairs of a file and of one that isn't there."""
+    path = _scratch(s, "relations-one")
+    files.write_csv(domain.offers(s, d).select(_c("inst_id").alias("inst_snowflake_id"), _c("course_id").alias("course_snowflake_id")).distinct(), path)
+    return files.read_relations(s, path).unionByName(files.read_relations(s, f"{d}/no-such-file.csv"))
+
+
+@_add("relations_scan", duck.statement(_OFFERS, "SELECT inst_id AS inst_snowflake_id, course_id AS course_snowflake_id FROM offers WHERE pos < (SELECT min(pos) FROM offers WHERE course_id % 7 = 0 AND pos > (SELECT max(pos) // 2 FROM offers))"))
+def relations_scan(s, d):
+    """Pairs up to the first bad line of files in order."""
+    path = _scratch(s, "relations-scan")
+    own = domain.offers(s, d)
+    half = own.agg(F.expr("max(pos) div 2").alias("half"))
+    bad = (_c("course_id") % 7 == 0) & (_c("pos") > _c("half"))
+    own.join(F.broadcast(half)).select("pos", F.when(bad, "?").otherwise(F.concat_ws(";", "inst_id", "course_id")).alias("value")).orderBy("pos").select("value").write.mode("overwrite").text(path)
+    return scan.scan_relations(s, path, header=False)
+
+
+@_add("institutions_scan", "SELECT c_custkey AS snowflake_id, c_name AS nome_instituicao, coalesce(nullif(c_mktsegment, 'BUILDING'), '') AS dependencia_adm, CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE rpad('x', CAST(500 + c_custkey % 11 AS INTEGER), 'x') END AS endereco FROM customer")
+def institutions_scan(s, d):
+    """Fields up to the first empty one."""
+    path = _scratch(s, "institutions-scan")
+    blank = F.when(_c("c_mktsegment") != "BUILDING", _c("c_mktsegment")).otherwise("")
+    lines = F.concat_ws(";", _c("c_custkey").cast("string"), "c_name", blank, F.rpad(F.lit("x"), (500 + _c("c_custkey") % 11).cast("int"), "x"))
+    read(s, d, "customer").select(lines.alias("value")).write.mode("overwrite").text(path)
+    return scan.scan_institutions(s, path, header=False).select("snowflake_id", "nome_instituicao", "dependencia_adm", "endereco")
 
 
 @_add("relations_read", duck.statement(_OFFERS, "SELECT DISTINCT inst_id AS inst_snowflake_id, course_id AS course_snowflake_id FROM offers WHERE course_id % 10 <> 3"))

@@ -17,7 +17,7 @@ from .functions import sql as names
 from .functions import text as X
 from .functions.base import filled, first_filled, fold
 from .functions.keys import TIERS, with_batch_keys, with_registry_keys
-from .operators import aggregate, audit, matching, quality, records, search
+from .operators import aggregate, audit, indexes, matching, quality, records, search
 from .operators.classify import course_changes, course_counts
 from .operators.components import cut, cut_all, spread
 from .plans import dbsync, diff, duck, report, sync
@@ -515,6 +515,33 @@ def page(s, d):
     return search.page(read(s, d, "events").select("event_id", "event_type"), ["event_type", "event_id"], 3, 20)
 
 
+@_once
+def _event_pages(s, d):
+    return indexes.page_index(read(s, d, "events").select("event_id", "event_type"), ["event_type", "event_id"], rows_in_range=500)
+
+
+@_add("page_index", "(SELECT 3 AS pagina, event_id, event_type FROM events ORDER BY event_type, event_id LIMIT 20 OFFSET 40) UNION ALL (SELECT 37, event_id, event_type FROM events ORDER BY event_type, event_id LIMIT 20 OFFSET 720)")
+def page_index(s, d):
+    """Pages from the ranges that hold them."""
+    own = _event_pages(s, d)
+    return own.page(3, 20).select(F.lit(3).alias("pagina"), "event_id", "event_type").unionByName(own.page(37, 20).select(F.lit(37).alias("pagina"), "event_id", "event_type"))
+
+
+@_add("page_seek", "SELECT event_id, event_type FROM events WHERE (event_type, event_id) > (SELECT (event_type, event_id) FROM events ORDER BY event_type, event_id LIMIT 1 OFFSET 777) ORDER BY event_type, event_id LIMIT 50")
+def page_seek(s, d):
+    """The rows after the last one of a page."""
+    own = _event_pages(s, d)
+    last = own.page(778, 1).first()
+    return own.after((last.event_type, last.event_id), 50)
+
+
+@_add("search_index", "SELECT doc_id, source FROM documents WHERE contains(lower(coalesce(text, '')), 'ation the')")
+def search_index(s, d):
+    """A search that reads the postings of the query's trigrams and verifies the hits."""
+    docs = read(s, d, "documents").select("doc_id", "source", "text")
+    return indexes.text_index(docs, "doc_id", _c("text")).containing("ation The").select("doc_id", "source")
+
+
 @_add("search_both", "SELECT id, nome, 'banco' AS origem FROM (SELECT p_partkey AS id, p_name AS nome FROM part) WHERE contains(lower(concat_ws(' ', CAST(id AS VARCHAR), nullif(nome, ''))), '1') AND contains(lower(nome), 'a') UNION ALL SELECT id, nome, 'raspagem' FROM (SELECT s_suppkey AS id, s_name AS nome FROM supplier) WHERE contains(lower(concat_ws(' ', CAST(id AS VARCHAR), nullif(nome, ''))), '1') AND contains(lower(nome), 'a')")
 def search_both(s, d):
     a = read(s, d, "part").select(_c("p_partkey").alias("id"), _c("p_name").alias("nome"))

@@ -128,8 +128,10 @@ def text_index(df: DataFrame, key: str, text: Column, buckets: int = 64, path: s
     out = TextIndex(spark, path, key, buckets, dict(df.dtypes)[key])
     df.withColumn("__text", F.lower(F.coalesce(text, F.lit("")))).write.mode("overwrite").parquet(f"{path}/rows")
     own = spark.read.parquet(f"{path}/rows")
-    places = F.sequence(F.lit(1), F.greatest(F.length("__text") - 2, F.lit(1)))
-    grams = own.where(F.length("__text") >= 3).select(key, F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("__text", i, F.lit(3))))).alias("gram"))
+    # characters in an array, as taking the i-th one of a text takes time with i
+    chars = own.where(F.length("__text") >= 3).select(key, F.regexp_extract_all("__text", F.lit("(?s)."), F.lit(0)).alias("c"))
+    gram = F.transform(F.sequence(F.lit(0), F.size("c") - 3), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))
+    grams = chars.select(key, F.explode(F.array_distinct(gram)).alias("gram"))
     grams = grams.withColumn("__bucket", out._bucket(F.col("gram")))
     parts = max(8, own.count() // 100_000)
     grams.repartition("__bucket", F.pmod(F.xxhash64(key), F.lit(parts))).sortWithinPartitions("__bucket", "gram").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/grams")

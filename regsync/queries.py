@@ -535,11 +535,11 @@ def page_seek(s, d):
     return own.after((last.event_type, last.event_id), 50)
 
 
-@_add("search_index", "SELECT doc_id, source FROM documents WHERE contains(lower(coalesce(text, '')), 'ation the')")
+@_add("search_index", duck.statement(duck.REG, "SELECT id, nome_instituicao FROM reg WHERE contains(lower(concat_ws(' ', nome_instituicao, municipio, endereco)), '7, centro, são')"))
 def search_index(s, d):
     """A search that reads the postings of the query's trigrams and verifies the hits."""
-    docs = read(s, d, "documents").select("doc_id", "source", "text")
-    return indexes.text_index(docs, "doc_id", _c("text")).containing("ation The").select("doc_id", "source")
+    text = F.concat_ws(" ", "nome_instituicao", "municipio", "endereco")
+    return indexes.text_index(domain.registry(s, d), "id", text).containing("7, Centro, São").select("id", "nome_instituicao")
 
 
 @_add("search_both", "SELECT id, nome, 'banco' AS origem FROM (SELECT p_partkey AS id, p_name AS nome FROM part) WHERE contains(lower(concat_ws(' ', CAST(id AS VARCHAR), nullif(nome, ''))), '1') AND contains(lower(nome), 'a') UNION ALL SELECT id, nome, 'raspagem' FROM (SELECT s_suppkey AS id, s_name AS nome FROM supplier) WHERE contains(lower(concat_ws(' ', CAST(id AS VARCHAR), nullif(nome, ''))), '1') AND contains(lower(nome), 'a')")

@@ -47,7 +47,7 @@ def test_lookup_by_short_prefix(spark):
 
 
 def test_lookup_takes_all_names(spark):
-    got = {r.ord: r.step for r in queries.queries()["lookup_all_names"](spark, TINY).collect()}
+    got = {r.ord: r.step for r in queries.queries()["lookup_names"](spark, TINY).collect()}
     assert set(got) == {r.ord for r in queries._tiered_sides(spark, TINY)[0].select("ord").collect()} and {1, 2, 3} <= set(got.values())
 
 

@@ -230,30 +230,26 @@ def body(page: str | None) -> str:
     return " ".join(b[1] for b in found if b[0] == kind and not b[3])
 
 
-def hashes(texts: list[str]) -> np.ndarray:
-    """A 64-bit hash of each token of the blocks."""
+def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each token of the blocks, and how many tokens each block has."""
     digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w) for t in texts for w in t.split()], U64)
+    own = [list(map(digest, t.split())) for t in texts]
+    return np.array([h for x in own for h in x], U64), np.array([len(x) for x in own], np.int64)
 
 
 def short_blocks(tokens: np.ndarray, count: np.ndarray, size: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """(index of each block shorter than a run, its tokens filled up to a run): such a block counts as a run of its own."""
     at = np.flatnonzero((count > 0) & (count < size))
-    rows = np.full((len(at), size), _FILL)
-    start = np.cumsum(count) - count
-    for row, i in zip(rows, at, strict=True):
-        row[: count[i]] = tokens[start[i] : start[i] + count[i]]
-    return at, rows
-
-
-def _counts(texts: list[str]) -> np.ndarray:
-    return np.array([len(t.split()) for t in texts], np.int64)
+    if not len(at):
+        return at, np.zeros((0, size), U64)
+    place = (np.cumsum(count) - count)[at][:, None] + np.arange(size)
+    return at, np.where(np.arange(size) < count[at][:, None], tokens[np.minimum(place, len(tokens) - 1)], _FILL)
 
 
 def stream(texts: list[str]) -> np.ndarray:
     """How many blocks are shorter than a run, all tokens of the blocks, those blocks as runs."""
-    tokens = hashes(texts)
-    rows = short_blocks(tokens, _counts(texts))[1]
+    tokens, count = hashes(texts)
+    rows = short_blocks(tokens, count)[1]
     return np.concatenate([np.array([len(rows)], U64), tokens, rows.ravel()])
 
 
@@ -405,7 +401,9 @@ class Boilerplate:
 
     def covered(self, host: str, texts: list[str]) -> list[np.ndarray]:
         """For each block, whether each of its tokens lies in a boilerplate run of the host."""
-        tokens, count = hashes(texts), _counts(texts)
+        if not self.full:
+            return [np.zeros(len(t.split()), bool) for t in texts]
+        tokens, count = hashes(texts)
         out = np.zeros(len(tokens), bool)
         hit = self._has(host, runs(tokens))
         for i in range(RUN):

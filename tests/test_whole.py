@@ -84,7 +84,11 @@ def test_audit_takes_all_batch_rows(spark):
             if found:
                 want[a["ord"]] = min(found)
                 firsts[a["ord"]] = min(min(found), firsts.get(a["ord"], min(found)))
-        assert {r.csv_ord: r.db_ord for r in queries.queries()[f"audit_{name}"](spark, TINY).collect()} == want
+        got = [tuple(r) for r in queries.queries()[f"audit_{name}"](spark, TINY).collect()]
+        if name == "words":  # all pairs
+            assert sorted(got) == sorted((a["ord"], b["ord"]) for a in x for b in y if rule(a, b) and guarded(a, b)) and len(got) > len(want)
+        else:
+            assert dict(got) == want
     got = {r.csv_ord: r.db_ord for r in queries.audit_match(spark, TINY).collect()}
     assert {a: got[a] for a in firsts} == firsts and any(a % 5 for a in firsts)
 

@@ -26,8 +26,13 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
         return 0
     size = min(words, len(own))
     shingles = map(b" ".join, zip(*(own[i:] for i in range(size)), strict=False))
-    digest, total, ones = xxhash.xxh64_intdigest, len(own) - size + 1, np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, total)
+    digest, total = xxhash.xxh64_intdigest, len(own) - size + 1
+    return majority(np.fromiter((digest(s, seed) for s in shingles), np.uint64, total))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    total, ones = len(hashes), np.zeros(64, np.int64)
     for i in range(0, total, _PART):
         part = np.ascontiguousarray(hashes[i : i + _PART]).view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -103,19 +108,24 @@ def _forest(batches, distance: int = 2):
         yield out
 
 
-def near_links(prints: DataFrame) -> DataFrame:
-    """(a, b): a forest that joins all distinct fingerprints ``fp`` differing in at most 2 bits.
+def block_rows(prints: DataFrame) -> DataFrame:
+    """(k, x) and prints' columns: six rows for each fingerprint ``fp``, by two of its four 16-bit blocks."""
+    masks = [_signed(sum(0xFFFF << 16 * j for j in range(4) if j not in gone)) for gone in combinations(range(4), 2)]
+    first = [F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("x")) for i, m in enumerate(masks)]
+    return prints.withColumn("s", F.explode(F.array(*first))).select("s.k", "s.x", *prints.columns)
+
+
+def blocks(prints: DataFrame) -> DataFrame:
+    """(k, x, y) and prints' columns: rows whose fingerprints ``fp`` differ in at most 2 bits have one (k, x, y) in common.
 
     Of four blocks of 16 bits two must be equal: six keys for each fingerprint.  Fingerprints of a key
-    that more than ``LARGE`` share are dealt again: of the eight 4-bit blocks of the two free 16-bit
+    that more than ``LARGE`` rows share are dealt again: of the eight 4-bit blocks of the two free 16-bit
     blocks six must be equal, so no key holds more than 2^8 fingerprints and all are compared.
     """
-    masks = [_signed(sum(0xFFFF << 16 * j for j in range(4) if j not in gone)) for gone in combinations(range(4), 2)]
-    blocks = [F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("x")) for i, m in enumerate(masks)]
-    keyed = prints.select("fp", F.explode(F.array(*blocks)).alias("s")).select("s.k", "s.x", "fp")
+    keyed = block_rows(prints)
     large = keyed.groupBy("k", "x").count().where(F.col("count") > LARGE).select("k", "x", F.lit(True).alias("large"))
     keyed = keyed.join(large, ["k", "x"], "left")
-    few = keyed.where("large is null").select("k", "x", F.lit(0).cast("long").alias("y"), "fp")
+    few = keyed.where("large is null").select("k", "x", F.lit(0).cast("long").alias("y"), *prints.columns)
     choices = []  # the blocks that may differ, by the choice k of the first level
     for k, gone in enumerate(combinations(range(4), 2)):
         free = [(16 * g + 4 * j) for g in gone for j in range(4)]
@@ -124,9 +134,13 @@ def near_links(prints: DataFrame) -> DataFrame:
             mask = _signed(sum(0xF << at for at in free if at not in out))
             fine.append(F.struct(F.lit(10 + 28 * k + i).alias("k"), F.col("fp").bitwiseAND(F.lit(mask)).alias("y")))
         choices.append(F.when(F.col("k") == k, F.array(*fine)))
-    by_choice = F.coalesce(*choices)
-    many = keyed.where("large").select("x", "fp", F.explode(by_choice).alias("s")).select("s.k", "x", "s.y", "fp")
-    dealt = few.unionByName(many).repartition("k", "x", "y").sortWithinPartitions("k", "x", "y", "fp")
+    many = keyed.where("large").withColumn("s", F.explode(F.coalesce(*choices))).select("s.k", "x", "s.y", *prints.columns)
+    return few.unionByName(many)
+
+
+def near_links(prints: DataFrame) -> DataFrame:
+    """(a, b): a forest that joins all distinct fingerprints ``fp`` differing in at most 2 bits."""
+    dealt = blocks(prints).repartition("k", "x", "y").sortWithinPartitions("k", "x", "y", "fp")
     return dealt.mapInArrow(_forest, "a bigint, b bigint")
 
 

@@ -64,14 +64,18 @@ def _sortable(key: tuple) -> tuple:
     return tuple((v is not None, v) if v is not None else (False,) for v in key)
 
 
+#: Ranges of a page index at most; those of larger tables are longer, so what the driver gets doesn't grow with the rows.
+RANGES = 1_000
+
+
 def page_index(df: DataFrame, order: list[str], rows_in_range: int = 100_000, path: str | None = None) -> PageIndex:
-    """Sorts the table once into ranges of about ``rows_in_range`` rows; the order should be unique, or pages of equal rows may differ.
+    """Sorts the table once into ranges of about ``rows_in_range`` rows, longer ones where that would be more than ``RANGES``; the order should be unique, or pages of equal rows may differ.
 
     The driver gets two numbers and a key for each range.
     """
     spark = df.sparkSession
     path = path or _new_folder(spark, "pages")
-    ranges = max(1, -(-df.count() // rows_in_range))
+    ranges = max(1, min(RANGES, -(-df.count() // rows_in_range)))
     dealt = df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()).sortWithinPartitions(*order)
     dealt.write.mode("overwrite").partitionBy("__range").parquet(path)
     schema = T.StructType([*df.schema.fields, T.StructField("__range", T.IntegerType())])

@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+@contextmanager
+def released(spark: SparkSession):
+    """Spark deletes the shuffle files of what is planned and run here as soon as the action is done, not when the driver's memory happens to be collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def new_folder(spark: SparkSession, prefix: str) -> str:
     """A fresh folder inside the shared one, created through the file system Spark uses for it."""
     path = f"{shared_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"

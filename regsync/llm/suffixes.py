@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, map_arrow, mix, new_folder, prepare
+from .common import U64, as_bytes, map_arrow, mix, new_folder, prepare, released
 
 #: Bytes of a token.
 TOKEN = 16
@@ -456,13 +456,14 @@ def repeated(docs: DataFrame, size: int = 50, bucket: int = BUCKET, scope: int =
         raise ValueError(f"strings must have {TOKEN} to 120 bytes")
     spark = prepare(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    splitters = splitters_of(rows, total, size, bucket)
-    shared = np.unique(splitters[1:][splitters[1:] == splitters[:-1]])
-    dealt = rows.mapInArrow(lambda b: _deal(b, splitters, size, scope), "bucket int, id long, text long, data binary")
-    done = dealt.repartition(len(splitters) + 1, "bucket").groupBy("bucket").applyInArrow(lambda t: _solved(t, size, shared), "id long, text long, start long, stop long, window binary")
     folder = new_folder(spark, "suffixes")
-    done.write.mode("overwrite").parquet(folder)
+    with released(spark):  # the packets are larger than the texts, which are shuffled after them
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        splitters = splitters_of(rows, total, size, bucket)
+        shared = np.unique(splitters[1:][splitters[1:] == splitters[:-1]])
+        dealt = rows.mapInArrow(lambda b: _deal(b, splitters, size, scope), "bucket int, id long, text long, data binary")
+        done = dealt.repartition(len(splitters) + 1, "bucket").groupBy("bucket").applyInArrow(lambda t: _solved(t, size, shared), "id long, text long, start long, stop long, window binary")
+        done.write.mode("overwrite").parquet(folder)
     done = spark.read.parquet(folder)
     spans = ["id", "text", "start", "stop"]
     still = done.where("window IS NOT NULL")

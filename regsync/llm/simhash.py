@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.components import connected_components
-from .common import as_bytes, map_arrow, prepare
+from .common import as_bytes, map_arrow, prepare, released
 
 #: A block key with more distinct fingerprints than this is divided by further blocks.
 LARGE = 256
@@ -158,8 +158,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def classes_of(own: DataFrame, links) -> DataFrame:
     """(doc_id, fp, class_fp, component_id) for rows (doc_id, fp), by the links that ``links`` makes of the distinct fp."""
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
-    roots = connected_components(links(classes))
+    with released(own.sparkSession):  # what the links were dealt by isn't needed any more
+        classes = own.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
+        roots = connected_components(links(classes))
     classes = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("class_fp"))
     least = classes.groupBy("class_fp").agg(F.min("first").alias("component_id"))
     named = classes.join(least, "class_fp").select("fp", "class_fp", "component_id")

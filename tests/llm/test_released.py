@@ -1,6 +1,6 @@
 """What has been shuffled on the way is deleted when it has been used, not when the driver's memory is collected."""
 
-from regsync.llm import suffixes
+from regsync.llm import simhash, similar, suffixes
 
 
 def _held(spark) -> set[int]:
@@ -20,3 +20,11 @@ def test_repeated_strings_leave_no_packets(spark):
     before = _held(spark)
     found = suffixes.repeated(docs)
     assert not _held(spark) - before and found.count()
+
+
+def test_near_duplicates_leave_no_blocks(spark):
+    docs = _docs(spark).checkpoint()
+    for find in (simhash.near_duplicates, similar.near_duplicates):
+        before = _held(spark)
+        found = find(docs)
+        assert not _held(spark) - before and found.count() == 40

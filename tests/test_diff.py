@@ -71,6 +71,18 @@ def test_a_large_component_needs_no_group(spark):
     assert got.db_ord.tolist() == [*range(100_000, 100_000 + n), *[100_000] * 10, *range(200_000, 200_000 + n)] and set(got.tier[:n]) == {1} and set(got.tier[n : n + 10]) == {8}
 
 
+def test_repeated_names_need_no_rounds(spark, monkeypatch):
+    """120 components of rows that all share a name and stand at a later tier: a round of joins would settle one row of each."""
+    monkeypatch.setattr(matching, "rounds", None)
+    monkeypatch.setattr(matching, "GROUP", 100)
+    names, copies = 120, 6
+    row = lambda i, base, town: {"ord": base + i} | dict.fromkeys(KEYS) | {"k2": f"{town}{i % names}", "k3": f"core{i % names}", "k5": f"cep{i}", "k7": f"core{i % names}"}
+    batch, registry = ([row(i, base, town) for i in range(names * copies)] for base, town in ((0, "other"), (10_000, "town")))
+    got = matching.match(spark.createDataFrame(batch, SIDE), spark.createDataFrame(registry, SIDE), small=100).toPandas()
+    assert dict(zip(got.csv_ord, got.db_ord, strict=True)) == sequential(batch, registry) and got.csv_ord.is_unique
+    assert set(got.tier) == {3, 5}
+
+
 def test_greedy_of_nothing():
     empty = pd.DataFrame(columns=["ord", *KEYS])
     assert len(matching.greedy(empty, empty)) == 0

@@ -122,6 +122,10 @@ class TextIndex:
         return rows.where(F.contains("__text", F.lit(query))).drop("__text")
 
 
+#: Rows whose trigrams a task of a text index sorts on average, and rows of a part of a bucket; both grow in number with the table, not in size.
+TASK_ROWS, PART_ROWS = 5_000, 50_000
+
+
 def text_index(df: DataFrame, key: str, text: Column, buckets: int = 64, path: str | None = None) -> TextIndex:
     """Indexes the rows by the distinct trigrams of ``text`` in lower case; ``key`` must be unique and not null.
 
@@ -137,6 +141,6 @@ def text_index(df: DataFrame, key: str, text: Column, buckets: int = 64, path: s
     gram = F.transform(F.sequence(F.lit(0), F.size("c") - 3), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))
     grams = chars.select(key, F.explode(F.array_distinct(gram)).alias("gram"))
     grams = grams.withColumn("__bucket", out._bucket(F.col("gram")))
-    parts = max(8, own.count() // 100_000)
-    grams.repartition("__bucket", F.pmod(F.xxhash64(key), F.lit(parts))).sortWithinPartitions("__bucket", "gram").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/grams")
+    n = own.count()
+    grams.repartition(max(8, n // TASK_ROWS), "__bucket", F.pmod(F.xxhash64(key), F.lit(max(8, n // PART_ROWS)))).sortWithinPartitions("__bucket", "gram").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/grams")
     return out
